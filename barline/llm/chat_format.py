@@ -71,7 +71,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         .agg(
             F.coalesce(F.max("start.role"), F.max("role")).alias("role"),
             F.max(F.when(F.col("first"), F.col("text"))).alias("head"),
-            F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("seq", "text")))).alias("deltas"),
+            F.sort_array(F.collect_list(F.when(~F.col("first"), F.struct("seq", "text")))).alias("deltas"),
         )
         .select("conv_id", "turn", "role", F.concat(F.coalesce("head", F.lit("")), F.array_join(F.col("deltas.text"), "")).alias("text"))
     )
@@ -93,8 +93,8 @@ def render(messages: DataFrame) -> DataFrame:
     return (
         placed.groupBy("conv_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct("turn", F.concat("head", "body", "tail").alias("piece")))).alias("pieces"),
-            F.array_sort(F.collect_list("span")).alias("loss_spans"),
+            F.sort_array(F.collect_list(F.struct("turn", F.concat("head", "body", "tail").alias("piece")))).alias("pieces"),
+            F.sort_array(F.collect_list("span")).alias("loss_spans"),
         )
         .select("conv_id", F.size("pieces").cast("long").alias("n_turns"), F.array_join(F.col("pieces.piece"), "").alias("formatted"), "loss_spans")
     )

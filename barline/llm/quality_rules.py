@@ -12,6 +12,8 @@ through ``apply_policy`` untouched; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,22 +23,20 @@ WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def repeat_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window of ``window`` words which the text holds twice
+def repeat_words(words: Column) -> Column:
+    """Words that lie in a window of ``WINDOW`` words which the text holds twice
     or more. Windows compare by a 64-bit hash of their words' hashes; only texts
     with a repeated window sort them."""
-    starts = F.sequence(F.lit(1), F.size(words) - (window - 1))
-
     def covered(hashes: Column) -> Column:
-        at = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        at = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def positions(pairs: Column) -> Column:
             n = F.size(pairs)
             same = lambda i, j: (j >= 0) & (j < n) & F.coalesce(F.get(pairs, i)["h"] == F.get(pairs, j)["h"], F.lit(False))
-            return F.array_sort(F.transform(F.filter(pairs, lambda p, i: same(i, i - 1) | same(i, i + 1)), lambda p: p["i"]))
+            return F.sort_array(F.transform(F.filter(pairs, lambda p, i: same(i, i - 1) | same(i, i + 1)), lambda p: p["i"]))
 
         def total(found: Column) -> Column:
-            gaps = F.transform(found, lambda p, k: F.least(F.coalesce(F.get(found, k + 1) - p, F.lit(window)), F.lit(window)))
+            gaps = F.transform(found, lambda p, k: F.least(F.coalesce(F.get(found, k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
 
         return let(let(at, positions), total)
@@ -44,24 +44,32 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     def counted(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(hashes))
 
-    def windows(ids: Column) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(ids, i, window)))
+    def doubled(reach: int) -> Callable[[Column], Column]:
+        return lambda ids: F.transform(F.sequence(F.lit(0), F.size(ids) - 1 - reach), lambda i: F.xxhash64(F.get(ids, i), F.get(ids, i + reach)))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for reach in (1, 2):  # windows of 2, then of 4 words
+        hashes = let(hashes, doubled(reach))
+
+    def longer(fours: Column) -> Column:  # without a repeated window of 4 words there is none of 8
+        none = F.size(F.array_distinct(fours)) == F.size(fours)
+        return F.when(none, F.lit(0).cast("long")).otherwise(let(doubled(4)(fours), counted))
 
-    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), counted))
+    return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, longer))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the measurements of every rule (columns n_words to max_word)."""
     text = text_of()
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
 
     def facts(w: Column) -> Column:
-        lengths = F.transform(w, lambda x: F.length(x))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("word_chars"),
-            F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("max_word"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.coalesce(F.array_max(F.transform(w, lambda x: F.length(x))), F.lit(0)).cast("long").alias("max_word"),
             repeat_words(w).alias("n_repeat_words"),
         )
 
@@ -69,9 +77,10 @@ def measured(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     symbols = F.when(text.rlike(SYMBOLS), F.regexp_count(text, F.lit(SYMBOLS))).otherwise(0).cast("long")
+    exclaims = F.when(text.contains("!!"), F.regexp_count(text, F.lit("!!"))).otherwise(0).cast("long")
     letters = F.when(text.rlike(r"\p{L}"), F.lit(1)).otherwise(0)
-    out = docs.withColumns({"_words": let(words, facts), "_lines": let(lines, line_facts), "n_symbols": symbols, "has_letter": letters == 1})
-    return out.select(*docs.columns, "_words.*", "n_symbols", "_lines.*", "has_letter")
+    out = docs.withColumns({"_words": let(words, facts), "_lines": let(lines, line_facts), "n_symbols": symbols, "n_exclaims": exclaims, "has_letter": letters == 1})
+    return out.select(*docs.columns, "_words.*", "n_symbols", "n_exclaims", "_lines.*", "has_letter")
 
 
 
@@ -89,12 +98,13 @@ def rules() -> dict[str, Column]:
         "long_words": F.col("word_chars") > 20 * n,
         "endless_word": F.col("max_word") > 1000,
         "no_letter": ~F.col("has_letter"),
+        "exclaiming": 10 * F.col("n_exclaims") > 3 * n,
     }
 
 
 BASE = ("few_words", "repeated_windows")
 #: Versioned policies: the rules whose failure rejects a document.
-POLICIES = {1: BASE, 2: (*BASE, "many_symbols", "repeated_lines", "short_words", "long_words", "endless_word", "no_letter")}
+POLICIES = {1: BASE, 2: (*BASE, "many_symbols", "repeated_lines", "short_words", "long_words", "endless_word", "no_letter", "exclaiming")}
 
 
 def mask_of(names: tuple[str, ...]) -> int:
@@ -142,10 +152,10 @@ r as (select doc_id, i from (select *, count(*) over (partition by doc_id, k) as
 m as (select doc_id, sum(least(coalesce(nxt - i, 8), 8)) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from r) group by 1),
 f as (select w.doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(m.n, 0)::bigint as n_repeat_words,
-  len(lines) as n_lines, coalesce(list_max(list_transform(words, lambda x: length(x))), 0) as max_word, regexp_matches(t, '\p{L}') as has_letter
+  len(lines) as n_lines, coalesce(list_max(list_transform(words, lambda x: length(x))), 0) as max_word, regexp_matches(t, '\p{L}') as has_letter, len(regexp_extract_all(t, '!!')) as n_exclaims
   from w left join m on w.doc_id = m.doc_id),
 b as (select *, (n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_words)::bigint + 4 * (10 * n_symbols > 3 * n_words)::bigint
   + 8 * (n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)::bigint + 16 * (word_chars < 2 * n_words)::bigint + 32 * (word_chars > 20 * n_words)::bigint
-  + 64 * (max_word > 1000)::bigint + 128 * (not has_letter)::bigint as failed from f)
+  + 64 * (max_word > 1000)::bigint + 128 * (not has_letter)::bigint + 256 * (10 * n_exclaims > 3 * n_words)::bigint as failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from b
 """

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, source_mix
+from . import chat_format, pii, quality_rules, source_mix
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op3_pii": pii.op3_pii,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op9_source_mix": source_mix.op9_source_mix,
     }
