@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, pii, quality_rules, source_mix
+from . import chat_format, language_id, matroska, packing, pii, quality_rules, secrets, source_mix
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op2_language_id": language_id.op2_language_id,
         "op3_pii": pii.op3_pii,
+        "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_matroska": matroska.op7_matroska,
         "op9_source_mix": source_mix.op9_source_mix,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
