@@ -154,7 +154,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             told = [fitted.decode(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [t[0] for t in told], "score": [t[1] for t in told], "ambiguous": [t[2] for t in told]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(decoded, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = named.mapInPandas(decoded, "doc_id string, lang_pred string, score double, ambiguous boolean")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

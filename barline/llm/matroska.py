@@ -202,7 +202,8 @@ def _batches(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) of docs (doc_id, text)."""
+    """(doc_id, n_bytes, media) of docs (doc_id, text); doc_id as a string, which
+    passes through tasks unchanged, also if null."""
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -210,7 +211,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 raw = [t.encode() for t in pdf["text"]]
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_bytes": [len(r) for r in raw], "media": [mux(to_payload(r)) for r in raw]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(files, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text")).mapInPandas(files, "doc_id string, n_bytes long, media binary")
 
 
 def packets(files: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def packets(files: DataFrame) -> DataFrame:
                 out = [(doc, k, *p) for doc, media in zip(pdf["doc_id"], pdf["media"], strict=True) for k, p in enumerate(parse(media or b"").packets)]
                 yield pd.DataFrame(out, columns=["doc_id", "packet", *Packet._fields])
 
-    return files.select("doc_id", "media").mapInPandas(rows, "doc_id long, packet int, track int, timestamp long, cluster int, start long, length long, key boolean")
+    return files.select("doc_id", "media").mapInPandas(rows, "doc_id string, packet int, track int, timestamp long, cluster int, start long, length long, key boolean")
 
 
 def features(files: DataFrame) -> DataFrame:
@@ -243,8 +244,8 @@ def features(files: DataFrame) -> DataFrame:
                     out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), told))
                 yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return files.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return files.mapInPandas(read, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return features(encode(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("doc_id", F.col("doc_id").cast("long"))

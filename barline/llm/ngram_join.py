@@ -14,7 +14,8 @@ Exact copies are one class from the start. Candidates are compared in two rounds
 Shingles are compared by 64-bit hashes.
 
 Defined results: null and word-less texts have no shingles and link with nothing;
-texts of fewer than 3 words are one shingle; repeated rows are in one component;
+texts of fewer than 3 words are one shingle; repeated rows are in one component; rows
+without a doc_id are compared with none and have null results;
 columns other than doc_id and text are ignored; an empty table gives an empty one.
 """
 
@@ -123,7 +124,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int, of: i
 
 def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR, of: int = OF) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
+    nameless = docs.filter(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
     first = F.min(F.struct("doc_id", "n", "tokens")).alias("s")
     reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.tokens"))
     held = reps.filter("n > 0").select("rep", "n", F.explode("tokens").alias("token"))
@@ -150,7 +152,7 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     found = link_buckets(rows, lambda pairs: _verified(pairs, texts, size, similar, of), fits)
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = keyed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")).unionByName(nameless)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

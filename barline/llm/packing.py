@@ -98,7 +98,8 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFr
                 rows += [(doc, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(ids) // 4))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
+    return named.mapInPandas(tokenised, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lower_bound(lengths: np.ndarray, room: int = BIN) -> int:

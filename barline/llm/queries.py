@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, matroska, packing, pii, quality_rules, secrets, source_mix
+from . import chat_format, language_id, line_dedup, matroska, ngram_join, packing, pii, quality_rules, secrets, source_mix
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_pii": pii.op3_pii,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_matroska": matroska.op7_matroska,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_source_mix": source_mix.op9_source_mix,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
