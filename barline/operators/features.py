@@ -21,7 +21,8 @@ def volatility(df: DataFrame, windows: tuple[int, ...] = (5, 21, 63), column: st
     require(df, column)
     out = {}
     for n in windows:
-        v = rolling(F.stddev_samp, F.col(column), n, half(n))
+        # windows of the same returns in another order differ in the last bits only: ranks should see them as equal
+        v = F.round(rolling(F.stddev_samp, F.col(column), n, half(n)), 12)
         out |= {f"vol_{n}d": v, f"vol_{n}d_annual": v * F.sqrt(F.lit(float(YEAR)))}
     return df.withColumns(out)
 

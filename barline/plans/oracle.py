@@ -64,7 +64,7 @@ FEATURES = [
       case when t.rn >= 14 then e.ar end as atr_14, case when t.rn >= 12 then e.ef end as ema_12, case when t.rn >= 26 then e.es end as ema_26,
       case when t.rn >= 26 then e.ef - e.es end as macd_line, case when t.rn >= 34 then e.sg end as macd_signal, case when t.rn >= 34 then e.ef - e.es - e.sg end as macd_histogram
       from tr0 t join emas e on t.symbol = e.symbol and t.rn = e.rn"""),
-    ("feat1", "select *, " + ", ".join(f"{roll(STD, 'returns', n, max(2, n // 2))} as vol_{n}d" for n in (5, 21, 63)) + f""",
+    ("feat1", "select *, " + ", ".join(f"round({roll(STD, 'returns', n, max(2, n // 2))}, 12) as vol_{n}d" for n in (5, 21, 63)) + f""",
       volume / nullif({roll(AVG, 'volume', 20, 10)}, 0) as vol_ratio_20,
       case when count(volume) over ({BY} rows between 19 preceding and current row) >= 10 then sum(close * volume) over ({BY} rows between 19 preceding and current row) / nullif(sum(volume) over ({BY} rows between 19 preceding and current row), 0) end as vwap_20d,
       {roll(AVG, 'close', 20, 10)} as bb_middle, {roll(STD, 'close', 20, 10)} as bb_std,
@@ -105,7 +105,7 @@ SIGNALS = [
       lag(signal_macd) over ({BY}) as mprev from sig1"""),
     ("sig", f"""select * exclude (vols, nrows, mprev),
       case signal_rsi when 1 then least(1, greatest(0, (30 - rsi_14) / 30)) when -1 then least(1, greatest(0, (rsi_14 - 70) / 30)) else 0 end as signal_rsi_strength,
-      case when h1prev is not null and not (signal_macd = 0 and coalesce(mprev, 0) <> 0) then coalesce(least(1, abs(macd_histogram) / nullif(htop, 0)), 0) else 0 end as signal_macd_strength,
+      case when h1prev is not null and not (signal_macd = 0 and coalesce(mprev, 0) <> 0) and htop > 0 then least(1, abs(macd_histogram) / htop) else 0 end as signal_macd_strength,
       case when signal_zscore <> 0 then least(1, greatest(abs(z_price_60d) - 2, 0) / 2) else 0 end as signal_zscore_strength,
       case signal_bb when 1 then least(1, greatest(bb_middle - close, 0) / nullif(bb_upper - bb_lower, 0)) when -1 then least(1, greatest(close - bb_middle, 0) / nullif(bb_upper - bb_lower, 0)) else 0 end as signal_bb_strength,
       case when vol_21d is not null and nrows >= 252 and len(vols) >= 10 then greatest(0, least(2, 2 - 2 * len(list_filter(vols, lambda v: v < vol_21d))::double / len(vols))) else 1.0 end as position_scale,

@@ -2,7 +2,7 @@
 
 A query is a stage of the engine and a list of typed columns; the same list makes
 the SQL's projection, so names, types and rounding agree. Letters: s string, d
-date, t timestamp, i int, l long, b boolean, f double at six decimals.
+date, t timestamp, i int, l long, b boolean, f double at six decimals, e at four.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ BAR = "symbol:s d:d"
 PAIRED = "symbol:s signal:s"
 
 
+#: Decimals of doubles; e is for equities, sums over thousands of bars.
+DIGITS = {"f": 6, "e": 4}
+
+
 @dataclass(frozen=True)
 class Query:
     make: Callable[[SparkSession, str], DataFrame]
@@ -38,7 +42,7 @@ class Query:
         for spec in self.columns.split():
             name, kind = spec.split(":")
             # the shift keeps exact decimals off the rounding's ties; adding 0 turns -0.0 into 0.0
-            out.append((F.round(F.col(name).cast("double") + F.lit(3.1e-9), 6) + F.lit(0.0) if kind == "f" else F.col(name).cast(TYPES[kind][0])).alias(name))
+            out.append((F.round(F.col(name).cast("double") + F.lit(3.1e-9), DIGITS[kind]) + F.lit(0.0) if kind in DIGITS else F.col(name).cast(TYPES[kind][0])).alias(name))
         return df.select(*out)
 
     def oracle(self) -> str | None:
@@ -47,7 +51,7 @@ class Query:
         out = []
         for spec in self.columns.split():
             name, kind = spec.split(":")
-            out.append(f'round(cast("{name}" as double) + 3.1e-9, 6) + 0.0::double as "{name}"' if kind == "f" else f'cast("{name}" as {TYPES[kind][1]}) as "{name}"')
+            out.append(f'round(cast("{name}" as double) + 3.1e-9, {DIGITS[kind]}) + 0.0::double as "{name}"' if kind in DIGITS else f'cast("{name}" as {TYPES[kind][1]}) as "{name}"')
         return o.sql([*self.ctes, ("answer", self.select)], f"select {', '.join(out)} from answer")
 
 
@@ -182,7 +186,7 @@ add("reg_12_adaptive", at.detected, f"{BAR} signal_adaptive:i position_scale_ada
 
 # Backtests
 add("bt_09_longs", at.longs, f"{PAIRED} d:d value:i scale:f", S["longs"], "select * from longs")
-CURVED = f"{PAIRED} d:d position:i shares:f cost:f pnl:f equity:f ret:f drawdown:f"
+CURVED = f"{PAIRED} d:d position:i shares:f cost:f pnl:f equity:e ret:f drawdown:f"
 add("bt_05_curve", at.curve, CURVED, S["curve"], "select * from curve")
 for _name, _setup, _size in [
     ("bt_04_fixed_shares", backtest.Setup(sizing="fixed_shares"), "100.0"),
@@ -206,9 +210,9 @@ EVENT = [*S["longs"],
                 select f.symbol, f.signal, f.rn, f.open as fill, f.close, f.volume, coalesce(f.value, 0) as v, coalesce(f.scale, 1.0) as k, s.pos, s.equity as was,
                   case when s.rn = 1 then 100000.0 else s.cash end as cash, case when s.v = 0 or f.open = 0 then 0.0 else s.v * s.k * 10000.0 / f.open end as target
                 from ev s join longs f on f.symbol = s.symbol and f.signal = s.signal and f.rn = s.rn + 1)))))""")]
-add("bt_10_event_driven", lambda s, f: backtest.event_driven(at.longs(s, f)).withColumnRenamed("cost", "paid"), f"{PAIRED} d:d shares:f paid:f equity:f ret:f", EVENT, "select l.symbol, l.signal, l.d, e.pos as shares, e.paid, e.equity, e.ret from ev e join longs l on l.symbol = e.symbol and l.signal = e.signal and l.rn = e.rn")
+add("bt_10_event_driven", lambda s, f: backtest.event_driven(at.longs(s, f)).withColumnRenamed("cost", "paid"), f"{PAIRED} d:d shares:f paid:f equity:e ret:f", EVENT, "select l.symbol, l.signal, l.d, e.pos as shares, e.paid, e.equity, e.ret from ev e join longs l on l.symbol = e.symbol and l.signal = e.signal and l.rn = e.rn")
 add("bt_10_event_trades", lambda s, f: backtest.event_driven(at.longs(s, f), want="trades"), f"{PAIRED} entry_d:d exit_d:d direction:i entry_price:f exit_price:f shares:f pnl:f holding_days:i")
-add("bt_13_both_engines", lambda s, f: backtest.both_engines(at.longs(s, f)), f"{PAIRED} engine:s d:d equity:f ret:f", [*EVENT, *o.curve()],
+add("bt_13_both_engines", lambda s, f: backtest.both_engines(at.longs(s, f)), f"{PAIRED} engine:s d:d equity:e ret:f", [*EVENT, *o.curve()],
     "select symbol, signal, 'vectorised' as engine, d, equity, ret from curve union all select l.symbol, l.signal, 'event_driven' as engine, l.d, e.equity, e.ret from ev e join longs l on l.symbol = e.symbol and l.signal = e.signal and l.rn = e.rn")
 
 # Metrics
