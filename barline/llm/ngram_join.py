@@ -3,10 +3,12 @@
 Two documents link when the sets of their 3-word shingles have a Jaccard
 similarity of 0.9 or more. Under any global order of the tokens, linked sets share
 a token among their first ``n - ceil(0.9 n) + 1``. The first order makes the
-candidates: tokens whose hash falls below ``SHARE`` come first, the rarer the
+candidates: tokens whose hash falls below a share come first, the rarer the
 earlier (their document counts cover all documents), the others follow by hash,
 so only a share of all tokens is ever shuffled and common passages stay out of the
-prefixes. Candidates must also share prefix tokens under two more orders (by two
+prefixes. Linked sets differ in size by a tenth at most, so sets are compared in
+bands of size, each in its own and the next, and each band has its own share: 0.15
+of large sets, about 100 tokens of small ones, which a common passage could fill. Candidates must also share prefix tokens under two more orders (by two
 other hashes) before their sets are compared.
 
 Exact copies are one class from the start. Candidates are compared in two rounds
@@ -21,6 +23,7 @@ columns other than doc_id and text are ignored; an empty table gives an empty on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,9 @@ from .components import link_buckets
 ship(__name__)
 
 WORDS, SIMILAR, OF = 3, 90, 100
-SHARE = 0.15
+#: The least share of hashes in the first part of the order, and the tokens that a
+#: set of any size should have there.
+SHARE, TOKENS = 0.15, 100
 WORD_CACHE = 400_000
 
 
@@ -76,19 +81,32 @@ def prefix_length(n: int, similar: int = SIMILAR, of: int = OF) -> int:
     return n - -(-similar * n // of) + 1
 
 
+def band_of(n: int, similar: int, of: int) -> int:
+    return int(math.floor(math.log(max(n, 1)) / math.log(of / similar)))
+
+
+def band_bound(band: int, similar: int, of: int) -> int:
+    """Hashes whose upper 63 bits are below this come first in a band."""
+    return min(2**63 - 1, int(min(1.0, max(SHARE, TOKENS / (of / similar) ** band)) * 2**63))
+
+
 def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
-    """(k1, k2, doc_id, n, tokens): the start of each token set in the order of
-    the hashes, all below SHARE and at least a prefix."""
+    """(k1, k2, doc_id, n, band, low, low_next, tokens): the start of each token
+    set in the order of the hashes, all below its band's bound and at least a
+    prefix."""
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
-        share = np.uint64(int(SHARE * 2**64))
         for pdf in batches:
             sets = [shingles(t, words, size) for t in pdf["text"]]
-            cut = [s[: max(int(np.searchsorted(s, share)), prefix_length(len(s), similar, of) if len(s) else 0)] for s in sets]
-            yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "tokens": [c.view(np.int64) for c in cut]})
+            bands = [band_of(len(s), similar, of) for s in sets]
+            bounds = [band_bound(b, similar, of) for b in bands]
+            cut = [s[: max(int(np.searchsorted(s >> np.uint64(1), np.uint64(t))), prefix_length(len(s), similar, of) if len(s) else 0)] for s, t in zip(sets, bounds, strict=True)]
+            yield pd.DataFrame({
+                "k1": pdf["k1"], "k2": pdf["k2"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "band": bands, "low": bounds,
+                "low_next": [band_bound(b + 1, similar, of) for b in bands], "tokens": [c.view(np.int64) for c in cut]})
 
-    return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, tokens array<long>")
+    return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, band int, low long, low_next long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int, of: int) -> DataFrame:
@@ -126,27 +144,24 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
     nameless = docs.filter(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
-    first = F.min(F.struct("doc_id", "n", "tokens")).alias("s")
-    reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.tokens"))
-    held = reps.filter("n > 0").select("rep", "n", F.explode("tokens").alias("token"))
+    first = F.min(F.struct("doc_id", "n", "band", "low", "low_next", "tokens")).alias("s")
+    reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.band", "s.low", "s.low_next", "s.tokens"))
+    held = reps.filter("n > 0").select("rep", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    known = held.join(shared, "token")
-    low = F.lit(int(SHARE * 2**64))  # hashes are unsigned; those below are 0 to SHARE * 2**64
-    is_low = (F.col("token") >= 0) & (F.col("token") < low)
-    rank = F.struct(F.when(is_low, 0).otherwise(1).alias("part"), F.when(is_low, F.col("df")).otherwise(0).alias("df"), F.when(F.col("token") < 0, 1).otherwise(0).alias("sign"), F.col("token"))
-    by_doc = known.groupBy("rep", "n").agg(F.sort_array(F.collect_list(rank)).alias("known"))
-    sizes = reps.select("rep", F.size("tokens").alias("size"), F.size(F.filter("tokens", lambda t: (t >= 0) & (t < low))).alias("n_low"))
-    # tokens of one document only come first of their part of the order
-    whole = by_doc.join(sizes, "rep").withColumn("p", F.expr(f"n - (({similar} * n + {of - 1}) div {of}) + 1").cast("int"))
-    lows = F.filter("known", lambda t: t["part"] == 0)
-    alone_low = F.col("n_low") - F.size(lows)
-    kept_low = F.when(F.col("p") > alone_low, F.slice(lows, F.lit(1), F.greatest(F.col("p") - alone_low, F.lit(1)))).otherwise(F.filter("known", lambda t: F.lit(False)))
-    # beyond the low part the order is by hash alone: tokens holds it up to the prefix
-    kept_high = F.when(F.col("p") > F.col("n_low"), F.filter("known", lambda t: t["part"] == 1)).otherwise(F.filter("known", lambda t: F.lit(False)))
-    prefix = whole.select("rep", "n", F.explode(F.concat(kept_low, kept_high)).alias("t")).select("rep", "n", "t.token")
-    # sizes of linked sets differ by a tenth at most: bands of that width, each set in its own and the next
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(of / similar)).cast("int")
-    rows = prefix.select(F.explode(F.array(band, band + 1)).alias("band"), "token", "rep", "n").select(F.struct("token", "band").alias("key"), F.col("rep").alias("id"), "n")
+    known = held.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("known"))
+    below = lambda t, bound: F.shiftrightunsigned(t, 1) < bound
+    order = F.explode(F.array(F.struct("band", F.col("low").alias("bound")), F.struct((F.col("band") + 1).alias("band"), F.col("low_next").alias("bound")))).alias("o")
+    sizes = reps.filter("n > 0").select("rep", "n", "tokens", order).select("rep", "n", "o.band", "o.bound", F.size(F.filter("tokens", lambda t: below(t, F.col("o.bound")))).alias("n_low"))
+    whole = sizes.join(known, "rep").withColumn("p", F.expr(f"n - (({similar} * n + {of - 1}) div {of}) + 1").cast("int"))
+    whole = whole.withColumn("lows", F.sort_array(F.filter("known", lambda t: below(t["token"], F.col("bound")))))
+    none = F.filter("known", lambda t: F.lit(False))
+    # tokens of one document only come first of the first part
+    alone = F.col("n_low") - F.size("lows")
+    kept_low = F.when(F.col("p") > alone, F.slice("lows", F.lit(1), F.greatest(F.col("p") - alone, F.lit(1)))).otherwise(none)
+    # beyond the first part the order is by hash alone, and tokens holds it up to the prefix
+    kept_high = F.when(F.col("p") > F.col("n_low"), F.filter("known", lambda t: ~below(t["token"], F.col("bound")))).otherwise(none)
+    prefix = whole.select("rep", "n", "band", F.explode(F.concat(kept_low, kept_high)).alias("t"))
+    rows = prefix.select(F.struct("t.token", "band").alias("key"), F.col("rep").alias("id"), "n")
     texts = keyed.join(reps.filter("n > 0").select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "text")
     fits = lambda x, y: of * F.least(x("n"), y("n")) >= similar * F.greatest(x("n"), y("n"))
     found = link_buckets(rows, lambda pairs: _verified(pairs, texts, size, similar, of), fits)
