@@ -21,6 +21,8 @@ from .common import WORD, let, table, text_of
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
+#: Columns that the ledger adds; they replace columns of the same name.
+ADDED = ("n_words", "word_chars", "max_word", "n_repeat_words", "n_symbols", "n_exclaims", "n_lines", "n_dup_lines", "has_letter", "failed", "kept")
 
 
 def repeat_words(words: Column) -> Column:
@@ -80,7 +82,8 @@ def measured(docs: DataFrame) -> DataFrame:
     exclaims = F.when(text.contains("!!"), F.regexp_count(text, F.lit("!!"))).otherwise(0).cast("long")
     letters = F.when(text.rlike(r"\p{L}"), F.lit(1)).otherwise(0)
     out = docs.withColumns({"_words": let(words, facts), "_lines": let(lines, line_facts), "n_symbols": symbols, "n_exclaims": exclaims, "has_letter": letters == 1})
-    return out.select(*docs.columns, "_words.*", "n_symbols", "n_exclaims", "_lines.*", "has_letter")
+    added = {*ADDED, "_words", "_lines"}
+    return out.select(*[c for c in docs.columns if c not in added], "_words.*", "n_symbols", "n_exclaims", "_lines.*", "has_letter")
 
 
 
