@@ -57,3 +57,22 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a bitmap of ids: 256 rows of 4 KB, whatever the number of ids.
+BITMAP = 1 << 23
+
+
+def id_bits(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashed ids of a column."""
+    at = F.pmod(F.xxhash64(column), F.lit(BITMAP)).cast("long")
+    return ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def may_hold(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows whose column is probably in the bitmap: all that are, few others."""
+    at = F.pmod(F.xxhash64(column), F.lit(BITMAP)).cast("long")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")  # at most 256 rows of 4 KB
+    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")

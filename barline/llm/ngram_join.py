@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, ship, table, text_of
+from .common import id_bits, may_hold, saved, ship, table, text_of
 from .components import link_buckets
 
 ship(__name__)
@@ -109,7 +109,7 @@ def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
     return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, band int, low long, low_next long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int, of: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
     """The pairs whose sets share prefix tokens under two more orders and are
     similar enough."""
 
@@ -135,6 +135,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int, of: i
                         out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    pairs = saved(pairs)
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    # the bitmap keeps the texts of all other documents out of the shuffle
+    near = may_hold(docs.withColumnRenamed("doc_id", "rep"), "rep", id_bits(wanted, "rep"))
+    texts = near.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
     held = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     other = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
     return pairs.join(held, "a").join(other, "b").sortWithinPartitions("a").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
@@ -162,9 +167,8 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     kept_high = F.when(F.col("p") > F.col("n_low"), F.filter("known", lambda t: ~below(t["token"], F.col("bound")))).otherwise(none)
     prefix = whole.select("rep", "n", "band", F.explode(F.concat(kept_low, kept_high)).alias("t"))
     rows = prefix.select(F.struct("t.token", "band").alias("key"), F.col("rep").alias("id"), "n")
-    texts = keyed.join(reps.filter("n > 0").select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "text")
     fits = lambda x, y: of * F.least(x("n"), y("n")) >= similar * F.greatest(x("n"), y("n"))
-    found = link_buckets(rows, lambda pairs: _verified(pairs, texts, size, similar, of), fits)
+    found = link_buckets(rows, lambda pairs: _verified(pairs, keyed.select("doc_id", "text"), size, similar, of), fits)
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = keyed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")).unionByName(nameless)
