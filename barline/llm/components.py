@@ -2,9 +2,9 @@
 
 A bucket holds ids that may be linked. Comparing all pairs of a bucket would grow
 with the square of a group of copies, so it happens in two rounds: first every
-member is compared with the bucket's first member, and components are formed of
+member is compared with one member, the hub, and components are formed of
 the links found; then only members of one bucket that are still in different
-components are compared. Links inside a component cannot change it, so the
+components, and may fit by what their rows say, are compared. Links inside a component cannot change it, so the
 components are those of all links.
 """
 
@@ -52,31 +52,31 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads)
 
 
-def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable | None = None) -> DataFrame:
+def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable | None = None, hub_by: tuple[str, ...] = ()) -> DataFrame:
     """(id, component) of the ids that ``verify`` links, where rows (key, id and
     further columns) says which ids share a bucket. ``verify`` takes pairs (a, b)
     and returns those that are linked; ``fits`` gives a condition on the further
-    columns of two rows that any linked pair meets."""
+    columns of two rows that any linked pair meets in one bucket at least;
+    ``hub_by`` names columns that are least for the member which the others of a
+    bucket are likeliest to be linked with."""
     more = [c for c in rows.columns if c not in ("key", "id")]
     rows = saved(rows)
-    hub = rows.groupBy("key").agg(F.min(F.struct("id", *more)).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    hub = rows.groupBy("key").agg(F.min(F.struct(*hub_by, "id", *[c for c in more if c not in hub_by])).alias("hub"), F.count("*").alias("n_rows")).filter("n_rows > 1").select("key", "hub")
     met = rows.join(hub, "key")
     if fits is not None:
         met = met.filter(fits(lambda c: F.col(c), lambda c: F.col("hub")[c]))
-    first = verify(met.filter("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
+    first = verify(met.filter("id <> hub.id").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct())
     links = saved(first.select("a", "b"))
     comps = saved(components(links))
     named = rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_rows = saved(named.join(split, "key", "left_semi"))
-    groups = open_rows.groupBy("key", "component").agg(F.lit(1).alias("x")).drop("x")
-    across = groups.join(groups.select("key", F.col("component").alias("other")), "key").filter("component < other")
     left = open_rows.select("key", "component", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in more])
     right = open_rows.select("key", F.col("component").alias("other"), F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in more])
-    pairs = across.join(left, ["key", "component"]).join(right, ["key", "other"])
+    across = F.expr("a < b and component <> other")
     if fits is not None:
-        pairs = pairs.filter(fits(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
-    pairs = saved(pairs.select("a", "b").distinct())
+        across &= fits(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    pairs = saved(left.join(right, "key").filter(across).select("a", "b").distinct())
     if not pairs.take(1):
         return comps
     found = saved(verify(pairs).select("a", "b"))

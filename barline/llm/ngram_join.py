@@ -156,19 +156,25 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     known = held.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("known"))
     below = lambda t, bound: F.shiftrightunsigned(t, 1) < bound
     order = F.explode(F.array(F.struct("band", F.col("low").alias("bound")), F.struct((F.col("band") + 1).alias("band"), F.col("low_next").alias("bound")))).alias("o")
-    sizes = reps.filter("n > 0").select("rep", "n", "tokens", order).select("rep", "n", "o.band", "o.bound", F.size(F.filter("tokens", lambda t: below(t, F.col("o.bound")))).alias("n_low"))
+    sizes = reps.filter("n > 0").select("rep", "n", "tokens", order).select("rep", "n", "tokens", "o.band", "o.bound", F.size(F.filter("tokens", lambda t: below(t, F.col("o.bound")))).alias("n_low"))
     whole = sizes.join(known, "rep").withColumn("p", F.expr(f"n - (({similar} * n + {of - 1}) div {of}) + 1").cast("int"))
     whole = whole.withColumn("lows", F.sort_array(F.filter("known", lambda t: below(t["token"], F.col("bound")))))
-    none = F.filter("known", lambda t: F.lit(False))
     # tokens of one document only come first of the first part
     alone = F.col("n_low") - F.size("lows")
-    kept_low = F.when(F.col("p") > alone, F.slice("lows", F.lit(1), F.greatest(F.col("p") - alone, F.lit(1)))).otherwise(none)
+    low = F.transform("lows", lambda t, i: F.struct(t["token"].alias("token"), (alone + i).alias("pos")))
     # beyond the first part the order is by hash alone, and tokens holds it up to the prefix
-    kept_high = F.when(F.col("p") > F.col("n_low"), F.filter("known", lambda t: ~below(t["token"], F.col("bound")))).otherwise(none)
-    prefix = whole.select("rep", "n", "band", F.explode(F.concat(kept_low, kept_high)).alias("t"))
-    rows = prefix.select(F.struct("t.token", "band").alias("key"), F.col("rep").alias("id"), "n")
-    fits = lambda x, y: of * F.least(x("n"), y("n")) >= similar * F.greatest(x("n"), y("n"))
-    found = link_buckets(rows, lambda pairs: _verified(pairs, keyed.select("doc_id", "text"), size, similar, of), fits)
+    high = F.when(F.col("p") > F.col("n_low"), F.transform(
+        F.filter("known", lambda t: ~below(t["token"], F.col("bound"))), lambda t: F.struct(t["token"].alias("token"), (F.array_position("tokens", t["token"]) - 1).cast("int").alias("pos"))))
+    held_there = F.filter(F.concat(low, F.coalesce(high, F.array().cast("array<struct<token:bigint,pos:int>>"))), lambda t: t["pos"] < F.col("p"))
+    prefix = whole.select("rep", "n", "band", F.explode(held_there).alias("t"))
+    rows = prefix.select(F.struct("t.token", "band").alias("key"), F.col("rep").alias("id"), "n", "t.pos")
+
+    def fits(x, y):  # noqa: ANN001, ANN202
+        """At its first common token a linked pair still has enough tokens left."""
+        return (of + similar) * F.least(x("n") - x("pos"), y("n") - y("pos")) >= similar * (x("n") + y("n"))
+
+    # who has the fewest tokens before a common one is nearest to the others
+    found = link_buckets(rows, lambda pairs: _verified(pairs, keyed.select("doc_id", "text"), size, similar, of), fits, ("pos",))
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = keyed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")).unionByName(nameless)
