@@ -9,7 +9,10 @@ so only a share of all tokens is ever shuffled and common passages stay out of t
 prefixes. Linked sets differ in size by a tenth at most, so sets are compared in
 bands of size, each in its own and the next, and each band has its own share: 0.15
 of large sets, about 100 tokens of small ones, which a common passage could fill. Candidates must also share prefix tokens under two more orders (by two
-other hashes) before their sets are compared.
+other hashes) before their sets are compared. Before that, each set carries the parity of
+its tokens' count in 128 cells: sets differ in as many tokens at least as they have
+different parities, so most pairs of a group of copies that are not near enough are
+ruled out, without loss, where they meet.
 
 Exact copies are one class from the start. Candidates are compared in two rounds
 (see ``components``), so a group of copies costs links in proportion to its size.
@@ -42,6 +45,8 @@ WORDS, SIMILAR, OF = 3, 90, 100
 #: set of any size should have there.
 SHARE, TOKENS = 0.15, 100
 WORD_CACHE = 400_000
+#: Cells of the parities, two longs.
+CELLS = 128
 
 
 class WordHashes(dict):
@@ -77,6 +82,12 @@ def shingles(text: str, words: WordHashes, size: int = WORDS) -> np.ndarray:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Two longs: a bit per cell, set where the cell holds an odd number of tokens."""
+    odd = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int, similar: int = SIMILAR, of: int = OF) -> int:
     return n - -(-similar * n // of) + 1
 
@@ -91,9 +102,9 @@ def band_bound(band: int, similar: int, of: int) -> int:
 
 
 def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
-    """(k1, k2, doc_id, n, band, low, low_next, tokens): the start of each token
-    set in the order of the hashes, all below its band's bound and at least a
-    prefix."""
+    """(k1, k2, doc_id, n, odd1, odd2, band, low, low_next, tokens): the size and
+    parities of each token set, and its start in the order of the hashes, all below
+    its band's bound and at least a prefix."""
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -102,11 +113,12 @@ def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
             bands = [band_of(len(s), similar, of) for s in sets]
             bounds = [band_bound(b, similar, of) for b in bands]
             cut = [s[: max(int(np.searchsorted(s >> np.uint64(1), np.uint64(t))), prefix_length(len(s), similar, of) if len(s) else 0)] for s, t in zip(sets, bounds, strict=True)]
+            odd = [parities(s) for s in sets]
             yield pd.DataFrame({
-                "k1": pdf["k1"], "k2": pdf["k2"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "band": bands, "low": bounds,
+                "k1": pdf["k1"], "k2": pdf["k2"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "odd1": [o[0] for o in odd], "odd2": [o[1] for o in odd], "band": bands, "low": bounds,
                 "low_next": [band_bound(b + 1, similar, of) for b in bands], "tokens": [c.view(np.int64) for c in cut]})
 
-    return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, band int, low long, low_next long, tokens array<long>")
+    return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, odd1 long, odd2 long, band int, low long, low_next long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
@@ -149,14 +161,14 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
     nameless = docs.filter(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
-    first = F.min(F.struct("doc_id", "n", "band", "low", "low_next", "tokens")).alias("s")
-    reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.band", "s.low", "s.low_next", "s.tokens"))
+    first = F.min(F.struct("doc_id", "n", "odd1", "odd2", "band", "low", "low_next", "tokens")).alias("s")
+    reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.odd1", "s.odd2", "s.band", "s.low", "s.low_next", "s.tokens"))
     held = reps.filter("n > 0").select("rep", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = held.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("known"))
     below = lambda t, bound: F.shiftrightunsigned(t, 1) < bound
     order = F.explode(F.array(F.struct("band", F.col("low").alias("bound")), F.struct((F.col("band") + 1).alias("band"), F.col("low_next").alias("bound")))).alias("o")
-    sizes = reps.filter("n > 0").select("rep", "n", "tokens", order).select("rep", "n", "tokens", "o.band", "o.bound", F.size(F.filter("tokens", lambda t: below(t, F.col("o.bound")))).alias("n_low"))
+    sizes = reps.filter("n > 0").select("rep", "n", "odd1", "odd2", "tokens", order).select("rep", "n", "odd1", "odd2", "tokens", "o.band", "o.bound", F.size(F.filter("tokens", lambda t: below(t, F.col("o.bound")))).alias("n_low"))
     whole = sizes.join(known, "rep").withColumn("p", F.expr(f"n - (({similar} * n + {of - 1}) div {of}) + 1").cast("int"))
     whole = whole.withColumn("lows", F.sort_array(F.filter("known", lambda t: below(t["token"], F.col("bound")))))
     # tokens of one document only come first of the first part
@@ -166,12 +178,15 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     high = F.when(F.col("p") > F.col("n_low"), F.transform(
         F.filter("known", lambda t: ~below(t["token"], F.col("bound"))), lambda t: F.struct(t["token"].alias("token"), (F.array_position("tokens", t["token"]) - 1).cast("int").alias("pos"))))
     held_there = F.filter(F.concat(low, F.coalesce(high, F.array().cast("array<struct<token:bigint,pos:int>>"))), lambda t: t["pos"] < F.col("p"))
-    prefix = whole.select("rep", "n", "band", F.explode(held_there).alias("t"))
-    rows = prefix.select(F.struct("t.token", "band").alias("key"), F.col("rep").alias("id"), "n", "t.pos")
+    prefix = whole.select("rep", "n", "odd1", "odd2", "band", F.explode(held_there).alias("t"))
+    rows = prefix.select(F.struct("t.token", "band").alias("key"), F.col("rep").alias("id"), "n", "odd1", "odd2", "t.pos")
 
     def fits(x, y):  # noqa: ANN001, ANN202
-        """At its first common token a linked pair still has enough tokens left."""
-        return (of + similar) * F.least(x("n") - x("pos"), y("n") - y("pos")) >= similar * (x("n") + y("n"))
+        """At its first common token a linked pair still has enough tokens left, and
+        its sets differ in few enough cells."""
+        cells = F.bit_count(x("odd1").bitwiseXOR(y("odd1"))) + F.bit_count(x("odd2").bitwiseXOR(y("odd2")))
+        left = (of + similar) * F.least(x("n") - x("pos"), y("n") - y("pos")) >= similar * (x("n") + y("n"))
+        return left & ((of + similar) * cells <= (of - similar) * (x("n") + y("n")))
 
     # who has the fewest tokens before a common one is nearest to the others
     found = link_buckets(rows, lambda pairs: _verified(pairs, keyed.select("doc_id", "text"), size, similar, of), fits, ("pos",))
