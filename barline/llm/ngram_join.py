@@ -10,9 +10,10 @@ prefixes. Linked sets differ in size by a tenth at most, so sets are compared in
 bands of size, each in its own and the next, and each band has its own share: 0.15
 of large sets, about 100 tokens of small ones, which a common passage could fill. Candidates must also share prefix tokens under two more orders (by two
 other hashes) before their sets are compared. Before that, each set carries the parity of
-its tokens' count in 128 cells: sets differ in as many tokens at least as they have
+its tokens' count in cells: sets differ in as many tokens at least as they have
 different parities, so most pairs of a group of copies that are not near enough are
-ruled out, without loss, where they meet.
+ruled out without loss: where they meet by 128 cells, then by about as many cells as
+a set has tokens, so that texts move only for pairs that are linked or nearly so.
 
 Exact copies are one class from the start. Candidates are compared in two rounds
 (see ``components``), so a group of copies costs links in proportion to its size.
@@ -45,8 +46,8 @@ WORDS, SIMILAR, OF = 3, 90, 100
 #: set of any size should have there.
 SHARE, TOKENS = 0.15, 100
 WORD_CACHE = 400_000
-#: Cells of the parities, two longs.
-CELLS = 128
+#: Cells of the parities: the fewest, two longs, and the most.
+CELLS, MOST_CELLS = 128, 1 << 20
 
 
 class WordHashes(dict):
@@ -82,10 +83,25 @@ def shingles(text: str, words: WordHashes, size: int = WORDS) -> np.ndarray:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Two longs: a bit per cell, set where the cell holds an odd number of tokens."""
-    odd = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def parities(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """A bit per cell, set where the cell holds an odd number of tokens, as bytes."""
+    odd = np.bincount((s % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def cells_for(n: int) -> int:
+    return min(MOST_CELLS, max(CELLS, 1 << max(n - 1, 1).bit_length()))
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """How many tokens two sets differ in at least, by their parities. The longer is
+    folded: a cell of half as many holds the tokens of two."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(u) != len(v):
+        if len(u) < len(v):
+            u, v = v, u
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
 
 
 def prefix_length(n: int, similar: int = SIMILAR, of: int = OF) -> int:
@@ -102,7 +118,7 @@ def band_bound(band: int, similar: int, of: int) -> int:
 
 
 def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
-    """(k1, k2, doc_id, n, odd1, odd2, band, low, low_next, tokens): the size and
+    """(k1, k2, doc_id, n, odd1, odd2, cells, band, low, low_next, tokens): the size and
     parities of each token set, and its start in the order of the hashes, all below
     its band's bound and at least a prefix."""
 
@@ -113,15 +129,28 @@ def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
             bands = [band_of(len(s), similar, of) for s in sets]
             bounds = [band_bound(b, similar, of) for b in bands]
             cut = [s[: max(int(np.searchsorted(s >> np.uint64(1), np.uint64(t))), prefix_length(len(s), similar, of) if len(s) else 0)] for s, t in zip(sets, bounds, strict=True)]
-            odd = [parities(s) for s in sets]
+            odd = [parities(s).view(np.int64) for s in sets]
             yield pd.DataFrame({
-                "k1": pdf["k1"], "k2": pdf["k2"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "odd1": [o[0] for o in odd], "odd2": [o[1] for o in odd], "band": bands, "low": bounds,
+                "k1": pdf["k1"], "k2": pdf["k2"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "odd1": [o[0] for o in odd], "odd2": [o[1] for o in odd], "cells": [parities(s, cells_for(len(s))).tobytes() for s in sets], "band": bands, "low": bounds,
                 "low_next": [band_bound(b + 1, similar, of) for b in bands], "tokens": [c.view(np.int64) for c in cut]})
 
-    return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, odd1 long, odd2 long, band int, low long, low_next long, tokens array<long>")
+    return docs.mapInPandas(starts, "k1 long, k2 long, doc_id long, n long, odd1 long, odd2 long, cells binary, band int, low long, low_next long, tokens array<long>")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
+    """The pairs whose sets (rep, n, cells) may be similar enough by their parities."""
+
+    def nearby(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            apart = np.array([least_difference(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)], np.int64)
+            yield pdf.loc[(of + similar) * apart <= (of - similar) * pdf["n"].to_numpy(), ["a", "b"]]
+
+    x = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n")).mapInPandas(nearby, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
     """The pairs whose sets share prefix tokens under two more orders and are
     similar enough."""
 
@@ -147,7 +176,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, similar: int, of: in
                         out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    pairs = saved(pairs)
+    pairs = saved(_near(pairs, sets, similar, of))
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     # the bitmap keeps the texts of all other documents out of the shuffle
     near = may_hold(docs.withColumnRenamed("doc_id", "rep"), "rep", id_bits(wanted, "rep"))
@@ -161,8 +190,8 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
     nameless = docs.filter(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
-    first = F.min(F.struct("doc_id", "n", "odd1", "odd2", "band", "low", "low_next", "tokens")).alias("s")
-    reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.odd1", "s.odd2", "s.band", "s.low", "s.low_next", "s.tokens"))
+    first = F.min(F.struct("doc_id", "n", "odd1", "odd2", "cells", "band", "low", "low_next", "tokens")).alias("s")
+    reps = saved(_tokens(keyed.select("k1", "k2", "doc_id", "text"), size, similar, of).groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n", "s.odd1", "s.odd2", "s.cells", "s.band", "s.low", "s.low_next", "s.tokens"))
     held = reps.filter("n > 0").select("rep", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = held.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("known"))
@@ -189,7 +218,7 @@ def join_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
         return left & ((of + similar) * cells <= (of - similar) * (x("n") + y("n")))
 
     # who has the fewest tokens before a common one is nearest to the others
-    found = link_buckets(rows, lambda pairs: _verified(pairs, keyed.select("doc_id", "text"), size, similar, of), fits, ("pos",))
+    found = link_buckets(rows, lambda pairs: _verified(pairs, reps.select("rep", "n", "cells"), keyed.select("doc_id", "text"), size, similar, of), fits, ("pos",))
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = keyed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")).unionByName(nameless)

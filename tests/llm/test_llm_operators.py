@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,18 @@ def test_ngram_join_against_brute_force(spark, odd, none):
     assert ngram_join.join_components(none).count() == 0
 
 
+def test_parities_never_rule_out_a_linked_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 60, 129, 700, 5000):
+        for change in (0, 1, n // 30, n // 2):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[change // 2 :], rng.integers(0, 2**63, change, dtype=np.uint64)]))
+            held = [ngram_join.parities(s, ngram_join.cells_for(len(s))).tobytes() for s in (x, y)]
+            apart = len(np.setxor1d(x, y))
+            assert ngram_join.least_difference(*held) == ngram_join.least_difference(*held[::-1]) <= apart
+            assert (ngram_join.least_difference(*held) > 0) or apart < 4
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     out = {r.id: r.component for r in components.components(links).collect()}
@@ -179,7 +192,6 @@ def test_mix_meets_targets(spark, odd, none):
 
 
 def test_packing_ids_and_bounds(spark, odd, none):
-    import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
