@@ -119,6 +119,26 @@ def test_lines_fuzzy_components(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).count() == 11
 
 
+def test_repetitive_lines_against_brute_force(spark):
+    """Phrases repeated up to a hundred times: few distinct shingles at many places."""
+    lines = ["-" * 900, "-" * 90, "la " * 300, "la " * 40]
+    for k in range(30):
+        phrase = prose(100 + k, 18) + " "
+        lines += [phrase * (30 + k), phrase * (3 * k + 5), phrase * (20 + k) + "and out"]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    group = list(range(len(lines)))
+    for b in range(len(lines)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    want = {i for i in range(len(lines)) if i != group.index(group[i])}
+    rows = [(i, x, "en", "a") for i, x in enumerate(lines)]
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    distinct, owner, _ = line_dedup.signatures(lines)
+    assert distinct.tolist() == [len(x) for x in sets] and set(owner.tolist()) == set(range(len(lines)))
+    assert {i for i, n in out.items() if n} == want and len(want) > 60
+
+
 def test_matroska_round_trip_and_lacing(spark, odd, none):
     for n in (0, 1, 576, 577, 5000, 600_000):
         raw = bytes(i * 7 % 256 for i in range(n))
