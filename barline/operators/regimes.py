@@ -59,7 +59,7 @@ def transitions(df: DataFrame, label: str = "regime_label") -> DataFrame:
     return n.join(total, ["symbol", "from_state"]).select("symbol", "from_state", "to_state", (F.col("n") / F.col("total")).alias("prob"))
 
 
-def hmm(df: DataFrame, states: int = 4, columns: tuple[str, ...] = ("returns", "vol_21d"), train_end: str | None = None, online: bool = True, steps: int = 50, full: bool = False) -> DataFrame:
+def hmm(df: DataFrame, states: int = 4, columns: tuple[str, ...] = ("returns", "vol_21d"), train_end: str | None = None, online: bool = True, steps: int = 100, full: bool = False) -> DataFrame:
     """regime_label and regime_prob_* by a Gaussian HMM per symbol, fitted on bars
     up to ``train_end``. Online, probabilities use no later bar and start after
     max(30, 10 states) complete bars; symbols with too few bars stay null."""

@@ -174,8 +174,8 @@ add("reg_02_durations", lambda s, f: regimes.durations(regimes.classify(at.featu
     [*S["reg"], ("k0", f"select symbol, d, regime_label, lag(regime_label) over ({o.BY}) as was from reg where regime_label is not null"), ("k1", f"select *, sum((was is null or was <> regime_label)::int) over ({o.BY} rows between unbounded preceding and current row) as run from k0")],
     "select symbol, regime, avg(n) as mean_bars from (select symbol, regime_label as regime, run, count(*) as n from k1 group by 1, 2, 3) group by 1, 2")
 add("reg_03_frequency", lambda s, f: regimes.frequency(regimes.classify(at.featured(s, f))), "symbol:s regime:s share:f", S["reg"], "select symbol, regime_label as regime, count(*)::double / sum(count(*)) over (partition by symbol) as share from reg where regime_label is not null group by 1, 2")
-add("reg_04_hmm_smoothed", lambda s, f: regimes.hmm(at.featured(s, f), steps=15, online=False), f"{BAR} regime_label:s {PROBS}")
-add("reg_06_hmm_online", lambda s, f: regimes.hmm(at.featured(s, f), steps=15), f"{BAR} regime_label:s {PROBS}")
+add("reg_04_hmm_smoothed", lambda s, f: regimes.hmm(at.featured(s, f), online=False), f"{BAR} regime_label:s {PROBS}")
+add("reg_06_hmm_online", lambda s, f: regimes.hmm(at.featured(s, f)), f"{BAR} regime_label:s {PROBS}")
 add("reg_08_transitions", lambda s, f: regimes.transitions(regimes.classify(at.featured(s, f))), "symbol:s from_state:s to_state:s prob:f",
     [*S["reg"], ("t0", f"select symbol, lag(regime_label) over ({o.BY}) as from_state, regime_label as to_state from reg where regime_label is not null")],
     "select symbol, from_state, to_state, count(*)::double / sum(count(*)) over (partition by symbol, from_state) as prob from t0 where from_state is not null group by 1, 2, 3")

@@ -1,8 +1,10 @@
 """Registered queries run the reference's whole settings."""
 
+import inspect
+
 import pytest
 
-from barline.operators import learning
+from barline.operators import kernels, learning, regimes
 from barline.plans import frames, registry
 
 
@@ -27,3 +29,14 @@ def test_walk_forward_queries_use_all_folds_and_the_boosted_trees(spark, walks):
     assert list(made.values()) == ["predictions", ("fold_report", "predictions"), ("importance_report", "importances"), ("threshold_sweep", "predictions")]
     assert walks == [(learning.Folds(), None)] * 4 and learning.Folds().n_folds == 5
     assert learning.model("xgboost").getMaxIter() == 200 and learning.model("xgboost").getMaxDepth() == 4
+
+
+def test_hmm_queries_fit_up_to_the_kernels_own_steps(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(frames, "featured", lambda s, f: "bars")
+    monkeypatch.setattr(regimes, "hmm", lambda df, **given: asked.append(given))
+    for name in ("reg_04_hmm_smoothed", "reg_06_hmm_online"):
+        registry.ALL[name].make(None, "")
+    monkeypatch.undo()
+    assert asked == [{"online": False}, {}]
+    assert inspect.signature(regimes.hmm).parameters["steps"].default == kernels.GaussianHMM().steps == 100
