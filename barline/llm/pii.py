@@ -9,8 +9,9 @@ them but few rows), score it, and a threshold per kind, calibrated on the
 validators' verdicts, selects what is added. Trees become nested CASE
 expressions: scoring runs inside the scan, without a shuffle or a UDF.
 
-Labels come from the validators (octet range, check digit, digit count), whose
-outcomes are no features. A kind for which no threshold reaches ``PRECISION``
+Labels come from the validators (octet range, check digit, digit count; for wide
+proposals also the form of an address and of a telephone number), whose outcomes
+are no features. A kind for which no threshold reaches ``PRECISION``
 adds nothing.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
@@ -47,6 +48,12 @@ WIDE = (
     r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}(?![0-9])",
     r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-]|\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 )
+#: Every match of the first of them has this inside, or is not searched for.
+WRITTEN_AT = r"(?:[\[(]\x20?at\x20?[\])]|\x20at\x20)"
+#: Words that stand before a plain "at" in prose; they are no mailbox there.
+PROSE = "|".join("a all also and any are around arrive arrived at available back be been before begin begins but buy by call can check contact day details directly down each email enroll find first for found free from go good have held here home hosted i in info information is it join last later less live located look looking mail main me meet met more most not now of office on online only open or order out over page people place published read register see seen shop sign site starts stay stop store team that the them then there these they this time to today up us view visit was we website week were work works write year you".split())
+#: Assigned country calling codes.
+COUNTRIES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-4][0-9]|25[0-8]|26[0-9]|29[01789]|3[578][0-9]|42[0-9]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[0-9]|87[0-9]|88[0-9]|96[0-9]|97[0-9]|99[2-68])"
 HINTS = (r"(?i)(mail|contact|write|reach)", r"(?i)(\bip\b|host|server|addr)", r"(?i)(card|visa|pay|credit)", r"(?i)(phone|call|tel|fax|mobile)")
 FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces")
 PRECISION = 0.98
@@ -80,9 +87,31 @@ def valid(s: Column) -> Column:
     )
 
 
+def mailbox(match: Column) -> Column:
+    """Whether a mailbox written with "at" reads as an address: dots inside names only,
+    labels that neither begin nor end in a hyphen, a top-level domain of letters of
+    one case, and no word of prose before a plain "at" with a plain domain."""
+    plain = F.regexp_replace(F.regexp_replace(match, r"\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20", "@"), r"\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20", ".")
+    shape = plain.rlike(r"^[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+(?:[a-z]{2,24}|[A-Z]{2,24})$")
+    return shape & ~match.rlike(rf"^(?i:{PROSE})\x20at\x20[A-Za-z0-9.-]+$")
+
+
+def telephone(match: Column) -> Column:
+    """Whether a number without a plus is of a country calling code that is assigned,
+    or keeps the ten-digit plan: area code and exchange from 2 on, neither ends in 11."""
+    digits = digits_of(match)
+    return F.when(match.startswith("00"), match.rlike(rf"^00{COUNTRIES}[\x20.-]")).otherwise(digits.rlike(r"^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{2}[0-9]{4}$"))
+
+
+def verdict(s: Column) -> Column:
+    """What is said of a wide proposal: that of its kind, and more where the kind's
+    own accepts all that the generator finds."""
+    return F.when(s["kind"] == 0, mailbox(s["match"])).when(s["kind"] == 3, valid(s) & telephone(s["match"])).otherwise(valid(s))
+
+
 def _found(text: Column, patterns: tuple[str, ...]) -> Column:
     digit = text.rlike("[0-9]")
-    maybe = (text.contains("@") if patterns is BASE else text.rlike(r"(?:[\[(]|\x20)at(?:[\])]|\x20)[^@]*(?:[\[(]|\x20)dot"), digit, digit, text.contains("+") & digit if patterns is BASE else digit)
+    maybe = (text.contains("@") if patterns is BASE else text.rlike(WRITTEN_AT + r"\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot|\x20dot\x20|\.)"), digit, digit, text.contains("+") & digit if patterns is BASE else digit)
     return F.concat(*[matches(text, p, k, m) for k, (p, m) in enumerate(zip(patterns, maybe, strict=True))])
 
 
@@ -104,12 +133,12 @@ def propose(docs: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def described(spans: Column, wide: int) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _features(s, wide).alias("f"), valid(s).alias("valid")))
+        return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _features(s, wide).alias("f"), (verdict(s) if wide else valid(s)).alias("valid")))
 
     both = F.struct(_found(text, BASE).alias("base"), _found(text, WIDE).alias("wide"))
     return (
         docs.select("doc_id", text_of().alias("text"))
-        .withColumn("found", F.when(text.rlike(r"[0-9@]") | text.contains(" dot") | text.contains("dot]"), let(both, lambda b: F.struct(
+        .withColumn("found", F.when(text.rlike(r"[0-9@]") | text.rlike(WRITTEN_AT), let(both, lambda b: F.struct(
             F.transform(F.filter(b["base"], valid), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"),
             F.concat(described(b["base"], 0), described(b["wide"], 1)).alias("proposals")))))
         .select("doc_id", "found.base", "found.proposals")
