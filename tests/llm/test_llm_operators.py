@@ -104,6 +104,18 @@ def test_secrets_ownership(spark, odd, none):
     assert secrets.scan(none).count() == 0 and secrets.scan(odd).count() == 11
 
 
+def test_secrets_count_repositories_and_bare_strings(spark):
+    copied, bare = f"ghp_{'a1B2' * 9}", "q7RtZ0pXv3KdM9bYw2LfT8sHc5Nj"
+    rows = [(i, f"x {copied} y", "en", "hot") for i in range(10)]
+    rows += [(20, f"key {bare} here, ghp_{'z9Y8' * 9}", "en", "s"), (21, "aLongCamelCaseIdentifierOfWords2 password = " + bare[:24], "en", "s")]
+    rows += [(30 + i, f"see sk-{'t5U6' * 7}", "en", "s") for i in range(9)]
+    out = {r.doc_id: r for r in secrets.scan(docs_of(spark, rows)).collect()}
+    assert all((out[i].n_live, out[i].n_example, out[i].spans) == (0, 1, []) for i in range(10))
+    assert [(s.start, s.kind, s.end) for s in out[20].spans] == [(4, 4, 32), (39, 3, 79)] and (out[20].n_live, out[20].base) == (2, [])
+    assert [s.kind for s in out[21].spans] == [0] and out[21].n_live == 1
+    assert all(out[30 + i].n_live == 1 for i in range(9))
+
+
 def test_quality_windows_against_brute_force(spark, odd, none):
     texts = [prose(1, 30), " ".join(["a b c d e f g h"] * 3), "a b c d e f g h i " + "a b c d e f g h j", "x " * 7, "", None, "l one\nl one\n\nl two\nl one", prose(5, 300) + " " + prose(5, 300)]
     out = {r.doc_id: r for r in quality_rules.ledger(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
