@@ -51,7 +51,8 @@ WIDE = (
 #: Every match of the first of them has this inside, or is not searched for.
 WRITTEN_AT = r"(?:[\[(]\x20?at\x20?[\])]|\x20at\x20)"
 #: Words that stand before a plain "at" in prose; they are no mailbox there.
-PROSE = "|".join("a all also and any are around arrive arrived at available back be been before begin begins but buy by call can check contact day details directly down each email enroll find first for found free from go good have held here home hosted i in info information is it join last later less live located look looking mail main me meet met more most not now of office on online only open or order out over page people place published read register see seen shop sign site starts stay stop store team that the them then there these they this time to today up us view visit was we website week were work works write year you".split())
+#: Names that mailboxes have (info, contact, office) are not among them.
+PROSE = "|".join("a all also and any are around arrive arrived at available back be been before begin begins but buy by can directly down each find first for found free from go good have held here home hosted i in is it join last later less live located look looking me meet met more most not now of on only open or out over place published read see seen starts stay stop that the them then there these they this time to today up us view visit was we were write you".split())
 #: Assigned country calling codes.
 COUNTRIES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-4][0-9]|25[0-8]|26[0-9]|29[01789]|3[578][0-9]|42[0-9]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[0-9]|87[0-9]|88[0-9]|96[0-9]|97[0-9]|99[2-68])"
 HINTS = (r"(?i)(mail|contact|write|reach)", r"(?i)(\bip\b|host|server|addr)", r"(?i)(card|visa|pay|credit)", r"(?i)(phone|call|tel|fax|mobile)")
