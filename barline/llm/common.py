@@ -42,9 +42,11 @@ def n_words(column: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Only a session that sets none (tests on one machine) gets a local one."""
+    Only a session on one machine that sets none (tests) gets a local one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = tempfile.mkdtemp(prefix="barline-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -59,20 +61,22 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a bitmap of ids: 256 rows of 4 KB, whatever the number of ids.
-BITMAP = 1 << 23
+#: Bits of the largest bitmap of ids: 16 MB, which is what is broadcast at most.
+MOST_BITS = 1 << 27
 
 
-def id_bits(ids: DataFrame, column: str) -> DataFrame:
-    """A bitmap of the hashed ids of a column."""
-    at = F.pmod(F.xxhash64(column), F.lit(BITMAP)).cast("long")
-    return ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-
-
-def may_hold(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """Rows whose column is probably in the bitmap: all that are, few others."""
-    at = F.pmod(F.xxhash64(column), F.lit(BITMAP)).cast("long")
+def may_hold(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose column is probably among ``ids``, a written table of distinct ids in
+    a column of that name: all that are, few others. A bitmap of 16 bits an id is
+    broadcast in rows of 4 KB; where the ids are too many for 2 bits each, all rows
+    pass. Whoever needs these rows alone joins them with the ids next."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    if n > bits // 2:
+        return rows
+    at = F.pmod(F.xxhash64(column), F.lit(bits)).cast("long")
+    held = ids.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
     place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")  # at most 256 rows of 4 KB
-    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(held), "_bucket")  # at most MOST_BITS
+    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
