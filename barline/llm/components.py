@@ -28,7 +28,7 @@ from .common import saved
 
 Get = Callable[[str], Column]
 #: Members of a bucket whose pairs are all compared: a constant number for each row.
-SMALL = 16
+SMALL = 24
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
