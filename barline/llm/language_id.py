@@ -14,7 +14,8 @@ model is a table of ``DIMS`` buckets by bits, whatever the corpus size.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 and so is every text if nothing is there to learn from; rows with a null language
-or text are not learned from; repeated rows count each; an empty table gives an
+or text are not learned from; repeated rows count each and are told each for itself; of codewords equally near the
+language first by name is told; an empty table gives an
 empty table; columns other than doc_id, text and lang are ignored.
 """
 
@@ -44,9 +45,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def grams(text: str) -> np.ndarray:
+def grams(text: str, seen: int = 0) -> np.ndarray:
     """Buckets of the 1-, 2- and 3-grams of a text, lower-cased; other than
-    letters, all characters count as one."""
+    letters, all characters count as one. Those that end in the first ``seen``
+    characters are left out."""
     t = text.lower()
     x = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     letter = (x >= 97) & (x <= 122) | (x >= 0xAA)
@@ -54,11 +56,11 @@ def grams(text: str) -> np.ndarray:
     m = np.uint64(0x9E3779B97F4A7C15)
     two = x[:-1] * np.uint64(31) + x[1:] + np.uint64(1 << 40) if len(x) > 1 else x[:0]
     three = x[:-2] * np.uint64(961) + x[1:-1] * np.uint64(31) + x[2:] + np.uint64(1 << 41) if len(x) > 2 else x[:0]
-    return (np.concatenate([x, two, three]) * m >> np.uint64(51)).astype(np.int64) % DIMS
+    return (np.concatenate([x[seen:], two[max(0, seen - 1) :], three[max(0, seen - 2) :]]) * m >> np.uint64(51)).astype(np.int64) % DIMS
 
 
 def has_letter(text: str) -> bool:
-    return text.lower() != text.upper() or any(c.isalpha() for c in text)
+    return any(map(str.isalpha, text))
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ class Model:
         total = np.zeros(self.table.shape[1])
         n = 0
         for a in range(0, len(text), CHUNK):
-            g = grams(text[a : a + CHUNK])
+            g = grams(text[max(0, a - 2) : a + CHUNK], min(a, 2))
             total += np.bincount(g, minlength=DIMS) @ self.table if len(g) > 2 * DIMS else self.table[g].sum(0, dtype=np.float64)
             n += len(g)
         return np.clip(total / math.sqrt(max(n, 1)), -MOST, MOST)

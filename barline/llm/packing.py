@@ -4,18 +4,20 @@ Documents become token ids (then one separator id); documents longer than a bin
 are cut so that all pieces but the first are full bins. Full pieces fill bins of
 their own. The rest is packed by partitions: each packs its pieces by best-fit
 decreasing, and a lower bound from dual-feasible functions certifies its bin
-count. Partitions whose count exceeds the bound hand their loosely filled bins to
-a round of exchange: the pieces of those bins are dealt to fewer partitions and
-packed again, until the bound is met, a round no longer helps or the pool fits
-in one partition. Only lengths travel; at no point does one task hold more than
-``GROUP`` pieces, but for the chance of the deal.
+count. Partitions whose count exceeds the bound hand their bins that are not full to
+a round of exchange: the pieces of those bins are dealt anew to as many partitions as
+they need and packed again, until the bounds are met, a round saves no bin or the pool
+fits in one partition. Only lengths travel; at no point does one task hold more than
+``GROUP`` pieces, but for the chance of the deal. Each piece carries the certificate of
+the partition that packed it; ``certificate`` compares all sequences with the bound
+for all pieces.
 
 Bins are filled to 2048 tokens at most. Token ids come from byte-level BPE; as
 pieces of text between single spaces are tokenised independently of each other
 by that pattern, their ids are cached per worker (up to ``CACHE`` strings).
 
 Defined results: a null text is an empty document (one separator); repeated rows
-are packed each for itself; other columns are ignored; an empty table gives an
+are packed each for itself; equal lengths are packed in the order of their rows; other columns are ignored; an empty table gives an
 empty table.
 """
 
@@ -35,9 +37,10 @@ from .common import saved, ship, table, text_of
 ship(__name__)
 
 BIN = 2048
-GROUP = 40_000
+GROUP = 20_000
+#: Tokens that a bin may lack and count as full.
+SLACK = 8
 CACHE = 300_000
-ROUNDS = 6
 #: Parameters of the dual-feasible step functions, as parts of a bin.
 STEPS = tuple(range(1, 50))
 
@@ -103,12 +106,15 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFr
 
 
 def lower_bound(lengths: np.ndarray, room: int = BIN) -> int:
-    """Bins that these lengths need at least: the greatest of the sums of dual-
-    feasible functions. ``u(e)`` drops what is shorter than e and counts what is
-    longer than a bin less e as a whole bin; ``w(k)`` rounds (k + 1) x down."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=room + 1)
+    """Bins that these lengths need at least (see ``bound_of_counts``)."""
+    return bound_of_counts(np.bincount(lengths, minlength=room + 1), room) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, room: int = BIN) -> int:
+    """Bins that pieces need at least, by the number of each length: the greatest of
+    the sums of dual-feasible functions. ``u(e)`` drops what is shorter than e and
+    counts what is longer than a bin less e as a whole bin; ``w(k)`` rounds (k + 1) x
+    down."""
     x = np.arange(room + 1)
     best = -(-int((count * x).sum()) // room)
     for e in range(1, room // 2 + 1, 16):
@@ -147,54 +153,70 @@ def best_fit(lengths: np.ndarray, room: int = BIN) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-PLACED = "row long, length long, part long, bin long, offset long, gap long"
+PLACED = "row long, length long, part long, bin long, offset long, part_bins long, part_bound long"
 
 
 def _packed(part: DataFrame) -> DataFrame:
-    """Packs each part (row, length, part); gap is its bins less its bound."""
+    """Packs each part (row, length, part); part_bins and part_bound are its bins and
+    their lower bound."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "row"], ascending=[False, True])
         lengths = group["length"].to_numpy()
         bins, offsets = best_fit(lengths)
-        gap = (int(bins.max()) + 1 if len(bins) else 0) - lower_bound(lengths)
-        return group.assign(bin=bins, offset=offsets, gap=gap)[["row", "length", "part", "bin", "offset", "gap"]]
+        return group.assign(bin=bins, offset=offsets, part_bins=int(bins.max()) + 1, part_bound=lower_bound(lengths))[[c.split()[0] for c in PLACED.split(", ")]]
 
     return part.groupBy("part").applyInPandas(pack, PLACED)
 
 
 def pack(sized: DataFrame) -> DataFrame:
-    """(row, sequence_id, offset) of sized (row, length): lengths of 1 to 2048."""
-    full = sized.filter(F.col("length") == BIN).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = sized.filter(F.col("length") < BIN)
-    total = rest.count()
-    parts = max(1, -(-total // GROUP))
-    done = [full]
-    pool = rest.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
-    for turn in range(ROUNDS):
-        placed = saved(_packed(pool))
-        facts = placed.groupBy("part").agg(F.max("gap").alias("gap")).agg(F.sum("gap").alias("gap"), F.count("*").alias("parts")).first()
-        name = (F.lit(turn << 59) + F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id")  # a part has under 2^20 bins
-        if not facts["gap"] or facts["parts"] <= 1 or turn == ROUNDS - 1:
-            done.append(placed.select("row", name, "offset"))
+    """(row, sequence_id, offset, part_bins, part_bound) of sized (row, length): lengths
+    of 1 to 2048. The last two certify the part that packed a row: its bins, and how many
+    they are at least; a full row is a part of its own."""
+    one = F.lit(1).cast("long")
+    full = sized.filter(F.col("length") == BIN).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("part_bins"), one.alias("part_bound"))
+    pool = saved(sized.filter(F.col("length") < BIN).select("row", "length"))
+    done, turn, before = [full], 0, None
+    while True:
+        parts = max(1, -(-pool.count() // GROUP))
+        placed = saved(_packed(pool.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))))
+        facts = placed.select("part", "part_bins", "part_bound").distinct().agg(F.sum("part_bins").alias("bins"), F.sum("part_bound").alias("bound")).first()
+        bins, gap = facts["bins"] or 0, (facts["bins"] or 0) - (facts["bound"] or 0)
+        if before is not None and bins >= before[1]:  # the exchange gained nothing: what it had stays
+            done.append(before[0])
+            break
+        # a part has under 2^16 bins: GROUP rows but for the chance of the deal
+        name = (F.lit(turn << 48) + F.col("part") * (1 << 16) + F.col("bin")).alias("sequence_id")
+        told = ["row", name, "offset", "part_bins", "part_bound"]
+        if gap <= 0 or parts == 1:
+            done.append(placed.select(*told))
             break
         fill = placed.groupBy("part", "bin").agg(F.sum("length").alias("fill"))
-        loose = fill.filter(F.col("fill") < BIN - 8).select("part", "bin")
-        given = (F.col("gap") > 0) & F.col("loose").isNotNull()
-        marked = saved(placed.join(loose.withColumn("loose", F.lit(1)), ["part", "bin"], "left").withColumn("given", given))
-        done.append(marked.filter(~F.col("given")).select("row", name, "offset"))
+        loose = fill.filter(F.col("fill") < BIN - SLACK).select("part", "bin", F.lit(1).alias("loose"))
+        given = (F.col("part_bins") > F.col("part_bound")) & F.col("loose").isNotNull()
+        marked = saved(placed.join(loose, ["part", "bin"], "left").withColumn("given", given))
+        done.append(marked.filter("not given").select(*told))
         back = marked.filter("given")
-        count = back.count()
-        parts = max(1, min(-(-count // GROUP), (parts + 1) // 2))
-        pool = back.select("row", "length", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)).alias("part"))
+        before = back.select(*told), back.select("part", "bin").distinct().count()
+        pool, turn = saved(back.select("row", "length")), turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def certificate(packed: DataFrame) -> tuple[int, int]:
+    """(sequences, lower bound) of packed pieces (sequence_id, length). What comes to
+    the driver is the number of pieces of each length: at most 2048 rows."""
+    count = np.zeros(BIN + 1, np.int64)
+    for length, n in packed.groupBy("length").agg(F.count("*")).collect():
+        count[length] = n
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(count)
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins,
+    part_bound) per piece."""
     cut_up = saved(pieces(docs).withColumn("row", F.monotonically_increasing_id()))
     return cut_up.join(pack(cut_up.select("row", "length")), "row").drop("row")
 

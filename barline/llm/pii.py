@@ -11,11 +11,13 @@ expressions: scoring runs inside the scan, without a shuffle or a UDF.
 
 Labels come from the validators (octet range, check digit, digit count; for wide
 proposals also the form of an address and of a telephone number), whose outcomes
-are no features. A kind for which no threshold reaches ``PRECISION``
-adds nothing.
+are no features: what is added is what the trees choose. Thresholds are calibrated on
+the documents that the fit has not seen; a kind for which none reaches ``PRECISION``
+there adds nothing.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
-give repeated rows; columns other than doc_id and text are ignored; with an
+give repeated rows; of chosen proposals that overlap, the one of the greatest margin,
+then kind, then start stays; a null doc_id is passed on; columns other than doc_id and text are ignored; with an
 empty table, or labels of one class, nothing is fitted and only base spans stand.
 """
 
@@ -56,8 +58,12 @@ PROSE = "|".join("a all also and any are around arrive arrived at available back
 #: Assigned country calling codes.
 COUNTRIES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-4][0-9]|25[0-8]|26[0-9]|29[01789]|3[578][0-9]|42[0-9]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[0-9]|87[0-9]|88[0-9]|96[0-9]|97[0-9]|99[2-68])"
 HINTS = (r"(?i)(mail|contact|write|reach)", r"(?i)(\bip\b|host|server|addr)", r"(?i)(card|visa|pay|credit)", r"(?i)(phone|call|tel|fax|mobile)")
-FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces")
+FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces", "brackets")
 PRECISION = 0.98
+#: One document in so many is kept from the fit; thresholds are set on its proposals.
+HELD_OUT = 4
+#: Held-out proposals above a threshold that it takes to trust it.
+LEAST = 20
 TREES, DEPTH = 8, 3
 
 
@@ -125,7 +131,7 @@ def _features(s: Column, wide: int) -> Column:
         s["kind"].alias("kind"), F.lit(wide).alias("wide"), F.least(F.length(s["match"]), F.lit(40)).alias("length"),
         F.least(F.length(digits_of(s["match"])), F.lit(24)).alias("digits"), F.least(F.regexp_count(s["match"], F.lit("[0-9]+")), F.lit(8)).alias("groups"),
         as_int(hint).alias("hint"), as_int(s["before"].rlike(r"[\p{L}0-9]$")).alias("glued_before"), as_int(s["after"].rlike(r"^[\p{L}0-9]")).alias("glued_after"),
-        F.least(F.regexp_count(s["match"], F.lit(" ")), F.lit(4)).alias("spaces"))
+        F.least(F.regexp_count(s["match"], F.lit(" ")), F.lit(4)).alias("spaces"), F.least(F.regexp_count(s["match"], F.lit(r"[\[(]")), F.lit(3)).alias("brackets"))
 
 
 def propose(docs: DataFrame) -> DataFrame:
@@ -138,11 +144,11 @@ def propose(docs: DataFrame) -> DataFrame:
 
     both = F.struct(_found(text, BASE).alias("base"), _found(text, WIDE).alias("wide"))
     return (
-        docs.select("doc_id", text_of().alias("text"))
+        docs.select("doc_id", text_of().alias("text"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD_OUT)) == 0).alias("held_out"))
         .withColumn("found", F.when(text.rlike(r"[0-9@]") | text.rlike(WRITTEN_AT), let(both, lambda b: F.struct(
             F.transform(F.filter(b["base"], valid), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"),
             F.concat(described(b["base"], 0), described(b["wide"], 1)).alias("proposals")))))
-        .select("doc_id", "found.base", "found.proposals")
+        .select("doc_id", "held_out", "found.base", "found.proposals")
     )
 
 
@@ -165,22 +171,24 @@ def _tree_sql(text: str) -> str:
 def fit(proposed: DataFrame) -> tuple[str, dict[int, float]] | None:
     """(margin as SQL over f, threshold by kind). The grouped table has a row per
     feature vector, whose number the feature ranges bound."""
-    seen = proposed.select(F.explode("proposals").alias("p")).groupBy("p.f", "p.valid").agg(F.count("*").alias("n"))
-    rows = saved(seen.select("f.*", F.col("valid").cast("double").alias("label"), F.col("n").cast("double").alias("weight")))
-    if len(rows.select("label").distinct().take(2)) < 2:
+    seen = proposed.select("held_out", F.explode("proposals").alias("p")).groupBy("held_out", "p.f", "p.valid").agg(F.count("*").alias("n"))
+    rows = saved(seen.select("held_out", "f.*", F.col("valid").cast("double").alias("label"), F.col("n").cast("double").alias("weight")))
+    learned = rows.filter("not held_out")
+    if len(learned.select("label").distinct().take(2)) < 2:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learned)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7).fit(vectors)
     trees = [f"{w!r} * ({_tree_sql(t.toDebugString)})" for t, w in zip(model.trees, model.treeWeights, strict=True)]
     margin = " + ".join(trees)
-    scored = rows.withColumn("f", F.struct(*FEATURES)).select("f.kind", F.round(F.expr(margin), 3).alias("m"), "label", "weight")
-    by_margin = scored.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("kind", F.desc("m")).collect()
+    # a proposal of a base pattern is decided by its validator, so thresholds are of the wide ones
+    told = rows.filter("held_out and wide = 1").withColumn("f", F.struct(*FEATURES)).select("f.kind", F.expr(margin).alias("m"), "label", "weight")
+    by_margin = told.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("kind", F.desc("m")).collect()
     cut: dict[int, float] = {}
     for kind in range(len(KINDS)):
         hits = n = 0.0
         for r in (r for r in by_margin if r["kind"] == kind):
             hits, n = hits + r["hits"], n + r["n"]
-            if hits >= PRECISION * n and n >= 20:
+            if hits >= PRECISION * n and n >= LEAST:
                 cut[kind] = r["m"]
     return margin, cut
 
@@ -194,9 +202,9 @@ def find(docs: DataFrame) -> DataFrame:
     if fitted is None:
         return proposed.select("doc_id", F.sort_array(base).alias("base"), F.sort_array(base).alias("spans"))
     margin, cut = fitted
-    scored = f"transform(proposals, p -> struct(p.kind, p.start, p.end, ({margin.replace('f.', 'p.f.')}) AS margin, p.f.wide AS wide, p.valid AS valid))"
-    wanted = " OR ".join(f"(p.kind = {k} AND p.margin >= {m!r})" for k, m in cut.items()) or "false"
-    chosen = F.expr(f"filter({scored}, p -> p.valid AND p.wide = 1 AND ({wanted}))")
+    scored = f"transform(proposals, p -> struct(p.kind, p.start, p.end, ({margin.replace('f.', 'p.f.')}) AS margin, p.f.wide AS wide))"
+    wanted = " OR ".join(f"(p.kind = {k} AND p.margin >= CAST({m!r} AS DOUBLE))" for k, m in cut.items()) or "false"
+    chosen = F.expr(f"filter({scored}, p -> p.wide = 1 AND ({wanted}))")
 
     def free(p: Column, others: Column, strict: bool) -> Column:
         clash = F.exists(others, lambda o: (o["start"] < p["end"]) & (p["start"] < o["end"]) & ((F.struct(o["margin"], o["kind"], o["start"]) > F.struct(p["margin"], p["kind"], p["start"])) if strict else F.lit(True)))

@@ -26,6 +26,8 @@ from .common import n_words, saved, table, text_of
 
 #: Of the shuffle hash and of finish times. A range holds 1/4096 of a source.
 BLOCKS = 4096
+#: Sources that a mix may have; their list is held by the driver.
+MOST_SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -49,6 +51,9 @@ def _targets(blocks: DataFrame, share: float, most: float, weights: tuple[float,
     """(source, source_size, target): a row per source. The list of sources and
     their sizes is the mix's own specification, so the driver holds it."""
     spark = blocks.sparkSession
+    # sources are named in the mix's specification, so there are few: more than this many are an error
+    if blocks.select("source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: weights are given by source, group them first")
     rows = blocks.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = {r["source"]: r["size"] for r in rows}
@@ -68,23 +73,23 @@ def _band(time: Column) -> Column:
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) per row of docs
-    (doc_id, source, size)."""
-    place = F.xxhash64(F.lit(41), "doc_id")
-    sized = docs.select("doc_id", "source", "size", place.alias("place"), F.shiftrightunsigned(place, 52).alias("block"))
+    (doc_id, source, size, mark), with its mark: rows of one id differ by it."""
+    place = F.xxhash64(F.lit(41), "doc_id", "mark")
+    sized = docs.select("doc_id", "source", "size", "mark", place.alias("place"), F.shiftrightunsigned(place, 52).alias("block"))
     blocks = saved(sized.groupBy("source", "block").agg(F.sum("size").alias("size")))
-    targets = F.broadcast(_targets(blocks, share, most, weights))  # a row per source, made from a list on the driver
+    targets = _targets(blocks, share, most, weights)
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("source", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("within", F.sum("size").over(within))
     same = queued["source"].eqNullSafe(starts["source"]) & (queued["block"] == starts["block"])
-    placed = queued.join(starts, same).select(queued["doc_id"], queued["source"], "size", "place", (F.col("start") + F.col("within")).alias("reach"))
-    placed = saved(placed.join(targets, placed["source"].eqNullSafe(targets["source"])).select("doc_id", placed["source"], "size", "place", "reach", "source_size", "target"))
+    placed = queued.join(starts, same).select(queued["doc_id"], queued["source"], "size", "mark", "place", (F.col("start") + F.col("within")).alias("reach"))
+    placed = saved(placed.join(targets, placed["source"].eqNullSafe(targets["source"])).select("doc_id", placed["source"], "size", "mark", "place", "reach", "source_size", "target"))
     end = _end_of_budget(placed, most)
     taken = F.lit(0).cast("long")
     for epoch in range(most):
         taken = taken + F.when((F.col("target") > 0) & (F.struct(_finish(epoch).alias("time"), F.col("place"), F.col("doc_id"), F.col("reach"), F.lit(epoch).alias("epoch")) <= end), F.col("size")).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "mark")
 
 
 def _end_of_budget(placed: DataFrame, most: int) -> Column:
@@ -111,8 +116,13 @@ def _end_of_budget(placed: DataFrame, most: int) -> Column:
     return F.struct(F.lit(row["time"]).alias("time"), F.lit(row["place"]).cast("long").alias("place"), F.lit(row["doc_id"]).cast("long").alias("doc_id"), F.lit(row["reach"]).cast("long").alias("reach"), F.lit(row["epoch"]).alias("epoch"))
 
 
+def keys_of() -> list[Column]:
+    """(doc_id, source, size, mark) of documents: what the mix knows of a row."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), F.xxhash64(text_of()).alias("mark")]
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size")))
+    return saved(docs.select(*keys_of()))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

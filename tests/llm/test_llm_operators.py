@@ -223,7 +223,7 @@ def test_mix_meets_targets(spark, odd, none):
     once, again = (sorted(map(tuple, source_mix.mix(source_mix.sizes_of(docs_of(spark, rows))).collect())) for _ in range(2))
     assert once == again
     taken, target = defaultdict(int), {}
-    for _, source, size, _, goal, n in once:
+    for _, source, size, _, goal, n, _ in once:
         taken[source] += n
         target[source] = goal
         assert n in (0, size, 2 * size)
