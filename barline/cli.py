@@ -5,47 +5,109 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import config
+from .operators import factors, learning, regimes, reports, signals
 from .plans import frames
-from .sources import search
+from .sources import bars, search, sinks
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="barline", description=__doc__)
+    p.add_argument("--config", help="YAML file of settings")
+    p.add_argument("--preset", help="settings of a market")
     p.add_argument("--tables", help="folder of Parquet tables")
-    p.add_argument("--out", help="folder for the results")
-    p.add_argument("--format", choices=("parquet", "csv", "json"), default="parquet")
-    p.add_argument("--period")
+    p.add_argument("--symbols", nargs="+", help="these symbols alone")
+    p.add_argument("--period", help="5y, ytd or max")
     p.add_argument("--start")
     p.add_argument("--end")
+    p.add_argument("--interval", choices=bars.INTERVALS)
+    p.add_argument("--tz", help="time zone of the calendar")
+    p.add_argument("--no-factor", action="store_true", help="leave the factor reports out")
+    p.add_argument("--ml", action="store_true", help="add the walk-forward reports")
+    p.add_argument("--out", help="folder for the results; without it the metrics are shown")
+    p.add_argument("--format", choices=sinks.FORMATS, default="csv")
+    p.add_argument("--export-config", metavar="FILE", help="write the settings in effect")
     p.add_argument("--search", metavar="TEXT")
     p.add_argument("--search-field", default="all")
+    p.add_argument("--add", nargs="+", metavar="SYMBOL", help="add symbols to the watchlist of --config")
     p.add_argument("--list-sectors", action="store_true")
     p.add_argument("--list-presets", action="store_true")
+    p.add_argument("--dry-run", action="store_true", help="say what would be done")
     return p
 
 
+def settings(args: argparse.Namespace) -> dict:
+    made = config.load(args.config, args.preset, interval=args.interval, timezone=args.tz, symbols=args.symbols)
+    made["start"], made["end"] = config.resolve_dates(args.period, args.start, args.end, made.get("start") or "2020-01-01", made.get("end"))
+    made = config.merged(made, {"factor": {"enabled": not args.no_factor and made.get("factor", {}).get("enabled", True)}})
+    return config.merged(made, {"ml": {"enabled": args.ml or made.get("ml", {}).get("enabled", False)}})
+
+
+def outputs(spark: SparkSession, tables: str, made: dict) -> dict:
+    """name -> what makes the output, for the stages that are switched on."""
+    chosen = lambda df: df.filter(F.col("symbol").isin(made["symbols"])) if made["symbols"] else df
+    metrics_ = lambda: chosen(frames.performance(spark, tables))
+    judged = lambda: chosen(frames.detected(spark, tables))
+    excess = lambda: chosen(frames.excess(spark, tables))
+    regimes_ = lambda: chosen(frames.market_performance(spark, tables))
+    out = {
+        "processed": judged,
+        "data_report": lambda: sinks.quality_report(chosen(frames.cleaned(spark, tables)), ["close", "volume", "returns"]),
+        "feature_report": lambda: sinks.quality_report(chosen(frames.featured(spark, tables)), ["vol_21d", "rsi_14", "atr_14", "macd_line", "bb_width", "z_price_60d"]),
+        "signal_report": lambda: signals.report(chosen(frames.signalled(spark, tables))),
+        "backtest": lambda: reports.comparison(metrics_()),
+        "gating_comparison": lambda: reports.gating_comparison(metrics_()),
+        "watchlist_comparison": lambda: reports.watchlist(metrics_()),
+        "regime_report": lambda: sinks.regime_report(regimes_(), regimes.frequency(judged())),
+    }
+    if made["factor"]["enabled"]:
+        out["factor_report"] = lambda: sinks.factor_report(factors.attribution_table(factors.regressions(excess())))
+        out["rolling_alpha"] = lambda: factors.rolling_capm(excess().filter("signal = 'signal_ensemble'"))
+    if made["ml"]["enabled"]:
+        walked = learning.walk_forward(chosen(frames.featured(spark, tables)), folds=learning.Folds(n_folds=made["ml"].get("n_folds", 5)))
+        out |= {"ml_folds": lambda: learning.fold_report(walked[0]), "ml_importance": lambda: learning.importance_report(walked[1]), "ml_thresholds": lambda: learning.threshold_sweep(walked[0])}
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.list_presets:
         for name, what in config.list_presets().items():
             print(f"{name}: {what}")
         return 0
+    if args.add:
+        if not args.config:
+            parser().error("--add needs --config")
+        with open(args.config, encoding="utf-8", newline="") as f:
+            text = sinks.add_to_watchlist(f.read(), args.add)
+        if not args.dry_run:
+            with open(args.config, "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+        return 0
+    made = settings(args)
+    if args.export_config:
+        config.export(made, args.export_config)
+        return 0
     if not args.tables:
         parser().error("--tables is needed")
+    if args.dry_run:
+        print(f"{args.tables}: {made['start']} to {made['end']}, symbols {made['symbols'] or 'all'}, factors {made['factor']['enabled']}, ml {made['ml']['enabled']}")
+        return 0
     spark = SparkSession.builder.appName("barline").getOrCreate()
     if args.search:
         search.search(frames.directory(spark, args.tables), args.search, args.search_field).show(truncate=False)
     elif args.list_sectors:
         search.sector_counts(frames.directory(spark, args.tables)).orderBy("sector").show(100, truncate=False)
+    elif args.out and args.format == "excel":
+        made_of = outputs(spark, args.tables, made)
+        flat = {name: make() for name, make in made_of.items() if name not in ("processed", "data_report", "feature_report", "regime_report", "factor_report")}
+        sinks.write_sheets(flat, args.out)
+    elif args.out:
+        print(*sinks.write_run(outputs(spark, args.tables, made), args.out, args.format), sep="\n")
     else:
-        found = frames.performance(spark, args.tables)
-        if args.out:
-            writer = found.write.mode("overwrite").format(args.format)
-            (writer.option("header", True) if args.format == "csv" else writer).save(args.out)
-        else:
-            found.orderBy("symbol", "signal").show(200, truncate=False)
+        frames.performance(spark, args.tables).orderBy("symbol", "signal").show(200, truncate=False)
     return 0
 
 

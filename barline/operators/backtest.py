@@ -25,7 +25,7 @@ PAIR = ("symbol", "signal")
 class Setup:
     capital: float = 100_000.0
     sizing: str = "fixed_notional"
-    notional: float = 10_000.0
+    notional: float = 100_000.0
     vol_target: float = 0.10
     costs: Costs = field(default=LIQUID_EQUITY)
     max_drawdown_exit: float | None = None

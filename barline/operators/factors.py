@@ -51,8 +51,9 @@ def excess_returns(curve: DataFrame, factors: DataFrame, rf_annual: float = 0.05
 REGRESSION = "symbol string, signal string, model string, alpha_daily double, alpha_annual double, t_stat double, p_value double, significant boolean, r2 double, adj_r2 double, ic double, ir double, n_obs long, betas map<string,double>"
 
 
-def regressions(excess: DataFrame, models: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per (symbol, signal, model): least squares with Newey-West errors."""
+def regressions(excess: DataFrame, models: dict[str, list[str]] | None = None, errors: str = "hac") -> DataFrame:
+    """One row per (symbol, signal, model): least squares with Newey-West errors, or
+    ``classic`` ones."""
     models = models or models_for([c for c in FACTORS if c in excess.columns])
 
     def run(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +61,7 @@ def regressions(excess: DataFrame, models: dict[str, list[str]] | None = None) -
         out = []
         for name, used in models.items():
             whole = days[["excess", *used]].dropna().to_numpy(float)
-            r = ols_hac(whole[:, 0], whole[:, 1:])
+            r = ols_hac(whole[:, 0], whole[:, 1:], errors)
             betas = dict(zip(used, r.pop("betas"), strict=True))
             out.append({"symbol": key[0], "signal": key[1], "model": name, **r, "significant": abs(r["t_stat"]) > 2 and r["p_value"] < 0.05, "betas": betas})
         return pd.DataFrame(out)[[c.split()[0] for c in REGRESSION.split(", ")]]

@@ -88,8 +88,11 @@ def all_features(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, missing_pct, mean, std, min, max) over all rows."""
-    stats = [F.struct(F.lit(c).alias("feature"), (F.count_if(F.col(c).isNull()) / F.count("*") * 100).alias("missing_pct"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")) for c in columns]
+    """(feature, missing_pct, mean, std, min, q25, median, q75, max) over all rows."""
+    def quartile(c: str, p: float):  # noqa: ANN202
+        return F.percentile(c, F.lit(p))
+
+    stats = [F.struct(F.lit(c).alias("feature"), (F.count_if(F.col(c).isNull()) / F.count("*") * 100).alias("missing_pct"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[quartile(c, p).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))], F.max(c).alias("max")) for c in columns]
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 

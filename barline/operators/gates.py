@@ -5,6 +5,7 @@ A condition turns a frame into a boolean column; missing values close the gate.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
@@ -184,22 +185,57 @@ def stats(df: DataFrame, signal: str, output: str) -> DataFrame:
     return n.withColumn("reduction_pct", (1 - F.col("gated_trades") / F.greatest(F.col("base_trades"), F.lit(1))) * 100)
 
 
-# The presets: signal, its conditions, the gated column.
-PRESETS = {
-    "signal_rsi": ("signal_rsi_vol_trend_gated", (VolPercentile(percentile=20), Trend(most=0.06), Drawdown("signal_rsi", 0.15))),
-    "signal_zscore": ("signal_zscore_vol_bb_gated", (VolPercentile(percentile=25), BandWidth(percentile=25), Drawdown("signal_zscore", 0.15))),
-    "signal_macd": ("signal_macd_trend_gated", (VolPercentile(percentile=50, mode="above"), TrendConfirmation("signal_macd"), Drawdown("signal_macd", 0.20))),
-    "signal_bb": ("signal_bb_breakout_gated", (VolPercentile(percentile=50, mode="above"), TrendConfirmation("signal_bb"), Drawdown("signal_bb", 0.20))),
-}
+def gate_set(rsi: float, zscore: float, macd: float, bb: float) -> dict[str, tuple[str, tuple]]:
+    """signal -> (gated column, its conditions), by the volatility percentiles of the four."""
+    return {
+        "signal_rsi": ("signal_rsi_vol_trend_gated", (VolPercentile(percentile=rsi), Trend(most=0.06), Drawdown("signal_rsi", 0.15))),
+        "signal_zscore": ("signal_zscore_vol_bb_gated", (VolPercentile(percentile=zscore), BandWidth(percentile=25), Drawdown("signal_zscore", 0.15))),
+        "signal_macd": ("signal_macd_trend_gated", (VolPercentile(percentile=macd, mode="above"), TrendConfirmation("signal_macd"), Drawdown("signal_macd", 0.20))),
+        "signal_bb": ("signal_bb_breakout_gated", (VolPercentile(percentile=bb, mode="above"), TrendConfirmation("signal_bb"), Drawdown("signal_bb", 0.20))),
+    }
 
 
-def all_gates(df: DataFrame, point_in_time: bool = False) -> DataFrame:
-    """The preset gates of the signals that are there, a two-state label, the
-    pools of mean-reverting and trending gated signals, and their switch."""
-    present = {s: p for s, p in PRESETS.items() if s in df.columns}
+# A preset alone gates at its own percentiles, the ensemble at those of its pools.
+PRESETS = gate_set(rsi=20, zscore=25, macd=50, bb=40)
+ENSEMBLE = gate_set(rsi=20, zscore=20, macd=50, bb=50)
+
+
+def presets(df: DataFrame, gates: dict[str, tuple[str, tuple]] = PRESETS) -> DataFrame:
+    """The gated columns of the signals that are there."""
+    present = {s: p for s, p in gates.items() if s in df.columns}
     out = with_breakers(df, [c for _, cs in present.values() for c in cs if isinstance(c, Drawdown)])
     for signal, (name, conditions) in present.items():
         out = gated(out, signal, list(conditions), name)
+    return out
+
+
+def base_of(column: str, columns: list[str]) -> str | None:
+    """The signal that a gated column comes from: its name up to the first condition."""
+    base = re.split("_vol|_trend|_bb|_breakout", column, maxsplit=1)[0]
+    return base if base in columns else None
+
+
+def filter_stats(df: DataFrame) -> DataFrame:
+    """(symbol, filtered_signal, original_signal, active_pct, n_trades, turnover,
+    trade_reduction_pct) of every gated column and pool; turnover is changes a year, the
+    first bar counts as one."""
+    pools = ("signal_mr_pool", "signal_trend_pool", "signal_regime_adaptive")
+    names = [c for c in df.columns if c.endswith(("_filtered", "_gated")) or c in pools]
+    if not names:
+        raise ValueError("no gated columns")
+    each = [F.struct(F.lit(c).alias("filtered_signal"), F.lit(base_of(c, df.columns)).cast("string").alias("original_signal"), F.col(c).cast("int").alias("x"), (F.col(b) if (b := base_of(c, df.columns)) else F.lit(None)).cast("int").alias("y")) for c in names]
+    long = df.select("symbol", "d", F.explode(F.array(*each)).alias("s")).select("symbol", "d", "s.filtered_signal", "s.original_signal", F.coalesce("s.x", F.lit(0)).alias("x"), F.coalesce("s.y", F.lit(0)).alias("y"))
+    keys = ("symbol", "filtered_signal")
+    told = long.withColumns({"a": changed(F.col("x"), keys).cast("double"), "b": changed(F.col("y"), keys).cast("double")})
+    out = told.groupBy(*keys, "original_signal").agg((F.avg((F.col("x") != 0).cast("double")) * 100).alias("active_pct"), F.sum("a").cast("long").alias("n_trades"), (F.avg("a") * 252).alias("turnover"), F.sum("b").alias("before"))
+    less = (1 - F.col("n_trades") / F.greatest(F.col("before"), F.lit(1.0))) * 100
+    return out.withColumn("trade_reduction_pct", F.when(F.col("original_signal").isNotNull(), less)).drop("before")
+
+
+def all_gates(df: DataFrame, point_in_time: bool = False) -> DataFrame:
+    """The ensemble's gates of the signals that are there, a two-state label, the
+    pools of mean-reverting and trending gated signals, and their switch."""
+    out = presets(df, ENSEMBLE)
     low = F.col("vol_21d") < _bound(F.col("vol_21d"), 252, 40, 60, point_in_time)
     out = out.withColumn("regime_label2", F.when(_known(low), "range_bound").otherwise("trending"))
     half = lambda a, b: sign((F.col(a) + F.col(b)) / 2)

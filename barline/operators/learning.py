@@ -85,18 +85,20 @@ def walk_forward(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Fo
     """(predictions, importances): a fresh model per fold for all symbols of the
     frame; test rows are imputed with the medians of the fold's training rows."""
     columns = feature_columns(df)
-    staged = with_folds(df, folds).withColumn("target", F.col(target)).cache()
+    staged = with_folds(df, folds).withColumn("target", F.col(target))
     predictions, importances = None, []
     for k in [r["fold_id"] for r in staged.select("fold_id").distinct().orderBy("fold_id").collect()]:  # at most n_folds rows
         part = staged.filter(F.col("fold_id") == k)
-        train = part.filter("part = 'train' and target is not null")
+        train = part.filter("part = 'train' and target is not null").persist()  # read by the medians and by the fit
         if len(train.take(least)) < least:
+            train.unpersist()
             continue
         fills = medians(train, columns)
         ready = VectorAssembler(inputCols=columns, outputCol="features")
         fitted = (estimator or model("xgboost")).fit(ready.transform(train.fillna(fills, columns)))
         told = fitted.transform(ready.transform(part.filter("part = 'test'").fillna(fills, columns))).select("symbol", "d", "fold_id", "target", "prediction")
         predictions = told if predictions is None else predictions.unionByName(told)
+        train.unpersist()
         importances += [(int(k), c, float(v)) for c, v in zip(columns, fitted.featureImportances.toArray(), strict=True)]
     spark = df.sparkSession
     if predictions is None:

@@ -11,9 +11,13 @@ from .backtest import PAIR
 YEAR = 252
 
 
+#: A drawdown below this is the noise of sums of doubles: the equity is at its peak.
+LEAST = 1e-12
+
+
 def drawdown_runs(curve: DataFrame) -> DataFrame:
     """(symbol, signal, max_drawdown_days): longest run of bars under the peak."""
-    under = (F.col("equity") < F.max("equity").over(up_to_now(PAIR))).alias("under")
+    under = (F.col("equity") < F.max("equity").over(up_to_now(PAIR)) * (1 - LEAST)).alias("under")
     marked = curve.select(*PAIR, "d", under)
     flagged = marked.withColumn("flip", changed(F.col("under"), PAIR).cast("int")).withColumn("run", F.sum("flip").over(up_to_now(PAIR)))
     runs = flagged.groupBy(*PAIR, "run").agg(F.count_if("under").alias("n"))
@@ -35,7 +39,7 @@ def of_curve(curve: DataFrame, rf_annual: float = 0.05) -> DataFrame:
         (F.stddev_samp(r) * F.sqrt(F.lit(float(YEAR)))).alias("annual_vol"),
         F.when(F.coalesce(std, F.lit(0.0)) < 1e-10, 0.0).otherwise(F.avg(x) / F.nullif(std, F.lit(0.0)) * F.sqrt(F.lit(float(YEAR)))).alias("sharpe"),
         F.coalesce(F.avg(x) / F.nullif(low, F.lit(0.0)) * F.sqrt(F.lit(float(YEAR))), F.lit(0.0)).alias("sortino"),
-        F.min(dd).alias("max_drawdown"), F.coalesce(F.avg(F.when(dd < 0, dd)), F.lit(0.0)).alias("avg_drawdown"), F.first("var").alias("var_95"),
+        F.min(dd).alias("max_drawdown"), F.coalesce(F.avg(F.when(dd < -LEAST, dd)), F.lit(0.0)).alias("avg_drawdown"), F.first("var").alias("var_95"),
         F.when(n > 20, F.avg(F.when(r <= F.col("var"), r))).otherwise(0.0).alias("cvar_95"), F.count("*").alias("n_bars"))
     return agg.withColumn("calmar", F.when(F.col("max_drawdown") == 0, F.lit(float("inf"))).otherwise(F.col("annual_return") / F.abs("max_drawdown")))
 

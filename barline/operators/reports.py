@@ -69,6 +69,24 @@ def flat_regressions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat.join(empty, "ticker", "left_anti"), flat.join(empty, "ticker", "left_semi").select("ticker").distinct()
 
 
+def load_factor_reports(spark: SparkSession, folder: str, suffix: str = "_factor_report.json") -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) of factor report documents: regressions by signal, flattened
+    to a row each with a column per beta."""
+    record = "struct<model:string,alpha_annual:double,alpha_daily:double,t_stat:double,p_value:double,significant:boolean,r2:double,adj_r2:double,ic:double,ir:double,n_obs:long,betas:map<string,double>>"
+    raw = with_ticker(spark.read.schema(f"regressions map<string,array<{record}>>").json(f"{folder}/*{suffix}", multiLine=True), suffix)
+    each = raw.select("ticker", F.explode("regressions").alias("signal", "list")).select("ticker", "signal", F.explode("list").alias("r"))
+    return flat_regressions(each.groupBy("ticker").agg(F.collect_list(F.struct("signal", "r.*")).alias("regressions")))
+
+
+def load_rolling_alpha(spark: SparkSession, folder: str, suffix: str = "_rolling_alpha.csv") -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantined): the union of rolling tables with their ticker, the first
+    column as the date; the tickers of files that hold a header alone."""
+    lines = with_ticker(spark.read.text(f"{folder}/*{suffix}"), suffix)
+    empty = lines.filter(F.length(F.trim("value")) > 0).groupBy("ticker").agg(F.count("*").alias("n")).filter("n < 2").select("ticker")
+    read = spark.read.csv(f"{folder}/*{suffix}", header=True, inferSchema=True)
+    return with_ticker(read.withColumnRenamed(read.columns[0], "date"), suffix), empty
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

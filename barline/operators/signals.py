@@ -121,3 +121,23 @@ def report(df: DataFrame) -> DataFrame:
     flagged = flagged.withColumn("change", changed(F.col("value"), keys))
     pct = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0)) * 100
     return flagged.groupBy(*keys).agg(F.avg(F.col("change").cast("double")).alias("turnover"), pct(F.col("value") == 1).alias("long_pct"), pct(F.col("value") == -1).alias("short_pct"), pct(F.col("value") == 0).alias("flat_pct"))
+
+
+def correlations(df: DataFrame) -> DataFrame:
+    """(a, b, corr) of all pairs of signal and strength columns, over the rows where
+    all of them are known."""
+    names = [c for c in df.columns if c.startswith("signal_")]
+    whole = df.dropna(subset=names).select(*[F.col(c).cast("double").alias(c) for c in names])
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for i, a in enumerate(names) for b in names[i:]]
+    return whole.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def values(df: DataFrame) -> DataFrame:
+    """(symbol, signal, unique_values, mean_strength): the values that a signal takes, in
+    order, and the mean of its strength where it has one."""
+    names = [c for c in df.columns if c.startswith("signal_") and not c.endswith("_strength")]
+    strength = lambda c: F.col(f"{c}_strength") if f"{c}_strength" in df.columns else F.lit(None)
+    each = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("int").alias("x"), strength(c).cast("double").alias("y")) for c in names])
+    long = df.select("symbol", F.explode(each).alias("s")).select("symbol", "s.*")
+    shown = F.array_join(F.transform(F.sort_array(F.collect_set("x")), lambda x: x.cast("string")), ",")
+    return long.groupBy("symbol", "signal").agg(shown.alias("unique_values"), F.avg("y").alias("mean_strength"))

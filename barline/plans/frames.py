@@ -33,6 +33,11 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return gates.all_gates(signalled(spark, sf))
 
 
+def preset_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """Each preset alone, at its own percentiles."""
+    return gates.presets(signalled(spark, sf))
+
+
 def detected(spark: SparkSession, sf: str) -> DataFrame:
     return regimes.adaptive(regimes.classify(gated(spark, sf)))
 
@@ -65,6 +70,11 @@ def excess(spark: SparkSession, sf: str) -> DataFrame:
     return factors.excess_returns(curve(spark, sf), market(spark, sf))
 
 
+def market_performance(spark: SparkSession, sf: str) -> DataFrame:
+    """Performance of every pair by the market's regime."""
+    return factors.performance_by_regime(curve(spark, sf), factors.market_regimes(market(spark, sf)))
+
+
 def directory(spark: SparkSession, sf: str) -> DataFrame:
     """A ticker directory of the parts table."""
     p = bars.table(spark, sf, "part")

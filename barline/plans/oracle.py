@@ -33,7 +33,7 @@ def walk(source: str) -> list[tuple[str, str]]:
         ("walk0", "select *, 0.02 * (ap / avg(ap) over (partition by symbol) - 1) as r from daily"),
         ("walk1", f"select *, round(100 * exp(sum(r) over ({BY} rows between unbounded preceding and current row)), 6) as close from walk0"),
         ("walk2", f"select *, coalesce(lag(close) over ({BY}), close) as open from walk1"),
-        ("bars", "select symbol, d, open, round(greatest(open, close) * (1 + 0.005 * (1 + n % 3)) + 3.1e-10, 6) as high, round(least(open, close) * (1 - 0.005 * (1 + n % 3)) + 3.1e-10, 6) as low, close, 1000.0::double * n as volume from walk2"),
+        ("bars", "select symbol, d, open, floor(greatest(open, close) * (1 + 0.005::double * (1 + n % 3)) * 1e6 + 0.5) / 1e6 as high, floor(least(open, close) * (1 - 0.005::double * (1 + n % 3)) * 1e6 + 0.5) / 1e6 as low, close, 1000.0::double * n as volume from walk2"),
     ]
 
 
@@ -134,13 +134,15 @@ def rollq(x: str, n: int, least: int, p: float) -> str:
 _CONFIRM = "coalesce(sign({s}) = sign(macd_line) and abs(macd_line) >= mq25, false)"
 GATES = [
     *broken("b_rsi", "signal_rsi", 0.15), *broken("b_z", "signal_zscore", 0.15), *broken("b_macd", "signal_macd", 0.20), *broken("b_bb", "signal_bb", 0.20),
-    ("gat0", f"""select *, {rollq('vol_21d', 252, 126, 0.20)} as vq20, {rollq('vol_21d', 252, 126, 0.25)} as vq25, {rollq('vol_21d', 252, 126, 0.30)} as vq30, {rollq('vol_21d', 252, 126, 0.50)} as vq50, {rollq('bb_width', 252, 63, 0.25)} as bq25, {rollq('bb_width', 252, 63, 0.40)} as bq40,
+    ("gat0", f"""select *, {rollq('vol_21d', 252, 126, 0.20)} as vq20, {rollq('vol_21d', 252, 126, 0.25)} as vq25, {rollq('vol_21d', 252, 126, 0.40)} as vq40, {rollq('vol_21d', 252, 126, 0.30)} as vq30, {rollq('vol_21d', 252, 126, 0.50)} as vq50, {rollq('bb_width', 252, 63, 0.25)} as bq25, {rollq('bb_width', 252, 63, 0.40)} as bq40,
       {roll(AVG, 'returns', 63, 31)} as trend63, coalesce({rollq('abs(macd_line)', 252, 63, 0.25)}, quantile_cont(abs(macd_line), 0.5) over (partition by symbol)) as mq25,
       coalesce({rollq('abs(macd_line)', 252, 60, 0.25)}, quantile_cont(abs(macd_line), 0.5) over (partition by symbol)) as mw25,
       coalesce({rollq('vol_21d', 252, 60, 0.40)}, quantile_cont(vol_21d, 0.5) over (partition by symbol)) as vlab from sig"""),
     ("gat1", f"""select g.*, a.gate as gate_dd_signal_rsi_150, b.gate as gate_dd_signal_zscore_150, c.gate as gate_dd_signal_macd_200, e.gate as gate_dd_signal_bb_200,
       case when coalesce(vol_21d < vq20, false) and coalesce(abs(trend63) < 0.06 / 252, false) and a.gate then signal_rsi else 0 end as signal_rsi_vol_trend_gated,
-      case when coalesce(vol_21d < vq25, false) and coalesce(bb_width < bq25, false) and b.gate then signal_zscore else 0 end as signal_zscore_vol_bb_gated,
+      case when coalesce(vol_21d < vq20, false) and coalesce(bb_width < bq25, false) and b.gate then signal_zscore else 0 end as signal_zscore_vol_bb_gated,
+      case when coalesce(vol_21d < vq25, false) and coalesce(bb_width < bq25, false) and b.gate then signal_zscore else 0 end as preset_zscore,
+      case when coalesce(vol_21d > vq40, false) and {_CONFIRM.format(s='signal_bb')} and e.gate then signal_bb else 0 end as preset_bb,
       case when coalesce(vol_21d > vq50, false) and {_CONFIRM.format(s='signal_macd')} and c.gate then signal_macd else 0 end as signal_macd_trend_gated,
       case when coalesce(vol_21d > vq50, false) and {_CONFIRM.format(s='signal_bb')} and e.gate then signal_bb else 0 end as signal_bb_breakout_gated,
       case when coalesce(vol_21d < vlab, false) then 'range_bound' else 'trending' end as regime_label2
@@ -168,7 +170,7 @@ def cost(price: str, shares: str, volume: str, spread: float = 2.0, slip: float
     return f"({spread} / 1e4 * {n} + {slip} / 1e4 * {n} * sqrt(abs({shares}) / (case when {volume} > 0 then {volume} else 1000000.0 end)) + greatest({commission}, {pct} * {n}))"
 
 
-def curve(size: str = "10000.0 / nullif(close, 0)", exit_: float | None = None, mode: str = "reference", name: str = "curve") -> list[tuple[str, str]]:
+def curve(size: str = "100000.0 / nullif(close, 0)", exit_: float | None = None, mode: str = "reference", name: str = "curve") -> list[tuple[str, str]]:
     run = f"over ({PAIR} rows between unbounded preceding and current row)"
     out = [
         ("cur0", f"select *, coalesce(lag(value) over ({PAIR}), 0) as position, coalesce(lag(scale) over ({PAIR}), 1.0) as held_scale from longs"),
@@ -215,9 +217,9 @@ METRICS = [
       case when count(ret) > 0 and product(1 + ret) > 0 then pow(product(1 + ret), 252.0 / count(ret)) - 1 else 0.0 end as annual_return, stddev_samp(ret) * sqrt(252) as annual_vol,
       case when coalesce(stddev_samp(x), 0) < 1e-10 then 0.0 else avg(x) / nullif(stddev_samp(x), 0) * sqrt(252) end as sharpe,
       coalesce(avg(x) / nullif(stddev_samp(case when x < 0 then x end), 0) * sqrt(252), 0.0) as sortino,
-      min(drawdown) as max_drawdown, coalesce(avg(case when drawdown < 0 then drawdown end), 0.0) as avg_drawdown, min(var) as var_95,
+      min(drawdown) as max_drawdown, coalesce(avg(case when drawdown < -1e-12 then drawdown end), 0.0) as avg_drawdown, min(var) as var_95,
       case when count(ret) > 20 then avg(case when ret <= var then ret end) else 0.0 end as cvar_95, count(*) as n_bars from met0 group by 1, 2"""),
-    ("und0", f"select symbol, signal, d, equity < peak as under, lag(equity < peak) over ({PAIR}) as was from curve"),
+    ("und0", f"select symbol, signal, d, equity < peak * (1 - 1e-12) as under, lag(equity < peak * (1 - 1e-12)) over ({PAIR}) as was from curve"),
     ("und1", f"select *, sum((was is null or was <> under)::int) over ({PAIR} rows between unbounded preceding and current row) as run from und0"),
     ("und2", "select symbol, signal, max(n)::double as max_drawdown_days from (select symbol, signal, run, count(*) filter (where under) as n from und1 group by 1, 2, 3) group by 1, 2"),
     ("tst", """select symbol, signal, count(*)::double as n_trades, (count(*) filter (where pnl > 0))::double / count(*) as hit_rate, coalesce(avg(pnl) filter (where pnl > 0), 0.0) as avg_win, coalesce(avg(pnl) filter (where pnl <= 0), 0.0) as avg_loss,

@@ -118,10 +118,14 @@ FEATS = {
 for _name, (_make, _cols) in FEATS.items():
     add(_name, lambda s, f, m=_make: m(at.cleaned(s, f)), BAR + " " + " ".join(f"{c}:f" for c in _cols.split()), S["feat"], "select * from feat")
 NAMES = ["vol_21d", "rsi_14", "atr_14", "vol_ratio_20", "vwap_dev", "bb_width", "bb_pct", "macd_line", "macd_histogram", "z_price_20d", "z_price_60d"]
+#: All numeric feature columns.
+FEATS = [
+    *(f"vol_{n}d{year}" for n in (5, 21, 63) for year in ("", "_annual")), "rsi_14", "atr_14", "vol_ratio_20", "vwap_20d", "vwap_dev", "bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_pct",
+    "ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram", "z_price_20d", "z_price_60d"]
 add("fea_00_all", at.featured, BAR + " " + " ".join(f"{c}:f" for c in NAMES), S["feat"], "select * from feat")
-add("fea_08_report", lambda s, f: features.report(at.featured(s, f), NAMES), "feature:s missing_pct:f mean:f std:f min:f max:f", S["feat"],
-    " union all ".join(f"select '{c}' as feature, 100.0 * count(*) filter (where {c} is null) / count(*) as missing_pct, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as min, max({c}) as max from feat" for c in NAMES))
-add("fea_08_correlations", lambda s, f: features.correlations(at.featured(s, f), NAMES[:6]), "a:s b:s corr:f", S["feat"], " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as corr from feat" for i, a in enumerate(NAMES[:6]) for b in NAMES[i:6]))
+add("fea_08_report", lambda s, f: features.report(at.featured(s, f), FEATS), "feature:s missing_pct:f mean:f std:f min:f q25:f median:f q75:f max:f", S["feat"],
+    " union all ".join(f"select '{c}' as feature, 100.0 * count(*) filter (where {c} is null) / count(*) as missing_pct, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as min, quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.5) as median, quantile_cont({c}, 0.75) as q75, max({c}) as max from feat" for c in FEATS))
+add("fea_08_correlations", lambda s, f: features.correlations(at.featured(s, f), FEATS), "a:s b:s corr:f", S["feat"], " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as corr from feat" for i, a in enumerate(FEATS) for b in FEATS[i:]))
 
 # Signals
 for _name, _cols in {
@@ -135,6 +139,11 @@ add("sig_06c_regime_switch", lambda s, f: at.signalled(s, f).withColumn("signal_
 REVERTED = [*S["feat"], o.SIGNALS[0], o.hold("m_rev", "sig0", "f.close is null or f.bb_upper is null", ("(c1prev >= bb_lower and close <= bb_lower and not (c1prev <= bb_upper and close >= bb_upper))", "(c1prev <= bb_upper and close >= bb_upper)"), ("close >= bb_middle", "close <= bb_middle"), 2, 10, True)]
 add("sig_04b_reversion", lambda s, f: signals.positions(at.featured(s, f), signals.Rules(bb_mode="reversion")), f"{BAR} signal_bb:i", REVERTED, "select s.symbol, s.d, m.sig as signal_bb from sig0 s join m_rev m on s.symbol = m.symbol and s.rn = m.rn")
 FIVE = ["signal_rsi", "signal_macd", "signal_zscore", "signal_bb", "signal_ensemble"]
+STRONG = [*FIVE[:4], *(f"{x}_strength" for x in FIVE[:4]), FIVE[4]]
+add("sig_07_correlations", lambda s, f: signals.correlations(at.signalled(s, f)), "a:s b:s corr:f", S["sig"],
+    " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}::double, {b}::double) as corr from sig where " + " and ".join(f"{x} is not null" for x in STRONG) for i, a in enumerate(STRONG) for b in STRONG[i:]))
+add("sig_07_values", lambda s, f: signals.values(at.signalled(s, f)), f"{PAIRED} unique_values:s mean_strength:f", S["sig"],
+    " union all ".join(f"select symbol, '{x}' as signal, array_to_string(list_sort(list_distinct(list({x}::int))), ',') as unique_values, " + (f"avg({x}_strength)" if x in FIVE[:4] else "null::double") + " as mean_strength from sig group by 1" for x in FIVE))
 add("sig_07_report", lambda s, f: signals.report(at.signalled(s, f)), f"{PAIRED} turnover:f long_pct:f short_pct:f flat_pct:f",
     [*S["sig"], ("sl", "select symbol, d, u.signal, u.value from (select symbol, d, unnest([" + ", ".join(f"{{'signal': '{x}', 'value': {x}}}" for x in FIVE) + "]) as u from sig)"), ("sc", f"select *, lag(value) over ({o.PAIR}) as was from sl")],
     "select symbol, signal, avg((was is null or was <> value)::int) as turnover, 100.0 * avg((value = 1)::int) as long_pct, 100.0 * avg((value = -1)::int) as short_pct, 100.0 * avg((value = 0)::int) as flat_pct from sc group by 1, 2")
@@ -159,9 +168,21 @@ add("gat_08_drawdown_tight", lambda s, f: gates.with_breakers(at.signalled(s, f)
     "select s.symbol, s.d, b.gate as gate_dd_signal_macd_50 from sig s join b_tight b on s.symbol = b.symbol and s.rn = b.rn")
 add("gat_09_filter", lambda s, f: gates.gated(at.signalled(s, f), "signal_rsi", [gates.RsiRange()]), f"{BAR} signal_rsi_filtered:i", S["sig"], "select symbol, d, case when coalesce(rsi_14 between 35 and 65, false) then signal_rsi else 0 end as signal_rsi_filtered from sig")
 add("gat_09_filter_inverted", lambda s, f: gates.gated(at.signalled(s, f), "signal_rsi", [gates.RsiRange()], invert=True), f"{BAR} signal_rsi_filtered:i", S["sig"], "select symbol, d, case when coalesce(rsi_14 between 35 and 65, false) then 0 else signal_rsi end as signal_rsi_filtered from sig")
+#: Gated columns and the signal that their name leads to: up to the first condition in it.
+FILTERED = {
+    "signal_rsi_vol_trend_gated": "signal_rsi", "signal_zscore_vol_bb_gated": "signal_zscore", "signal_macd_trend_gated": "signal_macd", "signal_bb_breakout_gated": None,
+    "signal_mr_pool": "signal_mr_pool", "signal_trend_pool": None, "signal_regime_adaptive": "signal_regime_adaptive"}
+PRESET_GATED = "select symbol, d, signal_rsi_vol_trend_gated, preset_zscore as signal_zscore_vol_bb_gated, signal_macd_trend_gated, preset_bb as signal_bb_breakout_gated from gat"
 for _name, _col in {"gat_11_rsi_preset": "signal_rsi_vol_trend_gated", "gat_12_zscore_preset": "signal_zscore_vol_bb_gated", "gat_13_macd_preset": "signal_macd_trend_gated", "gat_14_bb_preset": "signal_bb_breakout_gated"}.items():
-    add(_name, at.gated, f"{BAR} {_col}:i", S["gat"], "select * from gat")
-add("gat_15_all_presets", at.gated, BAR + " " + " ".join(f"{c}:i" for c in ("signal_rsi_vol_trend_gated", "signal_zscore_vol_bb_gated", "signal_macd_trend_gated", "signal_bb_breakout_gated")), S["gat"], "select * from gat")
+    add(_name, at.preset_gated, f"{BAR} {_col}:i", S["gat"], PRESET_GATED)
+add("gat_15_all_presets", at.preset_gated, BAR + " " + " ".join(f"{c}:i" for c in ("signal_rsi_vol_trend_gated", "signal_zscore_vol_bb_gated", "signal_macd_trend_gated", "signal_bb_breakout_gated")), S["gat"], PRESET_GATED)
+add("gat_17_filter_stats", lambda s, f: gates.filter_stats(at.gated(s, f)), "symbol:s filtered_signal:s original_signal:s active_pct:f n_trades:l turnover:f trade_reduction_pct:f",
+    [*S["gat"], ("fs0", "select symbol, d, u.name, u.base, coalesce(u.x, 0) as x, coalesce(u.y, 0) as y from (select symbol, d, unnest([" + ", ".join(
+        f"{{'name': '{c}', 'base': {f"'{b}'" if b else 'null::varchar'}, 'x': {c}::int, 'y': {b or '0'}::int}}" for c, b in FILTERED.items()) + "]) as u from gat)"),
+     ("fs1", "select *, lag(x) over w as wx, lag(y) over w as wy from fs0 window w as (partition by symbol, name order by d)"),
+     ("fs2", """select symbol, name as filtered_signal, base as original_signal, 100.0 * avg((x <> 0)::int) as active_pct, count(*) filter (where wx is null or wx <> x) as n_trades,
+        252.0 * avg((wx is null or wx <> x)::int) as turnover, count(*) filter (where wy is null or wy <> y) as b from fs1 group by 1, 2, 3""")],
+    "select *, case when original_signal is not null then (1 - n_trades::double / greatest(b, 1)) * 100 end as trade_reduction_pct from fs2")
 add("gat_16_ensemble", at.gated, f"{BAR} regime_label2:s signal_mr_pool:i signal_trend_pool:i signal_regime_adaptive:i", S["gat"], "select * from gat")
 add("gat_10_stats", lambda s, f: gates.stats(at.gated(s, f), "signal_macd", "signal_macd_trend_gated"), "symbol:s n_bars:l active_pct:f base_trades:l gated_trades:l reduction_pct:f",
     [*S["gat"], ("gc", f"select *, lag(signal_macd) over ({o.BY}) as wa, lag(signal_macd_trend_gated) over ({o.BY}) as wb from gat"), ("gs", "select symbol, count(*) as n_bars, 100.0 * avg((signal_macd_trend_gated <> 0)::int) as active_pct, count(*) filter (where wa is null or wa <> signal_macd) as base_trades, count(*) filter (where wb is null or wb <> signal_macd_trend_gated) as gated_trades from gc group by 1")],
@@ -207,7 +228,7 @@ EVENT = [*S["longs"],
             select *, abs(delta) > 0.01 as traded, {o.cost('fill', 'delta', 'volume')} as fee from (
               select *, target - pos as delta from (
                 select f.symbol, f.signal, f.rn, f.open as fill, f.close, f.volume, coalesce(f.value, 0) as v, coalesce(f.scale, 1.0) as k, s.pos, s.equity as was,
-                  case when s.rn = 1 then 100000.0 else s.cash end as cash, case when s.v = 0 or f.open = 0 then 0.0 else s.v * s.k * 10000.0 / f.open end as target
+                  case when s.rn = 1 then 100000.0 else s.cash end as cash, case when s.v = 0 or f.open = 0 then 0.0 else s.v * s.k * 100000.0 / f.open end as target
                 from ev s join longs f on f.symbol = s.symbol and f.signal = s.signal and f.rn = s.rn + 1)))))""")]
 add("bt_10_event_driven", lambda s, f: backtest.event_driven(at.longs(s, f)).withColumnRenamed("cost", "paid"), f"{PAIRED} d:d shares:f paid:f equity:e ret:f", EVENT, "select l.symbol, l.signal, l.d, e.pos as shares, e.paid, e.equity, e.ret from ev e join longs l on l.symbol = e.symbol and l.signal = e.signal and l.rn = e.rn")
 add("bt_10_event_trades", lambda s, f: backtest.event_driven(at.longs(s, f), want="trades"), f"{PAIRED} entry_d:d exit_d:d direction:i entry_price:f exit_price:f shares:f pnl:f holding_days:i")
@@ -231,6 +252,12 @@ add("met_10_capm", lambda s, f: metrics.capm(at.curve(s, f), at.market(s, f).sel
 REGR = "alpha_daily:f alpha_annual:f t_stat:f p_value:f significant:b r2:f adj_r2:f n_obs:l"
 add("fac_01_hac_regressions", lambda s, f: factors.regressions(at.excess(s, f)), f"{PAIRED} model:s {REGR}")
 add("fac_10_attribution_table", lambda s, f: factors.attribution_table(factors.regressions(at.excess(s, f))), f"{PAIRED} model:s alpha_annual:f t_stat:f p_value:f significant:b n_obs:l low_sample_size:b beta_mkt:f beta_smb:f beta_hml:f beta_mom:f")
+add("fac_03_classic_regressions", lambda s, f: factors.regressions(at.excess(s, f), errors="classic"), f"{PAIRED} model:s {REGR}")
+add("fac_03_classic_capm", lambda s, f: factors.regressions(at.excess(s, f), {"CAPM": ["mkt"]}, "classic"), f"{PAIRED} alpha_daily:f t_stat:f r2:f n_obs:l",
+    [*S["excess"], ("cl0", """select symbol, signal, count(*) as n, regr_intercept(excess, mkt) as a, regr_slope(excess, mkt) as b, regr_r2(excess, mkt) as q, avg(mkt) as mx, var_pop(mkt) * count(*) as sxx,
+       var_pop(excess) * count(*) as syy, stddev_pop(excess) as sd from excess where excess is not null and mkt is not null group by 1, 2""")],
+    """select symbol, signal, case when ok then a else 0.0 end as alpha_daily, case when ok then a / sqrt((syy - b * b * sxx) / (n - 2) * (1.0::double / n + mx * mx / sxx)) else 0.0 end as t_stat,
+       case when ok then q else 0.0 end as r2, case when ok then n else 0 end as n_obs from (select *, n >= 30 and sd >= 1e-10 as ok from cl0)""")
 add("fac_04_capm", lambda s, f: factors.capm(at.excess(s, f)), f"{PAIRED} beta:f alpha_annual:f r2:f n_obs:l",
     [*S["excess"], ("rg", "select symbol, signal, regr_slope(excess, mkt) as b, regr_intercept(excess, mkt) as a, regr_r2(excess, mkt) as q, count(*) as n from excess where excess is not null and mkt is not null group by 1, 2")],
     "select symbol, signal, case when n >= 30 then coalesce(b, 0) else 0 end as beta, case when n >= 30 then coalesce(pow(1 + a, 252) - 1, 0) else 0 end as alpha_annual, case when n >= 30 then coalesce(q, 0) else 0 end as r2, case when n >= 30 then n else 0 end as n_obs from rg")

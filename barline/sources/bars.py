@@ -29,10 +29,11 @@ def _walk(daily: DataFrame) -> DataFrame:
     walk = daily.withColumn("r", r).withColumn("close", F.round(100 * F.exp(F.sum("r").over(running)), 6))
     walk = walk.withColumn("open", F.coalesce(F.lag("close").over(whole.orderBy("d")), F.col("close")))
     wide = 1 + F.col("n") % 3
-    # the last term keeps exact decimals off the rounding's ties
+    # prices are whole millionths, rounded by a sum and a floor that any engine repeats exactly
+    micro = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
     return walk.select(
-        "symbol", "d", "open", F.round(F.greatest("open", "close") * (1 + 0.005 * wide) + 3.1e-10, 6).alias("high"),
-        F.round(F.least("open", "close") * (1 - 0.005 * wide) + 3.1e-10, 6).alias("low"), "close", (1000.0 * F.col("n")).alias("volume"))
+        "symbol", "d", "open", micro(F.greatest("open", "close") * (1 + 0.005 * wide)).alias("high"),
+        micro(F.least("open", "close") * (1 - 0.005 * wide)).alias("low"), "close", (1000.0 * F.col("n")).alias("volume"))
 
 
 def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +104,17 @@ def join_factors(ff3: DataFrame, mom: DataFrame) -> DataFrame:
     return both.select("d", *[(F.col(c) / 100).alias(c) for c in both.columns if c != "d"])
 
 
+def load_factors(library: DataFrame | None, proxies: DataFrame, start: str, end: str, rf_annual: float = 0.05) -> DataFrame:
+    """Daily factors in [start, end): the library's where it is there and has rows,
+    else the proxies'; a missing risk-free rate is the annual default."""
+    inside = lambda df: df.filter((F.col("d") >= F.lit(start).cast("date")) & (F.col("d") < F.lit(end).cast("date")))
+    chosen = inside(proxies)
+    if library is not None and usable_factors(inside(library)):
+        chosen = inside(library)
+    rf = F.lit((1 + rf_annual) ** (1 / 252) - 1)
+    return chosen.withColumn("rf", F.coalesce("rf", rf) if "rf" in chosen.columns else rf)
+
+
 def validity(bars: DataFrame, requested: DataFrame, start: str, end: str) -> DataFrame:
     """Per requested symbol: whether there are bars, the first day, bars in range."""
     inside = (F.col("d") >= F.lit(start).cast("date")) & (F.col("d") < F.lit(end).cast("date"))
