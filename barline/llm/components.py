@@ -100,15 +100,27 @@ def _named(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _ends(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b, of_a, of_b): pairs with the components of their members."""
+    of = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")})
+
+
 def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
-    return saved(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)))
+    """Components with the links found since: only the components that these join go
+    through further rounds, each as one node."""
+    ends = saved(_ends(found, comps))
+    joined = saved(components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    alone = ends.select(F.explode(F.array("of_a", "of_b")).alias("id")).distinct().join(comps, "id", "left_anti")
+    nodes = comps.unionByName(alone.select("id", F.col("id").alias("component")))
+    moved = nodes.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    return saved(moved.select("id", F.coalesce("to", "component").alias("component")))
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose members are in different components."""
-    of = lambda name: comps.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
-    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return named.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    return _ends(pairs, comps).filter("of_a <> of_b").select("a", "b")
 
 
 def _across(rows: DataFrame, comps: DataFrame, fits: Callable[[Get, Get], Column], hub_by: tuple[str, ...], most: int | None = None) -> DataFrame:
