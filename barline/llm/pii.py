@@ -4,7 +4,7 @@ The base patterns of four kinds always stand. High-recall generators propose
 more: mailboxes written out in words, number groups with other separators,
 telephone numbers without a leading plus. Every proposal is described by small
 integer features of its format and of its context; boosted trees, fitted on the
-proposals of the whole corpus (grouped by feature vector, so the fit sees all of
+wide proposals of the whole corpus (grouped by feature vector, so the fit sees all of
 them but few rows), score it, and a threshold per kind, calibrated on the
 validators' verdicts, selects what is added. Trees become nested CASE
 expressions: scoring runs inside the scan, without a shuffle or a UDF.
@@ -58,7 +58,7 @@ PROSE = "|".join("a all also and any are around arrive arrived at available back
 #: Assigned country calling codes.
 COUNTRIES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-4][0-9]|25[0-8]|26[0-9]|29[01789]|3[578][0-9]|42[0-9]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[0-9]|87[0-9]|88[0-9]|96[0-9]|97[0-9]|99[2-68])"
 HINTS = (r"(?i)(mail|contact|write|reach)", r"(?i)(\bip\b|host|server|addr)", r"(?i)(card|visa|pay|credit)", r"(?i)(phone|call|tel|fax|mobile)")
-FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces", "brackets")
+FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces", "brackets", "lead", "fourth", "ones")
 PRECISION = 0.98
 #: One document in so many is kept from the fit; thresholds are set on its proposals.
 HELD_OUT = 4
@@ -131,7 +131,8 @@ def _features(s: Column, wide: int) -> Column:
         s["kind"].alias("kind"), F.lit(wide).alias("wide"), F.least(F.length(s["match"]), F.lit(40)).alias("length"),
         F.least(F.length(digits_of(s["match"])), F.lit(24)).alias("digits"), F.least(F.regexp_count(s["match"], F.lit("[0-9]+")), F.lit(8)).alias("groups"),
         as_int(hint).alias("hint"), as_int(s["before"].rlike(r"[\p{L}0-9]$")).alias("glued_before"), as_int(s["after"].rlike(r"^[\p{L}0-9]")).alias("glued_after"),
-        F.least(F.regexp_count(s["match"], F.lit(" ")), F.lit(4)).alias("spaces"), F.least(F.regexp_count(s["match"], F.lit(r"[\[(]")), F.lit(3)).alias("brackets"))
+        F.least(F.regexp_count(s["match"], F.lit(" ")), F.lit(4)).alias("spaces"), F.least(F.regexp_count(s["match"], F.lit(r"[\[(]")), F.lit(3)).alias("brackets"), F.least(F.regexp_count(digits_of(s["match"]), F.lit("11")), F.lit(3)).alias("ones"),
+        *[F.coalesce(F.try_to_number(F.nullif(F.substring(digits_of(s["match"]), at, 1), F.lit("")), F.lit("9")).cast("int"), F.lit(-1)).alias(name) for name, at in (("lead", 1), ("fourth", 4))])
 
 
 def propose(docs: DataFrame) -> DataFrame:
@@ -173,14 +174,14 @@ def fit(proposed: DataFrame) -> tuple[str, dict[int, float]] | None:
     feature vector, whose number the feature ranges bound."""
     seen = proposed.select("held_out", F.explode("proposals").alias("p")).groupBy("held_out", "p.f", "p.valid").agg(F.count("*").alias("n"))
     rows = saved(seen.select("held_out", "f.*", F.col("valid").cast("double").alias("label"), F.col("n").cast("double").alias("weight")))
-    learned = rows.filter("not held_out")
+    learned = rows.filter("not held_out and wide = 1")
     if len(learned.select("label").distinct().take(2)) < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learned)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7).fit(vectors)
     trees = [f"{w!r} * ({_tree_sql(t.toDebugString)})" for t, w in zip(model.trees, model.treeWeights, strict=True)]
     margin = " + ".join(trees)
-    # a proposal of a base pattern is decided by its validator, so thresholds are of the wide ones
+    # a proposal of a base pattern is decided by its validator, so trees and thresholds are of the wide ones
     told = rows.filter("held_out and wide = 1").withColumn("f", F.struct(*FEATURES)).select("f.kind", F.expr(margin).alias("m"), "label", "weight")
     by_margin = told.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("kind", F.desc("m")).collect()
     cut: dict[int, float] = {}
