@@ -255,8 +255,8 @@ add("fac_01_hac_regressions", lambda s, f: factors.regressions(at.excess(s, f)),
 add("fac_10_attribution_table", lambda s, f: factors.attribution_table(factors.regressions(at.excess(s, f))), f"{PAIRED} model:s alpha_annual:f t_stat:f p_value:f significant:b n_obs:l low_sample_size:b beta_mkt:f beta_smb:f beta_hml:f beta_mom:f")
 add("fac_03_classic_regressions", lambda s, f: factors.regressions(at.excess(s, f), errors="classic"), f"{PAIRED} model:s {REGR}")
 add("fac_03_classic_capm", lambda s, f: factors.regressions(at.excess(s, f), {"CAPM": ["mkt"]}, "classic"), f"{PAIRED} alpha_daily:f t_stat:f r2:f n_obs:l",
-    [*S["excess"], ("cl0", """select symbol, signal, count(*) as n, regr_intercept(excess, mkt) as a, regr_slope(excess, mkt) as b, regr_r2(excess, mkt) as q, avg(mkt) as mx, var_pop(mkt) * count(*) as sxx,
-       var_pop(excess) * count(*) as syy, stddev_pop(excess) as sd from excess where excess is not null and mkt is not null group by 1, 2""")],
+    [*S["excess"], ("cl0", """select symbol, signal, count(y) as n, regr_intercept(y, x) as a, regr_slope(y, x) as b, regr_r2(y, x) as q, avg(x) as mx, var_pop(x) * count(x) as sxx,
+       var_pop(y) * count(y) as syy, coalesce(stddev_pop(y), 0) as sd from (select symbol, signal, case when mkt is not null then excess end as y, case when excess is not null then mkt end as x from excess) group by 1, 2""")],
     """select symbol, signal, case when ok then a else 0.0 end as alpha_daily, case when ok then a / sqrt((syy - b * b * sxx) / (n - 2) * (1.0::double / n + mx * mx / sxx)) else 0.0 end as t_stat,
        case when ok then q else 0.0 end as r2, case when ok then n else 0 end as n_obs from (select *, n >= 30 and sd >= 1e-10 as ok from cl0)""")
 add("fac_04_capm", lambda s, f: factors.capm(at.excess(s, f)), f"{PAIRED} beta:f alpha_annual:f r2:f n_obs:l",
