@@ -49,7 +49,9 @@ WORDS, SIMILAR, OF = 3, 90, 100
 #: The least share of hashes in the first part of the order, and the tokens that a
 #: set of any size should have there.
 SHARE, TOKENS = 0.15, 100
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+#: Documents whose token sets a task holds at once.
+HELD = 500
 #: Cells of the parities: the fewest, two longs, and the most.
 CELLS, MOST_CELLS = 128, 1 << 20
 
@@ -140,7 +142,7 @@ def _tokens(docs: DataFrame, size: int, similar: int, of: int) -> DataFrame:
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
-        for pdf in batches:
+        for pdf in (whole.iloc[a : a + HELD] for whole in batches for a in range(0, len(whole), HELD)):
             rows = []
             for text in pdf["text"]:
                 s = shingles(text, words, size)
