@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from ..functions.windows import ordered
 
 BLOCKED = {"open", "high", "low", "close", "volume", "returns_fwd_1", "returns_fwd_5", "tr", "target", "fold_id", "rn"}
+#: Training rows of a task at least, where a fold has as many.
+TASK_ROWS = 20_000
 PREFIXES = ("signal_", "position_", "regime_", "gate_")
 
 
@@ -83,26 +88,37 @@ def model(kind: str, seed: int = 42):
 
 def walk_forward(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(), estimator=None, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(predictions, importances): a fresh model per fold for all symbols of the
-    frame; test rows are imputed with the medians of the fold's training rows."""
-    columns = feature_columns(df)
+    frame; test rows are imputed with the medians of the fold's training rows. The
+    folds are fitted side by side: boosting is many short jobs, each of which leaves
+    most of a cluster idle."""
+    spark, columns = df.sparkSession, feature_columns(df)
     staged = with_folds(df, folds).withColumn("target", F.col(target))
-    predictions, importances = None, []
-    for k in [r["fold_id"] for r in staged.select("fold_id").distinct().orderBy("fold_id").collect()]:  # at most n_folds rows
+    ready = VectorAssembler(inputCols=columns, outputCol="features")
+
+    def fold(k: int) -> tuple[DataFrame, list[tuple[int, str, float]]] | None:
         part = staged.filter(F.col("fold_id") == k)
         train = part.filter("part = 'train' and target is not null").persist()  # read by the medians and by the fit
-        if len(train.take(least)) < least:
+        try:
+            n = train.count()
+            if n < least:
+                return None
+            fills = medians(train, columns)
+            # each tree is a job a level: few rows in many partitions are mostly overhead
+            rows = train.coalesce(1 + n // TASK_ROWS).fillna(fills, columns)
+            fitted = (estimator or model("xgboost")).fit(ready.transform(rows))
+        finally:
             train.unpersist()
-            continue
-        fills = medians(train, columns)
-        ready = VectorAssembler(inputCols=columns, outputCol="features")
-        fitted = (estimator or model("xgboost")).fit(ready.transform(train.fillna(fills, columns)))
         told = fitted.transform(ready.transform(part.filter("part = 'test'").fillna(fills, columns))).select("symbol", "d", "fold_id", "target", "prediction")
-        predictions = told if predictions is None else predictions.unionByName(told)
-        train.unpersist()
-        importances += [(int(k), c, float(v)) for c, v in zip(columns, fitted.featureImportances.toArray(), strict=True)]
-    spark = df.sparkSession
-    if predictions is None:
+        return told, [(k, c, float(v)) for c, v in zip(columns, fitted.featureImportances.toArray(), strict=True)]
+
+    numbers = sorted(r["fold_id"] for r in fold_table(df, folds).select("fold_id").distinct().collect())  # at most n_folds rows
+    with ThreadPoolExecutor(max(1, len(numbers))) as pool:
+        done = [d for d in pool.map(inheritable_thread_target(spark)(fold), numbers) if d]
+    if done:
+        predictions = reduce(DataFrame.unionByName, (told for told, _ in done))
+    else:
         predictions = spark.createDataFrame([], "symbol string, d date, fold_id int, target double, prediction double")
+    importances = [row for _, rows in done for row in rows]
     return predictions, spark.createDataFrame(importances, "fold_id int, feature string, importance double")
 
 
