@@ -80,3 +80,20 @@ def may_hold(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(held), "_bucket")  # at most MOST_BITS
     return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
+def probably_among(rows: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
+    """rows with a boolean column ``flag``: true where the column is among ``ids``, a
+    written table of distinct ids in a column of that name, false for nearly all others.
+    As in ``may_hold``, a bitmap of at most ``MOST_BITS`` is broadcast; where it would
+    hold more ids than half its bits, the flag is true for all rows."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    if n > bits // 2:
+        return rows.withColumn(flag, F.lit(True))
+    at = F.pmod(F.xxhash64(column), F.lit(bits)).cast("long")
+    held = ids.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(held), "_bucket", "left")  # at most MOST_BITS
+    return met.withColumn(flag, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, line_dedup, matroska, ngram_join, packing, pii, quality_rules, secrets, source_mix
+from . import chat_format, fill_in_middle, filtering_lloyd, language_id, line_dedup, matroska, ngram_join, packing, piecewise_hash, pii, quality_rules, secrets, source_mix
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_source_mix": source_mix.op9_source_mix,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_piecewise_hash": piecewise_hash.op11_piecewise_hash,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_vector_codes": filtering_lloyd.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.OP5_SQL}
+    return {"op5_quality_rules": quality_rules.OP5_SQL, "op12_fill_in_middle": fill_in_middle.OP12_SQL, "op13_vector_codes": filtering_lloyd.OP13_SQL}
