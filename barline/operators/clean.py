@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered, past, rolling, up_to_now
+from ..functions.moments import Moment, moments
+from ..functions.windows import ordered, past, up_to_now
 
 PRICES = ("open", "high", "low", "close", "volume")
 
@@ -85,10 +86,9 @@ def returns(df: DataFrame, price: str = "close", method: str = "log", periods: i
     else:
         now = safe(p, past(p, periods)) - 1
         fwd = {f"returns_fwd_{k}": safe(p, q) - 1 for k, q in ahead.items()}
-    out = df.withColumns({"returns": now} | fwd)
-    r = F.col("returns")
-    norm = (r - rolling(F.avg, r, 252, 30)) / F.nullif(rolling(F.stddev_samp, r, 252, 30), F.lit(0.0))
-    return out.withColumn("returns_norm", norm)
+    out = moments(df.withColumns({"returns": now} | fwd), {"_mean": Moment("returns", 252, 30), "_std": Moment("returns", 252, 30, "std")})
+    norm = (F.col("returns") - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))
+    return out.withColumn("returns_norm", norm).drop("_mean", "_std")
 
 
 def clean(df: DataFrame, step: str | None = "interval 1 day", align_fill: str | None = "ffill", max_gap: int = 5, fill_method: str = "ffill", method: str = "log") -> DataFrame:

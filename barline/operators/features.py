@@ -1,14 +1,22 @@
-"""Technical features of cleaned bars, as window expressions and one kernel."""
+"""Technical features of cleaned bars: moments by running sums, recursive means by one pass."""
 
 from __future__ import annotations
 
-import pandas as pd
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.windows import last_rows, past, per, require, rolling
+from ..functions.moments import Moment, moments
+from ..functions.windows import past, per, require
+from . import scan
 from .kernels import ema
+from .passes import Step, by_group, floats
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 YEAR = 252
 
@@ -17,39 +25,70 @@ def half(n: int) -> int:
     return max(2, n // 2)
 
 
-def volatility(df: DataFrame, windows: tuple[int, ...] = (5, 21, 63), column: str = "returns") -> DataFrame:
+def _volatility(df: DataFrame, windows: tuple[int, ...], column: str) -> dict[str, Moment]:
     require(df, column)
-    out = {}
-    for n in windows:
-        # windows of the same returns in another order differ in the last bits only: ranks should see them as equal
-        v = F.round(rolling(F.stddev_samp, F.col(column), n, half(n)), 12)
-        out |= {f"vol_{n}d": v, f"vol_{n}d_annual": v * F.sqrt(F.lit(float(YEAR)))}
-    return df.withColumns(out)
+    return {f"vol_{n}d": Moment(column, n, half(n), "std") for n in windows}
 
 
-def volume(df: DataFrame, n: int = 20) -> DataFrame:
+def _annual(df: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    # windows of the same returns in another order differ in the last bits only: ranks should see them as equal
+    out = df.withColumns({f"vol_{n}d": F.round(f"vol_{n}d", 12) for n in windows})
+    return out.withColumns({f"vol_{n}d_annual": F.col(f"vol_{n}d") * F.sqrt(F.lit(float(YEAR))) for n in windows})
+
+
+def volatility(df: DataFrame, windows: tuple[int, ...] = (5, 21, 63), column: str = "returns") -> DataFrame:
+    return _annual(moments(df, _volatility(df, windows, column)), windows)
+
+
+def _volume(df: DataFrame, n: int) -> dict[str, Moment]:
     require(df, "close", "volume")
-    w, least = last_rows(n), half(n)
+    least = half(n)
+    return {"_mean_volume": Moment("volume", n, least), "_traded": Moment("_turnover", n, 1, "sum"), "_volume": Moment("volume", n, least, "sum")}
+
+
+def _ratios(df: DataFrame, n: int) -> DataFrame:
     v, c = F.col("volume"), F.col("close")
-    enough = F.count(v).over(w) >= least
-    out = df.withColumn(f"vol_ratio_{n}", per(v, rolling(F.avg, v, n, least)))
-    out = out.withColumn(f"vwap_{n}d", F.when(enough, per(F.sum(c * v).over(w), F.sum(v).over(w))))
-    return out.withColumn("vwap_dev", per(c - F.col(f"vwap_{n}d"), c))
+    out = df.withColumns({f"vol_ratio_{n}": per(v, F.col("_mean_volume")), f"vwap_{n}d": per(F.col("_traded"), F.col("_volume"))})
+    return out.withColumn("vwap_dev", per(c - F.col(f"vwap_{n}d"), c)).drop("_mean_volume", "_traded", "_volume", "_turnover")
 
 
-def bollinger(df: DataFrame, n: int = 20, width: float = 2.0, column: str = "close") -> DataFrame:
+def _turnover(df: DataFrame) -> DataFrame:
+    return df.withColumn("_turnover", F.col("close") * F.col("volume"))
+
+
+def volume(df: DataFrame, n: int = 20) -> DataFrame:
+    wanted = _volume(df, n)
+    return _ratios(moments(_turnover(df), wanted), n)
+
+
+def _bollinger(df: DataFrame, n: int, column: str) -> dict[str, Moment]:
     require(df, column)
-    p = F.col(column)
-    mid, std = rolling(F.avg, p, n, half(n)), rolling(F.stddev_samp, p, n, half(n))
-    out = df.withColumns({"bb_middle": mid, "bb_upper": mid + width * std, "bb_lower": mid - width * std})
+    return {"bb_middle": Moment(column, n, half(n)), "_bb_std": Moment(column, n, half(n), "std")}
+
+
+def _bands(df: DataFrame, width: float, column: str) -> DataFrame:
+    mid, std = F.col("bb_middle"), F.col("_bb_std")
+    out = df.withColumns({"bb_upper": mid + width * std, "bb_lower": mid - width * std}).drop("_bb_std")
     spread = F.col("bb_upper") - F.col("bb_lower")
-    return out.withColumns({"bb_width": per(spread, F.col("bb_middle")), "bb_pct": per(p - F.col("bb_lower"), spread)})
+    return out.withColumns({"bb_width": per(spread, F.col("bb_middle")), "bb_pct": per(F.col(column) - F.col("bb_lower"), spread)})
 
 
-def zscores(df: DataFrame, windows: tuple[int, ...] = (20, 60), column: str = "close") -> DataFrame:
+def bollinger(df: DataFrame, n: int = 20, width: float = 2.0, column: str = "close") -> DataFrame:
+    return _bands(moments(df, _bollinger(df, n, column)), width, column)
+
+
+def _zscores(df: DataFrame, windows: tuple[int, ...], column: str) -> dict[str, Moment]:
     require(df, column)
-    p = F.col(column)
-    return df.withColumns({f"z_price_{n}d": per(p - rolling(F.avg, p, n, half(n)), rolling(F.stddev_samp, p, n, half(n))) for n in windows})
+    return {f"{name}_{n}": Moment(column, n, half(n), kind) for n in windows for name, kind in (("_z_mean", "mean"), ("_z_std", "std"))}
+
+
+def _scores(df: DataFrame, windows: tuple[int, ...], column: str) -> DataFrame:
+    z = {f"z_price_{n}d": per(F.col(column) - F.col(f"_z_mean_{n}"), F.col(f"_z_std_{n}")) for n in windows}
+    return df.withColumns(z).drop(*[f"{name}_{n}" for n in windows for name in ("_z_mean", "_z_std")])
+
+
+def zscores(df: DataFrame, windows: tuple[int, ...] = (20, 60), column: str = "close") -> DataFrame:
+    return _scores(moments(df, _zscores(df, windows, column)), windows, column)
 
 
 def true_range(df: DataFrame) -> DataFrame:
@@ -59,32 +98,31 @@ def true_range(df: DataFrame) -> DataFrame:
 
 
 def averages(df: DataFrame, rsi: int = 14, atr: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """RSI, ATR and MACD: all recursive means of a symbol in one pass."""
+    """RSI, ATR and MACD: all recursive means of a symbol in one pass. ``scan.averages``
+    makes the same columns of series that are too long for a task."""
     require(df, "close", "tr")
     names = [f"rsi_{rsi}", f"atr_{atr}", f"ema_{fast}", f"ema_{slow}", "macd_line", "macd_signal", "macd_histogram"]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("d")
-        close = bars["close"].astype(float)
-        move = close.diff()
-        gain, loss = ema(move.clip(lower=0).to_numpy(), 1 / rsi, rsi), ema((-move).clip(lower=0).to_numpy(), 1 / rsi, rsi)
-        ratio = pd.Series(gain) / pd.Series(loss).where(lambda x: x != 0)
-        index = (100 - 100 / (1 + ratio)).where(pd.Series(loss) != 0, 100.0).where(pd.Series(loss).notna()).clip(0, 100)
-        quick, late = ema(close.to_numpy(), 2 / (fast + 1), fast), ema(close.to_numpy(), 2 / (slow + 1), slow)
+
+    def run(bars: pa.Table) -> dict[str, np.ndarray]:
+        close = floats(bars, "close")
+        move = np.diff(close, prepend=np.nan)
+        gain, loss = ema(np.where(move < 0, 0.0, move), 1 / rsi, rsi), ema(np.where(move > 0, 0.0, -move), 1 / rsi, rsi)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            index = np.where(np.isnan(loss), np.nan, np.where(loss == 0, 100.0, np.clip(100 - 100 / (1 + gain / loss), 0, 100)))
+        quick, late = ema(close, 2 / (fast + 1), fast), ema(close, 2 / (slow + 1), slow)
         line = quick - late
         smooth = ema(line, 2 / (signal + 1), signal)
-        values = [index.to_numpy(), ema(bars["tr"].astype(float).to_numpy(), 1 / atr, atr), quick, late, line, smooth, line - smooth]
-        return bars.assign(**dict(zip(names, values, strict=True)))
+        return dict(zip(names, [index, ema(floats(bars, "tr"), 1 / atr, atr), quick, late, line, smooth, line - smooth], strict=True))
 
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    return by_group(df, [Step(dict.fromkeys(names, "double"), run)])
 
 
-def all_features(df: DataFrame) -> DataFrame:
-    """All families. The kernel comes first, so that the windows after it share
-    one exchange and sort."""
-    out = averages(true_range(df))
-    return zscores(bollinger(volume(volatility(out))))
+def all_features(df: DataFrame, block_days: int | None = None) -> DataFrame:
+    """All families. The recursive means come first (by blocks of so many days, if given),
+    so that the windows after them share one exchange; all moments share their sums."""
+    out = averages(true_range(df)) if block_days is None else scan.averages(df, block_days)
+    out = moments(_turnover(out), _volatility(out, (5, 21, 63), "returns") | _volume(out, 20) | _bollinger(out, 20, "close") | _zscores(out, (20, 60), "close"))
+    return _scores(_bands(_ratios(_annual(out, (5, 21, 63)), 20), 2.0, "close"), (20, 60), "close")
 
 
 def report(df: DataFrame, columns: list[str]) -> DataFrame:

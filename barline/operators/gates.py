@@ -6,22 +6,30 @@ A condition turns a frame into a boolean column; missing values close the gate.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.windows import changed, quantile, require, rolling, sign, whole
+from ..functions.windows import changed, require, rolling, sign, whole
+from . import order_statistics
 from .kernels import breaker
+from .order_statistics import Statistic
+from .passes import Step, by_group, floats
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Condition(Protocol):
-    """The extension point: anything with this method is a condition."""
+    """The extension point: anything with this method is a condition. One that compares
+    with quantiles may also tell them as ``statistics``, a tuple: they then are made
+    together with those of all other conditions, in one pass."""
 
     def column(self, df: DataFrame) -> Column: ...
 
@@ -30,11 +38,15 @@ def _known(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _bound(x: Column, lookback: int, percentile: float, least: int, point_in_time: bool) -> Column:
+def _bound(df: DataFrame, at: Statistic, point_in_time: bool) -> Column:
     """The rolling quantile; where it is missing, the median of the whole series
     (which looks ahead), unless ``point_in_time``."""
-    now = rolling(quantile(percentile / 100), x, lookback, least)
-    return now if point_in_time else F.coalesce(now, F.percentile(x, F.lit(0.5)).over(whole()))
+    x = F.abs(at.column) if at.absolute else F.col(at.column)
+    return at.value(df) if point_in_time else F.coalesce(at.value(df), F.percentile(x, F.lit(0.5)).over(whole()))
+
+
+def statistics_of(conditions: list) -> list[Statistic]:
+    return [s for c in conditions for s in getattr(c, "statistics", ())]
 
 
 @dataclass(frozen=True)
@@ -44,11 +56,14 @@ class VolPercentile:
     percentile: float = 30.0
     mode: str = "below"
 
+    @property
+    def statistics(self) -> tuple[Statistic, ...]:
+        return (Statistic(self.name, self.lookback, self.lookback // 2, p=self.percentile / 100),)
+
     def column(self, df: DataFrame) -> Column:
         if self.name not in df.columns:
             return F.lit(False)
-        x = F.col(self.name)
-        at = rolling(quantile(self.percentile / 100), x, self.lookback, self.lookback // 2)
+        x, at = F.col(self.name), self.statistics[0].value(df)
         return _known(x < at if self.mode == "below" else x > at)
 
 
@@ -73,13 +88,18 @@ class Macd:
     name: str = "macd_line"
     point_in_time: bool = False
 
+    @property
+    def statistics(self) -> tuple[Statistic, ...]:
+        weak = self.direction not in ("positive", "negative") and self.threshold is None
+        return (Statistic(self.name, 252, 60, p=0.25, absolute=True),) if weak else ()
+
     def column(self, df: DataFrame) -> Column:
         if self.name not in df.columns:
             return F.lit(False)
         m = F.col(self.name)
         if self.direction in ("positive", "negative"):
             return _known(m > 0 if self.direction == "positive" else m < 0)
-        bound = F.lit(self.threshold) if self.threshold is not None else _bound(F.abs(m), 252, 25, 60, self.point_in_time)
+        bound = F.lit(self.threshold) if self.threshold is not None else _bound(df, self.statistics[0], self.point_in_time)
         return _known(F.abs(m) < bound)
 
 
@@ -89,11 +109,14 @@ class BandWidth:
     percentile: float = 40.0
     name: str = "bb_width"
 
+    @property
+    def statistics(self) -> tuple[Statistic, ...]:
+        return (Statistic(self.name, self.lookback, self.lookback // 4, p=self.percentile / 100),)
+
     def column(self, df: DataFrame) -> Column:
         if self.name not in df.columns:
             return F.lit(False)
-        x = F.col(self.name)
-        return _known(x < rolling(quantile(self.percentile / 100), x, self.lookback, self.lookback // 4))
+        return _known(F.col(self.name) < self.statistics[0].value(df))
 
 
 @dataclass(frozen=True)
@@ -111,6 +134,10 @@ class Composite:
     conditions: tuple
     logic: str = "AND"
 
+    @property
+    def statistics(self) -> tuple[Statistic, ...]:
+        return tuple(statistics_of(list(self.conditions)))
+
     def column(self, df: DataFrame) -> Column:
         if not self.conditions:
             raise ValueError("a composite needs conditions")
@@ -127,11 +154,15 @@ class TrendConfirmation:
     name: str = "macd_line"
     point_in_time: bool = False
 
+    @property
+    def statistics(self) -> tuple[Statistic, ...]:
+        return (Statistic(self.name, self.lookback, self.lookback // 4, p=self.percentile / 100, absolute=True),)
+
     def column(self, df: DataFrame) -> Column:
         if self.name not in df.columns or self.signal not in df.columns:
             return F.lit(False)
         m = F.col(self.name)
-        strong = F.abs(m) >= _bound(F.abs(m), self.lookback, self.percentile, self.lookback // 4, self.point_in_time)
+        strong = F.abs(m) >= _bound(df, self.statistics[0], self.point_in_time)
         return _known((F.signum(F.col(self.signal).cast("double")) == F.signum(m)) & strong)
 
 
@@ -153,26 +184,29 @@ class Drawdown:
         return F.col(self.name) if self.name in df.columns else F.lit(True)
 
 
-def with_breakers(df: DataFrame, gates: list[Drawdown]) -> DataFrame:
-    """df with a column for every drawdown gate, in one pass by symbol."""
-    gates = [g for g in gates if {g.signal, g.returns} <= set(df.columns)]
-    if not gates:
-        return df
-    schema = T.StructType([*df.schema.fields, *[T.StructField(g.name, T.BooleanType()) for g in gates]])
-    told = [(g.name, g.signal, g.returns, g.most, g.recovery) for g in gates]
+def with_inputs(df: DataFrame, gates: list[Drawdown], statistics: list[Statistic] = ()) -> DataFrame:
+    """df with a column for every drawdown gate and statistic, in one pass by symbol."""
+    told = [(g.name, g.signal, g.returns, g.most, g.recovery) for g in gates if {g.signal, g.returns} <= set(df.columns)]
+    wanted = order_statistics.missing(df, list(statistics))
+
+    def run(bars: pa.Table) -> dict[str, np.ndarray]:
+        return {n: breaker(floats(bars, s), floats(bars, r), m, c) for n, s, r, m, c in told}
+
+    steps = [Step({t[0]: "boolean" for t in told}, run)] * bool(told) + [order_statistics.step(wanted)] * bool(wanted)
+    return by_group(df, steps) if steps else df
 
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("d")
-        return bars.assign(**{n: breaker(bars[s].to_numpy(float, na_value=np.nan), bars[r].to_numpy(float, na_value=np.nan), m, c) for n, s, r, m, c in told})
 
-    return df.groupBy("symbol").applyInPandas(run, schema)
+def with_breakers(df: DataFrame, gates: list[Drawdown]) -> DataFrame:
+    return with_inputs(df, gates)
 
 
 def gated(df: DataFrame, signal: str, conditions: list, output: str | None = None, logic: str = "AND", invert: bool = False) -> DataFrame:
     """The signal where the gate is open, 0 elsewhere."""
     require(df, signal)
-    gate = Composite(tuple(conditions), logic).column(df)
-    return df.withColumn(output or f"{signal}_filtered", F.when(~gate if invert else gate, F.col(signal)).otherwise(0))
+    wanted = order_statistics.missing(df, statistics_of(conditions))
+    ready = with_inputs(df, [], wanted)
+    gate = Composite(tuple(conditions), logic).column(ready)
+    return ready.withColumn(output or f"{signal}_filtered", F.when(~gate if invert else gate, F.col(signal)).otherwise(0)).drop(*[s.name for s in wanted])
 
 
 def stats(df: DataFrame, signal: str, output: str) -> DataFrame:
@@ -200,13 +234,19 @@ PRESETS = gate_set(rsi=20, zscore=25, macd=50, bb=40)
 ENSEMBLE = gate_set(rsi=20, zscore=20, macd=50, bb=50)
 
 
-def presets(df: DataFrame, gates: dict[str, tuple[str, tuple]] = PRESETS) -> DataFrame:
-    """The gated columns of the signals that are there."""
+def statistics_for(gates: dict[str, tuple[str, tuple]]) -> list[Statistic]:
+    return statistics_of([c for _, conditions in gates.values() for c in conditions])
+
+
+def presets(df: DataFrame, gates: dict[str, tuple[str, tuple]] = PRESETS, also: tuple[Statistic, ...] = ()) -> DataFrame:
+    """The gated columns of the signals that are there. Breakers and quantiles are made in
+    one pass, with the statistics of ``also``, which stay."""
     present = {s: p for s, p in gates.items() if s in df.columns}
-    out = with_breakers(df, [c for _, cs in present.values() for c in cs if isinstance(c, Drawdown)])
+    own = order_statistics.missing(df, statistics_for(present))
+    out = with_inputs(df, [c for _, cs in present.values() for c in cs if isinstance(c, Drawdown)], [*own, *also])
     for signal, (name, conditions) in present.items():
         out = gated(out, signal, list(conditions), name)
-    return out
+    return out.drop(*[s.name for s in own if s not in also])
 
 
 def base_of(column: str, columns: list[str]) -> str | None:
@@ -232,12 +272,15 @@ def filter_stats(df: DataFrame) -> DataFrame:
     return out.withColumn("trade_reduction_pct", F.when(F.col("original_signal").isNotNull(), less)).drop("before")
 
 
-def all_gates(df: DataFrame, point_in_time: bool = False) -> DataFrame:
+CALM = Statistic("vol_21d", 252, 60, p=0.4)
+
+
+def all_gates(df: DataFrame, point_in_time: bool = False, also: tuple[Statistic, ...] = ()) -> DataFrame:
     """The ensemble's gates of the signals that are there, a two-state label, the
     pools of mean-reverting and trending gated signals, and their switch."""
-    out = presets(df, ENSEMBLE)
-    low = F.col("vol_21d") < _bound(F.col("vol_21d"), 252, 40, 60, point_in_time)
-    out = out.withColumn("regime_label2", F.when(_known(low), "range_bound").otherwise("trending"))
+    out = presets(df, ENSEMBLE, (CALM, *also))
+    low = F.col("vol_21d") < _bound(out, CALM, point_in_time)
+    out = out.withColumn("regime_label2", F.when(_known(low), "range_bound").otherwise("trending")).drop(CALM.name)
     half = lambda a, b: sign((F.col(a) + F.col(b)) / 2)
     out = out.withColumns({"signal_mr_pool": half("signal_rsi_vol_trend_gated", "signal_zscore_vol_bb_gated"), "signal_trend_pool": half("signal_macd_trend_gated", "signal_bb_breakout_gated")})
     return out.withColumn("signal_regime_adaptive", F.when(F.col("regime_label2") == "range_bound", F.col("signal_mr_pool")).otherwise(F.col("signal_trend_pool")))

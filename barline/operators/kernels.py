@@ -11,6 +11,7 @@ import math
 import sys
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -19,20 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def ema(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
     """Recursive exponential mean from the first value on; a gap lets the weight
     of what was before decay. Missing until ``least`` values were seen."""
-    out = np.full(len(x), np.nan)
-    y, weight, seen = math.nan, 1.0, 0
-    for t, v in enumerate(x):
-        if seen:
-            weight *= 1 - alpha
-        if not math.isnan(v):
-            if seen:
-                y, weight = (weight * y + alpha * v) / (weight + alpha), 1.0
-            else:
-                y, weight = v, 1.0
-            seen += 1
-        if seen >= least:
-            out[t] = y
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
 
 
 def rsi_machine(close: np.ndarray, low: np.ndarray, high: np.ndarray, level: np.ndarray, oversold: float, overbought: float, exit_: float, least: int, most: int) -> np.ndarray:

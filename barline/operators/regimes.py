@@ -8,31 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.windows import changed, clip, last_rows, ordered, require, rolling, sign
+from ..functions.windows import changed, clip, ordered, require, rolling, sign
 from .kernels import GaussianHMM, state_names
+from .order_statistics import Statistic, with_statistics
 
 NAMES = ("range_bound", "trending_up", "trending_down", "crisis")
 #: The regimes in which each signal is trusted.
 TRUST = {"signal_rsi": ("range_bound",), "signal_zscore": ("range_bound",), "signal_macd": ("trending_up", "trending_down"), "signal_bb": ("trending_up", "trending_down")}
 
 
-def percent_rank(column: str, lookback: int, least: int) -> Column:
-    """Rank of the last value among the last ``lookback`` rows, in percent, ties
-    averaged."""
-    x, seen = F.col(column), F.collect_list(F.col(column)).over(last_rows(lookback))
-    below, same = F.size(F.filter(seen, lambda v: v < x)), F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(seen) >= least), (below + (same + 1) / 2) / F.size(seen) * 100)
+def volatility_rank(lookback: int = 252) -> Statistic:
+    """Rank of the last volatility among the last ``lookback`` rows, in percent."""
+    return Statistic("vol_21d", lookback, lookback // 4, "rank")
 
 
 def classify(df: DataFrame, lookback: int = 252, crisis: float = 90.0, window: int = 63, flat: float = 0.05) -> DataFrame:
     """regime_label and one-hot regime_prob_* by rules; null while warming up."""
     require(df, "vol_21d", "returns", "macd_line")
-    ready = df.withColumns({"_rank": percent_rank("vol_21d", lookback, lookback // 4), "_trend": rolling(F.avg, F.col("returns"), window, window // 2) * 252})
+    place = volatility_rank(lookback)
+    ranked = with_statistics(df, [place])
+    ready = ranked.withColumns({"_rank": place.value(ranked), "_trend": rolling(F.avg, F.col("returns"), window, window // 2) * 252})
     rank, trend, macd = F.col("_rank"), F.col("_trend"), F.col("macd_line")
     label = (
         F.when(rank.isNull() | trend.isNull(), F.lit(None).cast("string")).when(rank > crisis, "crisis").when(F.abs(trend) < flat, "range_bound")
         .when((trend > 0) & (macd > 0), "trending_up").when((trend < 0) & (macd < 0), "trending_down").otherwise("range_bound"))
-    out = ready.withColumn("regime_label", label).drop("_rank", "_trend")
+    out = ready.withColumn("regime_label", label).drop("_rank", "_trend", place.name)
     return out.withColumns({f"regime_prob_{n}": (F.col("regime_label") == n).cast("double") for n in NAMES})
 
 

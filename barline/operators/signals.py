@@ -6,14 +6,16 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.windows import changed, clip, last_rows, past, quantile, require, rolling, sign
+from ..functions.windows import changed, clip, past, require, rolling, sign
+from . import order_statistics
 from .kernels import band_machine, macd_machine, rsi_machine, zscore_machine
+from .order_statistics import Statistic
+from .passes import Step, by_group, floats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,32 +39,38 @@ class Rules:
 INPUTS = ("close", "rsi_14", "macd_histogram", "macd_line", "z_price_60d", "bb_upper", "bb_lower", "bb_middle", "bb_width")
 
 
-def positions(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def squeeze(rules: Rules) -> Statistic:
+    return Statistic("bb_width", 252, 60, "quantile", rules.squeeze_percentile / 100)
+
+
+def positions(df: DataFrame, rules: Rules = Rules(), also: tuple[Statistic, ...] = ()) -> DataFrame:
     """signal_rsi, signal_macd, signal_zscore and signal_bb, in one pass over the
-    bars of a symbol."""
+    bars of a symbol, which makes the statistics of ``also`` on its way."""
     require(df, *INPUTS)
     if rules.bb_mode not in ("breakout", "reversion"):
         raise ValueError(f"unknown mode {rules.bb_mode!r}")
     least = rolling(F.min, F.col("rsi_14"), rules.smoothing, 1)
     most = rolling(F.max, F.col("rsi_14"), rules.smoothing, 1)
-    bound = rolling(quantile(rules.squeeze_percentile / 100), F.col("bb_width"), 252, 60)
-    ready = df.withColumns({"rsi_min": least, "rsi_max": most, "in_squeeze": bound.isNull() | F.coalesce(F.col("bb_width") <= bound, F.lit(False))})
+    ready = df.withColumns({"_rsi_min": least, "_rsi_max": most})
     names = ["signal_rsi", "signal_macd", "signal_zscore", "signal_bb"]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.IntegerType()) for n in names]])
-    keep = df.columns
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("d")
-        v = {c: bars[c].to_numpy(float, na_value=np.nan) for c in (*INPUTS, "rsi_min", "rsi_max")}
+    bound = squeeze(rules)
+    ranked, bound_name = order_statistics.step([bound, *order_statistics.missing(df, list(also))]), bound.name
+
+    def run(bars: pa.Table) -> dict[str, np.ndarray]:
+        v = {c: floats(bars, c) for c in (*INPUTS, "_rsi_min", "_rsi_max")}
+        told = ranked.run(bars)
+        at = told.pop(bound_name)
+        inside = np.isnan(at) | (v["bb_width"] <= at)
         lo, hi = rules.min_holding, rules.max_holding
         found = [
-            rsi_machine(v["close"], v["rsi_min"], v["rsi_max"], v["rsi_14"], rules.oversold, rules.overbought, rules.rsi_exit, lo, hi),
+            rsi_machine(v["close"], v["_rsi_min"], v["_rsi_max"], v["rsi_14"], rules.oversold, rules.overbought, rules.rsi_exit, lo, hi),
             macd_machine(v["macd_histogram"], v["macd_line"], rules.zero_cross, lo, hi),
             zscore_machine(v["z_price_60d"], rules.z_entry, rules.z_exit, lo, hi),
-            band_machine(v["close"], v["bb_upper"], v["bb_lower"], v["bb_middle"], bars["in_squeeze"].to_numpy(bool), rules.bb_mode, lo, rules.bb_max_holding)]
-        return bars[keep].assign(**dict(zip(names, found, strict=True)))
+            band_machine(v["close"], v["bb_upper"], v["bb_lower"], v["bb_middle"], inside, rules.bb_mode, lo, rules.bb_max_holding)]
+        return told | dict(zip(names, found, strict=True))
 
-    return ready.groupBy("symbol").applyInPandas(run, schema)
+    made = {n: k for n, k in ranked.made.items() if n != bound_name} | dict.fromkeys(names, "int")
+    return by_group(ready, [Step(made, run)], drop=("_rsi_min", "_rsi_max"))
 
 
 def strengths(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -83,16 +91,17 @@ def strengths(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     })
 
 
+def scale_share(column: str = "vol_21d", lookback: int = 252) -> Statistic:
+    return Statistic(column, lookback, 10, "share")
+
+
 def position_scale(df: DataFrame, column: str = "vol_21d", lookback: int = 252, floor: float = 0.0, ceiling: float = 2.0) -> DataFrame:
     """High against the last ``lookback`` rows' volatility gives a small scale."""
     require(df, column)
-    before = last_rows(lookback, ending=-1)
-    past_ = F.collect_list(F.col(column)).over(before)  # skips nulls
-    rows = F.count(F.lit(1)).over(before)
-    rank = F.size(F.filter(past_, lambda v: v < F.col(column))) / F.size(past_)
+    share = scale_share(column, lookback)
+    rank = share.value(df)
     scale = F.greatest(F.lit(floor), F.least(F.lit(ceiling), ceiling - (ceiling - floor) * rank))
-    known = F.col(column).isNotNull() & (rows >= lookback) & (F.size(past_) >= 10)
-    return df.withColumn("position_scale", F.when(known, scale).otherwise(1.0))
+    return df.withColumn("position_scale", F.when(rank.isNotNull(), scale).otherwise(1.0)).drop(share.name)
 
 
 def ensemble(method: str = "majority_vote", weights: dict[str, float] | None = None) -> Column:
@@ -109,8 +118,10 @@ def ensemble(method: str = "majority_vote", weights: dict[str, float] | None = N
     raise ValueError(f"unknown method {method!r}")
 
 
-def all_signals(df: DataFrame, rules: Rules = Rules(), method: str = "majority_vote") -> DataFrame:
-    return position_scale(strengths(positions(df, rules), rules)).withColumn("signal_ensemble", ensemble(method))
+def all_signals(df: DataFrame, rules: Rules = Rules(), method: str = "majority_vote", also: tuple[Statistic, ...] = ()) -> DataFrame:
+    """All signals; statistics of ``also`` that the gates or regimes need later are made in
+    the same pass, and stay."""
+    return position_scale(strengths(positions(df, rules, (scale_share(), *also)), rules)).withColumn("signal_ensemble", ensemble(method))
 
 
 def report(df: DataFrame) -> DataFrame:

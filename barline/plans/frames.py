@@ -30,7 +30,8 @@ def signalled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
-    return gates.all_gates(signalled(spark, sf))
+    """Gated signals, with the rank that the regimes take from the same pass."""
+    return gates.all_gates(signalled(spark, sf), also=(regimes.volatility_rank(),))
 
 
 def preset_gated(spark: SparkSession, sf: str) -> DataFrame:

@@ -252,5 +252,11 @@ STAGES["factors"] = [*STAGES["bars"], *FACTORS]
 STAGES["excess"] = [*STAGES["curve"], *FACTORS, *EXCESS]
 
 
+def over(source: str, stage: str) -> list[tuple[str, str]]:
+    """A stage over the bars of another table."""
+    bars = walk(source)
+    return [*bars, *STAGES[stage][len(bars) :]]
+
+
 def sql(ctes: list[tuple[str, str]], select: str) -> str:
     return "with recursive " + ",\n".join(f"{name} as ({body})" for name, body in ctes) + f"\n{select}"
