@@ -123,6 +123,18 @@ def test_lines_of_edited_copies_against_brute_force(spark):
     assert not wrong and recall >= 0.97 and n > 150
 
 
+def test_lines_written_several_times_against_brute_force(spark):
+    """A line of 50 to 3,000 characters and the same line written up to ten times, whole or
+    in part: few distinct shingles at many places."""
+    draw, lines = random.Random(8), []
+    for g, n in enumerate([50, 80, 95, 100, 140, 200, 260, 320, 380, 400, 450, 700, 900, 1500, 1600, 2000, 2500, 3000] * 3):
+        base = " ".join(words(1000 + g, n))[:n]
+        lines += [" ".join([base] * k) + draw.choice(["", ".", base[: n // 3]]) for k in (1, *draw.sample(range(2, 11), 3))]
+    recall, n, wrong = recall_of_lines(spark, table(spark, [(i, x, "en", "a", 1) for i, x in enumerate(lines)]))
+    print(f"recall of links of lines written several times {recall:.4f} of {n}")
+    assert not wrong and recall >= 0.97 and n > 250
+
+
 def test_lines_of_a_long_document(spark):
     """20,000 lines in one document, most of them repeated."""
     text = "\n".join(f"line number {i % 500} of the long document {i % 500}" for i in range(20_000))
