@@ -28,6 +28,8 @@ OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
 ESCAPES = [("\\", "\\s"), ("<", "\\l"), ("[", "\\b")]
 RESETS = ("message", "edit", "regenerate")
+#: The bar in a role; an escaped text holds no backslash but those of its codes.
+BAR = "\\p"
 TURN = r"(?s)(<<SYS>>|\[INST\]|<s>|<\|[^<\[]*?\|>)([^<\[]*)"
 
 
@@ -43,6 +45,11 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def _role(role: Column) -> Column:
+    """A role as its marker holds it: without the bar that ends the marker."""
+    return F.replace(escaped(role), F.lit("|"), F.lit(BAR))
+
+
 def _marker(role: Column, known: dict[str, str], other: Column) -> Column:
     out = F.when(role == "", other)
     for name, mark in known.items():
@@ -82,8 +89,8 @@ def render(messages: DataFrame) -> DataFrame:
     role, text). loss_spans are the code points, end exclusive, of the escaped
     assistant texts in ``formatted``."""
     role = F.col("role")
-    other = F.concat(F.lit("<|"), escaped(role), F.lit("|>"))
-    head, tail = _marker(role, OPEN, other), _marker(role, CLOSE, F.lit("<|/|>"))
+    other = F.concat(F.lit("<|"), _role(role), F.lit("|>"))
+    head, tail = _marker(role, OPEN, other), _marker(role, CLOSE, F.lit("</>"))
     parts = messages.select("conv_id", "turn", "role", head.alias("head"), escaped(F.col("text")).alias("body"), F.concat(tail, F.lit("\n")).alias("tail"))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("head") + F.length("body") + F.length("tail")
@@ -109,10 +116,10 @@ def read_turns(formatted: Column) -> Column:
         role = F.when(F.lit(False), mark)
         for name, opening in OPEN.items():
             role = role.when(mark == opening, F.lit(name))
-        role = role.otherwise(unescaped(F.substring(mark, F.lit(3), F.length(mark) - 4)))
+        role = role.otherwise(unescaped(F.replace(F.substring(mark, F.lit(3), F.length(mark) - 4), F.lit(BAR), F.lit("|"))))
         return F.struct(role.alias("role"), unescaped(body).alias("text"))
 
-    return F.filter(F.zip_with(marks, bodies, turn), lambda t: t["role"] != "/")
+    return F.zip_with(marks, bodies, turn)
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

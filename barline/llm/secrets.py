@@ -33,10 +33,10 @@ ASSIGN_VALUE = r"""(?i:^(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{12,}+|eyJ[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN\x20[A-Z\x20]{0,20}PRIVATE\x20KEY-----)"
-#: Whole runs of 24 to 128 key characters. Those of three classes of characters that
+#: Whole runs of 24 key characters or more. Those of three classes of characters that
 #: fall into many pieces (a capitalised word is one piece, so joined words are few) and
 #: that touch no other candidate are proposed.
-MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}+(?![A-Za-z0-9+/_-])"
+MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])"
 #: Least pieces per hundred characters; random strings have about 44, names about 20.
 MIXED_PIECES = 28
 #: From this number of owners, or of repositories of all owners, on, a value is a copied

@@ -50,14 +50,17 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert got == {(1, 0): ("user", "hi!"), (1, 1): ("assistant", "new"), (2, 0): ("", "")}
 
 
+ROLES = ("tool|[<", "/", "a|>b", "|", "", "\\p", "a\\|b", "<|x|>", "</>")
+
+
 def test_chat_escapes_come_back(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\l\\s\\b", "a\\", "<|x|>", "", "😀\n[", "<s>\\<"]
-    rows = [(i, t, r, x) for i, x in enumerate(nasty) for t, r in enumerate(("user", "assistant", "tool|[<"))]
+    rows = [(i, t, r, x) for i, x in enumerate(nasty) for t, r in enumerate(("user", "assistant", *ROLES))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat_format.format_chats(chat_format.as_events(df))
     out = out.withColumns({"turns": chat_format.read_turns(F.col("formatted")), "loss": chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))}).collect()
     for r in out:
-        assert [(t.role, t.text) for t in r.turns] == [(role, nasty[r.conv_id]) for role in ("user", "assistant", "tool|[<")]
+        assert [(t.role, t.text) for t in r.turns] == [(role, nasty[r.conv_id]) for role in ("user", "assistant", *ROLES)]
         assert r.loss == nasty[r.conv_id]
     assert chat_format.format_chats(chat_format.as_events(df.limit(0))).count() == 0
 
@@ -114,6 +117,9 @@ def test_secrets_count_repositories_and_bare_strings(spark):
     assert [(s.start, s.kind, s.end) for s in out[20].spans] == [(4, 4, 32), (39, 3, 79)] and (out[20].n_live, out[20].base) == (2, [])
     assert [s.kind for s in out[21].spans] == [0] and out[21].n_live == 1
     assert all(out[30 + i].n_live == 1 for i in range(9))
+    for n in (4, 5, 11):  # bare strings have no greatest length
+        found = secrets.scan(docs_of(spark, [(1, f"key {bare * n} here", "en", "s")])).first()
+        assert [(s.start, s.kind, s.end) for s in found.spans] == [(4, 4, 4 + len(bare) * n)]
 
 
 def test_quality_windows_against_brute_force(spark, odd, none):
