@@ -15,7 +15,7 @@ from pyspark.util import inheritable_thread_target
 
 from ..functions.windows import ordered
 
-BLOCKED = {"open", "high", "low", "close", "volume", "returns_fwd_1", "returns_fwd_5", "tr", "target", "fold_id", "rn"}
+BLOCKED = {"open", "high", "low", "close", "volume", "returns", "returns_norm", "returns_fwd_1", "returns_fwd_5", "tr", "target", "fold_id", "rn"}
 #: Training rows of a task at least, where a fold has as many.
 TASK_ROWS = 20_000
 PREFIXES = ("signal_", "position_", "regime_", "gate_")

@@ -237,6 +237,44 @@ FACTORS = [
     ("factors", f"select d, (u + h + m + n + x) / 5 - {RF} as mkt, u - h as smb, m - n as hml, x - u as mom, {RF} as rf from fac1 where u is not null and h is not null and m is not null and n is not null and x is not null"),
 ]
 EXCESS = [("excess", f"select c.symbol, c.signal, c.d, c.ret - coalesce(f.rf, {RF}) as excess, f.mkt, f.smb, f.hml, f.mom from curve c left join factors f on c.d = f.d")]
+MODELS = {"CAPM": ("mkt",), "FF3": ("mkt", "smb", "hml"), "Carhart4": ("mkt", "smb", "hml", "mom")}
+FOUR = MODELS["Carhart4"]
+
+
+def _simpson(f: str, end: str) -> str:
+    """The integral of f(x) from 0 to ``end``."""
+    return f"(list_sum([(case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end) * {f.format(x=f'(i * {end} / 400)')} for i in range(0, 401)]) * {end} / 1200)"
+
+
+def regressions(errors: str) -> list[tuple[str, str]]:
+    """(symbol, signal, model, ...) of least squares, from ``excess``. The algebra of a group
+    is the text that the engine uses; tests compare its results with NumPy."""
+    from ..operators import factors as f
+
+    if errors == "hac":
+        p = f"1 - {_simpson('exp(-{x} * {x} / 2)', 'least(abs(t), 9.0::double)')} * 2 / sqrt(2 * pi())"
+    else:
+        end, density = "least(pi() / 2, 12 / sqrt(free))", "pow(cos({x}), free - 1)"
+        p = f"1 - {_simpson(density, f'least({end}, atan(abs(t) / sqrt(free)))')} / {_simpson(density, end)}"
+    each = " union all ".join(f"select symbol, signal, d, '{m}' as model, {len(used)} as used, excess as y, " + ", ".join(f"{c if c in used else '0.0::double'} as x{i}" for i, c in enumerate(FOUR)) + " from excess" for m, used in MODELS.items())
+    known = " and ".join(["y is not null", *[f"x{i} is not null" for i in range(4)]])
+    by = "partition by symbol, signal, model order by d"
+    shown = {"alpha_daily": "alpha", "alpha_annual": "annual", "t_stat": "t", "r2": "fit", "adj_r2": "adjusted", "ic": "agreement", "ir": "ratio", **{f"beta_{c}": f"b{i}" for i, c in enumerate(FOUR)}}
+    has = {f"beta_{c}": "k.model in (" + ", ".join(f"'{m}'" for m, used in MODELS.items() if c in used) + ")" for c in FOUR}
+    return [
+        ("rg0", each), ("rg1", f"select * from rg0 where {known}"),
+        ("rg2", f"select *, {', '.join(f.solved_columns(4))} from (select symbol, signal, model, used, {', '.join(f.moment_columns(4))} from rg1 group by all)"),
+        ("rg3", f"select r.symbol, r.signal, r.model, d, {', '.join(f.residual_columns(4))} from rg1 r join rg2 g on r.symbol = g.symbol and r.signal = g.signal and r.model = g.model"),
+        ("rg4", "select *, " + ", ".join(f"h * lag(h, {j}) over ({by}) as h{j}" for j in range(1, f.LAGS + 1)) + " from rg3"),
+        ("rg5", "select symbol, signal, model, sum(u * u) as uu, sum(h * h) as h0, " + ", ".join(f"sum(h{j}) as h{j}" for j in range(1, f.LAGS + 1)) + " from rg4 group by all"),
+        ("rg6", f"select *, (n - used - 1)::double as free, {', '.join(f.told_columns(4, errors))} from rg2 join rg5 using (symbol, signal, model)"),
+        ("rg7", f"select *, greatest(0.0::double, {p}) as p from rg6 where not bare"),
+        ("regressed", "select k.symbol, k.signal, k.model, " + ", ".join((f"case when {has[c]} then coalesce({x}, 0.0::double) end" if c in has else f"coalesce({x}, 0.0::double)") + f" as {c}" for c, x in shown.items()) + """,
+           coalesce(p, 1.0::double) as p_value, coalesce(abs(t) > 2 and p < 0.05, false) as significant, coalesce(n, 0) as n_obs
+           from (select distinct symbol, signal, m as model from excess, (values ('CAPM'), ('FF3'), ('Carhart4')) v(m)) k left join rg7 g on k.symbol = g.symbol and k.signal = g.signal and k.model = g.model"""),
+    ]
+
+
 #: The stages in order.
 CLEAN = [*walk("orders"), *ALIGN, *FILL, *RETURNS]
 STAGES = {"bars": walk("orders"), "clean": CLEAN}

@@ -252,9 +252,10 @@ add("met_10_capm", lambda s, f: metrics.capm(at.curve(s, f), at.market(s, f).sel
 
 # Factors
 REGR = "alpha_daily:f alpha_annual:f t_stat:f p_value:f significant:b r2:f adj_r2:f n_obs:l"
-add("fac_01_hac_regressions", lambda s, f: factors.regressions(at.excess(s, f)), f"{PAIRED} model:s {REGR}")
-add("fac_10_attribution_table", lambda s, f: factors.attribution_table(factors.regressions(at.excess(s, f))), f"{PAIRED} model:s alpha_annual:f t_stat:f p_value:f significant:b n_obs:l low_sample_size:b beta_mkt:f beta_smb:f beta_hml:f beta_mom:f")
-add("fac_03_classic_regressions", lambda s, f: factors.regressions(at.excess(s, f), errors="classic"), f"{PAIRED} model:s {REGR}")
+add("fac_01_hac_regressions", lambda s, f: factors.regressions(at.excess(s, f)), f"{PAIRED} model:s {REGR}", [*S["excess"], *o.regressions("hac")], "select * from regressed")
+add("fac_10_attribution_table", lambda s, f: factors.attribution_table(factors.regressions(at.excess(s, f))), f"{PAIRED} model:s alpha_annual:f t_stat:f p_value:f significant:b n_obs:l low_sample_size:b beta_mkt:f beta_smb:f beta_hml:f beta_mom:f", [*S["excess"], *o.regressions("hac")],
+    "select symbol, signal, model, significant, n_obs, n_obs < 30 as low_sample_size, " + ", ".join(f"round({c}, 4) as {c}" for c in ("alpha_annual", "t_stat", "p_value", *(f"beta_{x}" for x in o.FOUR))) + " from regressed")
+add("fac_03_classic_regressions", lambda s, f: factors.regressions(at.excess(s, f), errors="classic"), f"{PAIRED} model:s {REGR}", [*S["excess"], *o.regressions("classic")], "select * from regressed")
 add("fac_03_classic_capm", lambda s, f: factors.regressions(at.excess(s, f), {"CAPM": ["mkt"]}, "classic"), f"{PAIRED} alpha_daily:f t_stat:f r2:f n_obs:l",
     [*S["excess"], ("cl0", """select symbol, signal, count(y) as n, regr_intercept(y, x) as a, regr_slope(y, x) as b, regr_r2(y, x) as q, avg(x) as mx, var_pop(x) * count(x) as sxx,
        var_pop(y) * count(y) as syy, coalesce(stddev_pop(y), 0) as sd from (select symbol, signal, case when mkt is not null then excess end as y, case when excess is not null then mkt end as x from excess) group by 1, 2""")],
