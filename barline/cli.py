@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import config
 from .operators import factors, learning, regimes, reports, signals
 from .plans import frames
+from .plans.settings import plan_of
 from .sources import bars, search, sinks
 
 
@@ -40,33 +41,35 @@ def parser() -> argparse.ArgumentParser:
 
 def settings(args: argparse.Namespace) -> dict:
     made = config.load(args.config, args.preset, interval=args.interval, timezone=args.tz, symbols=args.symbols)
-    made["start"], made["end"] = config.resolve_dates(args.period, args.start, args.end, made.get("start") or "2020-01-01", made.get("end"))
+    if args.period or args.start or args.end or made.get("start") or made.get("end"):
+        made["start"], made["end"] = config.resolve_dates(args.period, args.start, args.end, made.get("start") or "1970-01-01", made.get("end"))
     made = config.merged(made, {"factor": {"enabled": not args.no_factor and made.get("factor", {}).get("enabled", True)}})
     return config.merged(made, {"ml": {"enabled": args.ml or made.get("ml", {}).get("enabled", False)}})
 
 
 def outputs(spark: SparkSession, tables: str, made: dict) -> dict:
     """name -> what makes the output, for the stages that are switched on."""
-    chosen = lambda df: df.filter(F.col("symbol").isin(made["symbols"])) if made["symbols"] else df
-    metrics_ = lambda: chosen(frames.performance(spark, tables))
-    judged = lambda: chosen(frames.detected(spark, tables))
-    excess = lambda: chosen(frames.excess(spark, tables))
-    regimes_ = lambda: chosen(frames.market_performance(spark, tables))
+    plan = plan_of(made)
+    metrics_ = lambda: frames.performance(spark, tables, plan)
+    judged = lambda: frames.detected(spark, tables, plan)
+    excess = lambda: frames.excess(spark, tables, plan)
+    featured = lambda: frames.featured(spark, tables, plan)
+    numeric = lambda df: [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
     out = {
         "processed": judged,
-        "data_report": lambda: sinks.quality_report(chosen(frames.cleaned(spark, tables)), ["close", "volume", "returns"]),
-        "feature_report": lambda: sinks.quality_report(chosen(frames.featured(spark, tables)), ["vol_21d", "rsi_14", "atr_14", "macd_line", "bb_width", "z_price_60d"]),
-        "signal_report": lambda: signals.report(chosen(frames.signalled(spark, tables))),
+        "data_report": lambda: sinks.quality_report(frames.cleaned(spark, tables, plan), ["close", "volume", "returns"]),
+        "feature_report": lambda: sinks.quality_report(df := featured(), numeric(df)),
+        "signal_report": lambda: signals.report(frames.signalled(spark, tables, plan)),
         "backtest": lambda: reports.comparison(metrics_()),
         "gating_comparison": lambda: reports.gating_comparison(metrics_()),
         "watchlist_comparison": lambda: reports.watchlist(metrics_()),
-        "regime_report": lambda: sinks.regime_report(regimes_(), regimes.frequency(judged())),
+        "regime_report": lambda: sinks.regime_report(frames.market_performance(spark, tables, plan), regimes.frequency(judged())),
     }
     if made["factor"]["enabled"]:
         out["factor_report"] = lambda: sinks.factor_report(factors.attribution_table(factors.regressions(excess())))
         out["rolling_alpha"] = lambda: factors.rolling_capm(excess().filter("signal = 'signal_ensemble'"))
     if made["ml"]["enabled"]:
-        walked = learning.walk_forward(chosen(frames.featured(spark, tables)), folds=learning.Folds(n_folds=made["ml"].get("n_folds", 5)))
+        walked = learning.walk_forward(featured(), folds=learning.Folds(n_folds=made["ml"].get("n_folds", 5)))
         out |= {"ml_folds": lambda: learning.fold_report(walked[0]), "ml_importance": lambda: learning.importance_report(walked[1]), "ml_thresholds": lambda: learning.threshold_sweep(walked[0])}
     return out
 
@@ -107,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.out:
         print(*sinks.write_run(outputs(spark, args.tables, made), args.out, args.format), sep="\n")
     else:
-        frames.performance(spark, args.tables).orderBy("symbol", "signal").show(200, truncate=False)
+        frames.performance(spark, args.tables, plan_of(made)).orderBy("symbol", "signal").show(200, truncate=False)
     return 0
 
 

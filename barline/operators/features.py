@@ -117,12 +117,13 @@ def averages(df: DataFrame, rsi: int = 14, atr: int = 14, fast: int = 12, slow:
     return by_group(df, [Step(dict.fromkeys(names, "double"), run)])
 
 
-def all_features(df: DataFrame, block_days: int | None = None) -> DataFrame:
-    """All families. The recursive means come first (by blocks of so many days, if given),
-    so that the windows after them share one exchange; all moments share their sums."""
+def all_features(df: DataFrame, block_days: int | None = None, vol: tuple[int, ...] = (5, 21, 63), z: tuple[int, ...] = (20, 60), band: tuple[int, float] = (20, 2.0)) -> DataFrame:
+    """All families, by their windows. The recursive means come first (by blocks of so many
+    days, if given), so that the windows after them share one exchange; all moments share
+    their sums."""
     out = averages(true_range(df)) if block_days is None else scan.averages(df, block_days)
-    out = moments(_turnover(out), _volatility(out, (5, 21, 63), "returns") | _volume(out, 20) | _bollinger(out, 20, "close") | _zscores(out, (20, 60), "close"))
-    return _scores(_bands(_ratios(_annual(out, (5, 21, 63)), 20), 2.0, "close"), (20, 60), "close")
+    out = moments(_turnover(out), _volatility(out, vol, "returns") | _volume(out, 20) | _bollinger(out, band[0], "close") | _zscores(out, z, "close"))
+    return _scores(_bands(_ratios(_annual(out, vol), 20), band[1], "close"), z, "close")
 
 
 def report(df: DataFrame, columns: list[str]) -> DataFrame:

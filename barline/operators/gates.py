@@ -219,11 +219,12 @@ def stats(df: DataFrame, signal: str, output: str) -> DataFrame:
     return n.withColumn("reduction_pct", (1 - F.col("gated_trades") / F.greatest(F.col("base_trades"), F.lit(1))) * 100)
 
 
-def gate_set(rsi: float, zscore: float, macd: float, bb: float) -> dict[str, tuple[str, tuple]]:
-    """signal -> (gated column, its conditions), by the volatility percentiles of the four."""
+def gate_set(rsi: float, zscore: float, macd: float, bb: float, trend: float = 0.06, width: float = 25.0) -> dict[str, tuple[str, tuple]]:
+    """signal -> (gated column, its conditions), by the volatility percentiles of the four,
+    the greatest annual trend and the percentile of the bands' width."""
     return {
-        "signal_rsi": ("signal_rsi_vol_trend_gated", (VolPercentile(percentile=rsi), Trend(most=0.06), Drawdown("signal_rsi", 0.15))),
-        "signal_zscore": ("signal_zscore_vol_bb_gated", (VolPercentile(percentile=zscore), BandWidth(percentile=25), Drawdown("signal_zscore", 0.15))),
+        "signal_rsi": ("signal_rsi_vol_trend_gated", (VolPercentile(percentile=rsi), Trend(most=trend), Drawdown("signal_rsi", 0.15))),
+        "signal_zscore": ("signal_zscore_vol_bb_gated", (VolPercentile(percentile=zscore), BandWidth(percentile=width), Drawdown("signal_zscore", 0.15))),
         "signal_macd": ("signal_macd_trend_gated", (VolPercentile(percentile=macd, mode="above"), TrendConfirmation("signal_macd"), Drawdown("signal_macd", 0.20))),
         "signal_bb": ("signal_bb_breakout_gated", (VolPercentile(percentile=bb, mode="above"), TrendConfirmation("signal_bb"), Drawdown("signal_bb", 0.20))),
     }
@@ -275,10 +276,10 @@ def filter_stats(df: DataFrame) -> DataFrame:
 CALM = Statistic("vol_21d", 252, 60, p=0.4)
 
 
-def all_gates(df: DataFrame, point_in_time: bool = False, also: tuple[Statistic, ...] = ()) -> DataFrame:
+def all_gates(df: DataFrame, point_in_time: bool = False, also: tuple[Statistic, ...] = (), gates: dict[str, tuple[str, tuple]] = ENSEMBLE) -> DataFrame:
     """The ensemble's gates of the signals that are there, a two-state label, the
     pools of mean-reverting and trending gated signals, and their switch."""
-    out = presets(df, ENSEMBLE, (CALM, *also))
+    out = presets(df, gates, (CALM, *also))
     low = F.col("vol_21d") < _bound(out, CALM, point_in_time)
     out = out.withColumn("regime_label2", F.when(_known(low), "range_bound").otherwise("trending")).drop(CALM.name)
     half = lambda a, b: sign((F.col(a) + F.col(b)) / 2)

@@ -28,6 +28,7 @@ class Rules:
     smoothing: int = 1
     z_entry: float = 2.0
     z_exit: float = 0.0
+    z_window: int = 60
     zero_cross: bool = False
     bb_mode: str = "breakout"
     squeeze_percentile: float = 20.0
@@ -36,7 +37,7 @@ class Rules:
     bb_max_holding: int = 10
 
 
-INPUTS = ("close", "rsi_14", "macd_histogram", "macd_line", "z_price_60d", "bb_upper", "bb_lower", "bb_middle", "bb_width")
+INPUTS = ("close", "rsi_14", "macd_histogram", "macd_line", "bb_upper", "bb_lower", "bb_middle", "bb_width")
 
 
 def squeeze(rules: Rules) -> Statistic:
@@ -46,7 +47,8 @@ def squeeze(rules: Rules) -> Statistic:
 def positions(df: DataFrame, rules: Rules = Rules(), also: tuple[Statistic, ...] = ()) -> DataFrame:
     """signal_rsi, signal_macd, signal_zscore and signal_bb, in one pass over the
     bars of a symbol, which makes the statistics of ``also`` on its way."""
-    require(df, *INPUTS)
+    score = f"z_price_{rules.z_window}d"
+    require(df, *INPUTS, score)
     if rules.bb_mode not in ("breakout", "reversion"):
         raise ValueError(f"unknown mode {rules.bb_mode!r}")
     least = rolling(F.min, F.col("rsi_14"), rules.smoothing, 1)
@@ -57,7 +59,7 @@ def positions(df: DataFrame, rules: Rules = Rules(), also: tuple[Statistic, ...]
     ranked, bound_name = order_statistics.step([bound, *order_statistics.missing(df, list(also))]), bound.name
 
     def run(bars: pa.Table) -> dict[str, np.ndarray]:
-        v = {c: floats(bars, c) for c in (*INPUTS, "_rsi_min", "_rsi_max")}
+        v = {c: floats(bars, c) for c in (*INPUTS, score, "_rsi_min", "_rsi_max")}
         told = ranked.run(bars)
         at = told.pop(bound_name)
         inside = np.isnan(at) | (v["bb_width"] <= at)
@@ -65,7 +67,7 @@ def positions(df: DataFrame, rules: Rules = Rules(), also: tuple[Statistic, ...]
         found = [
             rsi_machine(v["close"], v["_rsi_min"], v["_rsi_max"], v["rsi_14"], rules.oversold, rules.overbought, rules.rsi_exit, lo, hi),
             macd_machine(v["macd_histogram"], v["macd_line"], rules.zero_cross, lo, hi),
-            zscore_machine(v["z_price_60d"], rules.z_entry, rules.z_exit, lo, hi),
+            zscore_machine(v[score], rules.z_entry, rules.z_exit, lo, hi),
             band_machine(v["close"], v["bb_upper"], v["bb_lower"], v["bb_middle"], inside, rules.bb_mode, lo, rules.bb_max_holding)]
         return told | dict(zip(names, found, strict=True))
 
@@ -75,7 +77,7 @@ def positions(df: DataFrame, rules: Rules = Rules(), also: tuple[Statistic, ...]
 
 def strengths(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The companions in [0, 1]."""
-    r, z, h, p, mid = F.col("rsi_14"), F.col("z_price_60d"), F.col("macd_histogram"), F.col("close"), F.col("bb_middle")
+    r, z, h, p, mid = F.col("rsi_14"), F.col(f"z_price_{rules.z_window}d"), F.col("macd_histogram"), F.col("close"), F.col("bb_middle")
     top = rolling(F.max, F.abs(h), 63, 10)
     spread = F.col("bb_upper") - F.col("bb_lower")
     by_side = lambda s, long, short: F.when(s == 1, clip(long, 0.0, 1.0)).when(s == -1, clip(short, 0.0, 1.0)).otherwise(0.0)
@@ -118,10 +120,10 @@ def ensemble(method: str = "majority_vote", weights: dict[str, float] | None = N
     raise ValueError(f"unknown method {method!r}")
 
 
-def all_signals(df: DataFrame, rules: Rules = Rules(), method: str = "majority_vote", also: tuple[Statistic, ...] = ()) -> DataFrame:
+def all_signals(df: DataFrame, rules: Rules = Rules(), method: str = "majority_vote", also: tuple[Statistic, ...] = (), scale: tuple[float, float] = (0.0, 2.0)) -> DataFrame:
     """All signals; statistics of ``also`` that the gates or regimes need later are made in
     the same pass, and stay."""
-    return position_scale(strengths(positions(df, rules, (scale_share(), *also)), rules)).withColumn("signal_ensemble", ensemble(method))
+    return position_scale(strengths(positions(df, rules, (scale_share(), *also)), rules), floor=scale[0], ceiling=scale[1]).withColumn("signal_ensemble", ensemble(method))
 
 
 def report(df: DataFrame) -> DataFrame:

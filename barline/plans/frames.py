@@ -7,31 +7,35 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, clean, factors, features, gates, metrics, regimes, signals
 from ..sources import bars
+from .settings import Plan
 
 TRADED = [
     "signal_rsi", "signal_macd", "signal_zscore", "signal_bb", "signal_ensemble", "signal_rsi_vol_trend_gated", "signal_zscore_vol_bb_gated",
     "signal_macd_trend_gated", "signal_bb_breakout_gated", "signal_mr_pool", "signal_trend_pool", "signal_regime_adaptive", "signal_adaptive"]
 
 
-def walk(spark: SparkSession, sf: str) -> DataFrame:
-    return bars.bars_walk(spark, sf)
+EVERY = Plan()
 
 
-def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean(walk(spark, sf))
+def walk(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return plan.bars(bars.bars_walk(spark, sf))
 
 
-def featured(spark: SparkSession, sf: str) -> DataFrame:
-    return features.all_features(cleaned(spark, sf))
+def cleaned(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return clean.clean(walk(spark, sf, plan), step=plan.step)
 
 
-def signalled(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.all_signals(featured(spark, sf))
+def featured(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return features.all_features(cleaned(spark, sf, plan), vol=plan.vol_windows, z=plan.z_windows, band=plan.band)
 
 
-def gated(spark: SparkSession, sf: str) -> DataFrame:
+def signalled(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return signals.all_signals(featured(spark, sf, plan), plan.rules, plan.method, scale=plan.scale)
+
+
+def gated(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
     """Gated signals, with the rank that the regimes take from the same pass."""
-    return gates.all_gates(signalled(spark, sf), also=(regimes.volatility_rank(),))
+    return gates.all_gates(signalled(spark, sf, plan), also=(regimes.volatility_rank(),), gates=plan.gates)
 
 
 def preset_gated(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,25 +43,25 @@ def preset_gated(spark: SparkSession, sf: str) -> DataFrame:
     return gates.presets(signalled(spark, sf))
 
 
-def detected(spark: SparkSession, sf: str) -> DataFrame:
-    return regimes.adaptive(regimes.classify(gated(spark, sf)))
+def detected(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return regimes.adaptive(regimes.classify(gated(spark, sf, plan)))
 
 
-def longs(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.unpivoted(detected(spark, sf), TRADED)
+def longs(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return backtest.unpivoted(detected(spark, sf, plan), TRADED)
 
 
-def curve(spark: SparkSession, sf: str, setup: backtest.Setup = backtest.Setup()) -> DataFrame:
-    return backtest.curve(longs(spark, sf), setup)
+def curve(spark: SparkSession, sf: str, setup: backtest.Setup | None = None, plan: Plan = EVERY) -> DataFrame:
+    return backtest.curve(longs(spark, sf, plan), setup or plan.setup)
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.trades(curve(spark, sf))
 
 
-def performance(spark: SparkSession, sf: str) -> DataFrame:
+def performance(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
     """All metrics; infinite ratios as null, so that tables of them compare."""
-    c = curve(spark, sf)
+    c = curve(spark, sf, plan=plan)
     m = metrics.compute(c, backtest.trades(c))
     finite = lambda x: F.when(F.abs(x) != float("inf"), F.col(x))
     return m.withColumns({"calmar": finite("calmar"), "profit_factor": finite("profit_factor")})
@@ -67,13 +71,13 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
     return bars.factors_walk(spark, sf)
 
 
-def excess(spark: SparkSession, sf: str) -> DataFrame:
-    return factors.excess_returns(curve(spark, sf), market(spark, sf))
+def excess(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return factors.excess_returns(curve(spark, sf, plan=plan), market(spark, sf), plan.rf_annual)
 
 
-def market_performance(spark: SparkSession, sf: str) -> DataFrame:
+def market_performance(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
     """Performance of every pair by the market's regime."""
-    return factors.performance_by_regime(curve(spark, sf), factors.market_regimes(market(spark, sf)))
+    return factors.performance_by_regime(curve(spark, sf, plan=plan), factors.market_regimes(market(spark, sf)))
 
 
 def directory(spark: SparkSession, sf: str) -> DataFrame:
