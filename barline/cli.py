@@ -8,8 +8,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import DoubleType
 
 from . import config
-from .operators import factors, learning, regimes, reports, signals
+from .operators import factors, features, learning, regimes, reports, signals
 from .plans import frames
+from .plans.run import Run
 from .plans.settings import plan_of
 from .sources import bars, search, sinks
 
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ml", action="store_true", help="add the walk-forward reports")
     p.add_argument("--out", help="folder for the results; without it the metrics are shown")
     p.add_argument("--format", choices=sinks.FORMATS, default="csv")
+    p.add_argument("--consolidate", metavar="FOLDER", help="rebuild the tables over all symbols there from what --out holds")
     p.add_argument("--export-config", metavar="FILE", help="write the settings in effect")
     p.add_argument("--search", metavar="TEXT")
     p.add_argument("--search-field", default="all")
@@ -47,30 +49,29 @@ def settings(args: argparse.Namespace) -> dict:
     return config.merged(made, {"ml": {"enabled": args.ml or made.get("ml", {}).get("enabled", False)}})
 
 
-def outputs(spark: SparkSession, tables: str, made: dict) -> dict:
+def outputs(run: Run, made: dict) -> dict:
     """name -> what makes the output, for the stages that are switched on."""
-    plan = plan_of(made)
-    metrics_ = lambda: frames.performance(spark, tables, plan)
-    judged = lambda: frames.detected(spark, tables, plan)
-    excess = lambda: frames.excess(spark, tables, plan)
-    featured = lambda: frames.featured(spark, tables, plan)
     numeric = lambda df: [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
     out = {
-        "processed": judged,
-        "data_report": lambda: sinks.quality_report(frames.cleaned(spark, tables, plan), ["close", "volume", "returns"]),
-        "feature_report": lambda: sinks.quality_report(df := featured(), numeric(df)),
-        "signal_report": lambda: signals.report(frames.signalled(spark, tables, plan)),
-        "backtest": lambda: reports.comparison(metrics_()),
-        "gating_comparison": lambda: reports.gating_comparison(metrics_()),
-        "watchlist_comparison": lambda: reports.watchlist(metrics_()),
-        "regime_report": lambda: sinks.regime_report(frames.market_performance(spark, tables, plan), regimes.frequency(judged())),
+        "processed": lambda: run.judged,
+        "data_report": lambda: sinks.quality_report(run.cleaned, ["close", "volume", "returns"]),
+        "feature_report": lambda: sinks.quality_report(run.featured, numeric(run.featured)),
+        "feature_correlations": lambda: features.correlations(run.featured, numeric(run.featured)),
+        "signal_report": lambda: signals.report(run.signalled),
+        "backtest": lambda: reports.comparison(run.performance),
+        "gating_comparison": lambda: reports.gating_comparison(run.performance),
+        "watchlist_comparison": lambda: reports.watchlist(run.performance),
+        "regime_frequency": lambda: regimes.frequency(run.judged),
+        "regime_report": lambda: sinks.regime_report(run.market_performance),
+        "quarantine": lambda: run.quarantined,
     }
     if made["factor"]["enabled"]:
-        out["factor_report"] = lambda: sinks.factor_report(factors.attribution_table(factors.regressions(excess())))
-        out["rolling_alpha"] = lambda: factors.rolling_capm(excess().filter("signal = 'signal_ensemble'"))
+        out["factor_report"] = lambda: sinks.factor_report(run.regressions, factors.attribution_table(run.regressions))
+        out["rolling_alpha"] = lambda: factors.rolling_capm(run.excess.filter("signal = 'signal_ensemble'"))
     if made["ml"]["enabled"]:
-        walked = learning.walk_forward(featured(), folds=learning.Folds(n_folds=made["ml"].get("n_folds", 5)))
-        out |= {"ml_folds": lambda: learning.fold_report(walked[0]), "ml_importance": lambda: learning.importance_report(walked[1]), "ml_thresholds": lambda: learning.threshold_sweep(walked[0])}
+        out |= {
+            "ml_folds": lambda: learning.fold_report(run.walked[0], ("symbol",)), "ml_importance": lambda: learning.importance_report(run.walked[1]),
+            "ml_thresholds": lambda: learning.threshold_sweep(run.walked[0], by=("symbol",))}
     return out
 
 
@@ -103,14 +104,19 @@ def main(argv: list[str] | None = None) -> int:
         search.search(frames.directory(spark, args.tables), args.search, args.search_field).show(truncate=False)
     elif args.list_sectors:
         search.sector_counts(frames.directory(spark, args.tables)).orderBy("sector").show(100, truncate=False)
-    elif args.out and args.format == "excel":
-        made_of = outputs(spark, args.tables, made)
-        flat = {name: make() for name, make in made_of.items() if name not in ("processed", "data_report", "feature_report", "regime_report", "factor_report")}
-        sinks.write_sheets(flat, args.out)
-    elif args.out:
-        print(*sinks.write_run(outputs(spark, args.tables, made), args.out, args.format), sep="\n")
     else:
-        frames.performance(spark, args.tables, plan_of(made)).orderBy("symbol", "signal").show(200, truncate=False)
+        plan = plan_of(made)
+        folds = learning.Folds(n_folds=made["ml"].get("n_folds", 5)) if made["ml"]["enabled"] else None
+        run = Run(spark, args.tables, plan, f"{args.out}/_stages" if args.out and args.format != "excel" else None, folds)
+        if args.out and args.format == "excel":
+            flat = {name: make() for name, make in outputs(run, made).items() if name not in ("processed", "data_report", "feature_report", "regime_report", "factor_report")}
+            sinks.write_sheets(flat, args.out)
+        elif args.out:
+            print(*sinks.write_run(outputs(run, made), args.out, args.format, plan.interval, plan.symbols), sep="\n")
+            if args.consolidate:
+                print(*sinks.consolidate(spark, args.out, args.consolidate, plan.interval, args.format), sep="\n")
+        else:
+            run.performance.orderBy("symbol", "signal").show(200, truncate=False)
     return 0
 
 

@@ -122,10 +122,11 @@ def walk_forward(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Fo
     return predictions, spark.createDataFrame(importances, "fold_id int, feature string, importance double")
 
 
-def fold_report(predictions: DataFrame) -> DataFrame:
+def fold_report(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per fold, or per fold of each group of ``by``."""
     known = predictions.filter("target is not null")
     right = (F.signum("prediction") == F.signum("target")).cast("double")
-    return known.groupBy("fold_id").agg(
+    return known.groupBy(*by, "fold_id").agg(
         F.count("*").alias("n"), F.avg(F.pow(F.col("prediction") - F.col("target"), 2.0)).alias("mse"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"),
         F.corr("prediction", "target").alias("ic"), F.avg(right).alias("direction_acc"))
 
@@ -139,15 +140,22 @@ def thresholded(x: Column, band: float = 0.005) -> Column:
     return F.when(x > band, 1).when(x < -band, -1).otherwise(0)
 
 
-def threshold_sweep(predictions: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.0025, 0.005, 0.0075, 0.01, 0.015, 0.02)) -> DataFrame:
-    """(threshold, active_pct, direction_acc, mean_abs_active_pred): every row is
+def threshold_sweep(predictions: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.0025, 0.005, 0.0075, 0.01, 0.015, 0.02), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, threshold, active_pct, direction_acc, mean_abs_active_pred): every row is
     measured against each of the few thresholds in one pass."""
     p, t = F.col("prediction"), F.col("target")
-    each = predictions.filter("prediction is not null and target is not null").select("prediction", "target", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    each = predictions.filter("prediction is not null and target is not null").select(*by, "prediction", "target", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
     active = F.abs(p) > F.col("threshold")
-    return each.groupBy("threshold").agg(
+    return each.groupBy(*by, "threshold").agg(
         (F.avg(active.cast("double")) * 100).alias("active_pct"), F.avg(F.when(active, (F.signum(p) == F.signum(t)).cast("double"))).alias("direction_acc"), F.avg(F.when(active, F.abs(p))).alias("mean_abs_active_pred"))
 
 
+def with_signal(df: DataFrame, predictions: DataFrame, band: float = 0.005) -> DataFrame:
+    """Bars with ``signal_ml``: the thresholded prediction of the fold that tests the bar,
+    0 where none does. Test windows do not overlap, so a bar has one prediction at most."""
+    told = predictions.select("symbol", "d", thresholded(F.col("prediction"), band).alias("signal_ml"))
+    return df.join(told, ["symbol", "d"], "left").withColumn("signal_ml", F.coalesce("signal_ml", F.lit(0)))
+
+
 def folds_of(spark: SparkSession, n: int, folds: Folds = Folds()) -> DataFrame:
     return spark.createDataFrame(folds.rows(n), "fold_id int, train_lo int, train_hi int, test_lo int, test_hi int")

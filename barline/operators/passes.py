@@ -2,6 +2,10 @@
 
 A step has the columns it makes and a function of a symbol's sorted Arrow table. Steps
 read the columns they name; all others stay Arrow buffers on their way through.
+
+A frame with a string column ``error`` asks for isolation: a group whose step fails comes
+back with nulls in what the steps make and the failure in ``error``, and later passes hand
+it through. Without that column a failure ends the job.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ERROR = "error"
 KINDS = {"double": (T.DoubleType(), pa.float64()), "int": (T.IntegerType(), pa.int32()), "boolean": (T.BooleanType(), pa.bool_())}
 
 
@@ -42,12 +47,23 @@ def by_group(df: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("symbol"
     schema = T.StructType([*kept, *[T.StructField(n, KINDS[k][0]) for n, k in made.items()]])
     names, kinds = [f.name for f in kept], {n: KINDS[k][1] for n, k in made.items()}
 
+    watched = ERROR in names
+
     def run(bars: pa.Table) -> pa.Table:
         bars = bars.sort_by(time)
-        values = {n: v for step in steps for n, v in step.run(bars).items()}
         out = bars.select(names)
+        values, failure = {}, None
+        if not watched or out.column(ERROR).null_count == len(out):
+            try:
+                values = {n: v for step in steps for n, v in step.run(bars).items()}
+            except Exception as e:
+                if not watched:
+                    raise
+                values, failure = {}, f"{type(e).__name__}: {e}"
+        if failure is not None:
+            out = out.set_column(names.index(ERROR), ERROR, pa.array([failure] * len(out), pa.string()))
         for n, kind in kinds.items():
-            out = out.append_column(n, pa.array(values[n], kind, from_pandas=True))
+            out = out.append_column(n, pa.array(values[n], kind, from_pandas=True) if values else pa.nulls(len(out), kind))
         return out
 
     return df.groupBy(*keys).applyInArrow(run, schema)

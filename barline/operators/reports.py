@@ -51,12 +51,25 @@ def load_tables(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return with_ticker(spark.read.csv(f"{folder}/*{suffix}", header=True, inferSchema=True), suffix)
 
 
+def _documents(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(ticker, value): whole files. A report of a ticker is some kilobytes."""
+    return with_ticker(spark.read.text(f"{folder}/*{suffix}", wholetext=True), suffix)
+
+
+def regimes_of(documents: DataFrame) -> DataFrame:
+    """(ticker, regime, signal, sharpe, pct_time_in_regime) of documents (ticker, value): maps
+    by regime and signal, shares under ``pct_<regime>``. NaN is read as null."""
+    parsed = F.from_json("value", "map<string,map<string,double>>")
+    each = documents.select("ticker", parsed.alias("m")).select("ticker", "m", F.explode("m").alias("regime", "signals")).filter(~F.startswith("regime", F.lit("pct_")))
+    by = each.select("ticker", "m", "regime", F.explode("signals").alias("signal", "sharpe"))
+    share = F.try_element_at(F.try_element_at("m", F.concat(F.lit("pct_"), "regime")), F.col("signal"))
+    known = lambda c: F.when(~F.isnan(c), c)
+    return by.select("ticker", "regime", "signal", known(F.col("sharpe")).alias("sharpe"), known(share).alias("pct_time_in_regime"))
+
+
 def load_regime_reports(spark: SparkSession, folder: str, suffix: str = "_regime_report.json") -> DataFrame:
-    """(ticker, regime, signal, sharpe, pct_time_in_regime) of nested reports."""
-    kind = "sharpe_by_regime map<string,map<string,double>>, regime_frequency map<string,double>"
-    raw = with_ticker(spark.read.schema(kind).json(f"{folder}/*{suffix}", multiLine=True), suffix)
-    by = raw.select("ticker", "regime_frequency", F.explode("sharpe_by_regime").alias("regime", "signals")).select("ticker", "regime_frequency", "regime", F.explode("signals").alias("signal", "sharpe"))
-    return by.select("ticker", "regime", "signal", "sharpe", F.try_element_at("regime_frequency", F.col("regime")).alias("pct_time_in_regime"))
+    """``regimes_of`` of the files of a folder."""
+    return regimes_of(_documents(spark, folder, suffix))
 
 
 def flat_regressions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,15 +82,22 @@ def flat_regressions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat.join(empty, "ticker", "left_anti"), flat.join(empty, "ticker", "left_semi").select("ticker").distinct()
 
 
-def load_factor_reports(spark: SparkSession, folder: str, suffix: str = "_factor_report.json") -> tuple[DataFrame, DataFrame]:
-    """(kept, quarantined) of factor report documents: regressions by signal, flattened
-    to a row each with a column per beta."""
-    record = "struct<model:string,alpha_annual:double,alpha_daily:double,t_stat:double,p_value:double,significant:boolean,r2:double,adj_r2:double,ic:double,ir:double,n_obs:long,betas:map<string,double>>"
-    raw = with_ticker(spark.read.schema(f"regressions map<string,array<{record}>>").json(f"{folder}/*{suffix}", multiLine=True), suffix)
-    each = raw.select("ticker", F.explode("regressions").alias("signal", "list")).select("ticker", "signal", F.explode("list").alias("r"))
+REGRESSION = "struct<model:string,alpha_annual:double,alpha_daily:double,t_stat:double,p_value:double,significant:boolean,r2:double,adj_r2:double,ic:double,ir:double,n_obs:long,betas:map<string,double>>"
+
+
+def regressions_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) of factor report documents (ticker, value): regressions by signal,
+    flattened to a row each with a column per beta."""
+    parsed = F.from_json("value", f"struct<regressions:map<string,array<{REGRESSION}>>>")
+    each = documents.select("ticker", F.explode(parsed["regressions"]).alias("signal", "list")).select("ticker", "signal", F.explode("list").alias("r"))
     return flat_regressions(each.groupBy("ticker").agg(F.collect_list(F.struct("signal", "r.*")).alias("regressions")))
 
 
+def load_factor_reports(spark: SparkSession, folder: str, suffix: str = "_factor_report.json") -> tuple[DataFrame, DataFrame]:
+    """``regressions_of`` of the files of a folder."""
+    return regressions_of(_documents(spark, folder, suffix))
+
+
 def load_rolling_alpha(spark: SparkSession, folder: str, suffix: str = "_rolling_alpha.csv") -> tuple[DataFrame, DataFrame]:
     """(rows, quarantined): the union of rolling tables with their ticker, the first
     column as the date; the tickers of files that hold a header alone."""

@@ -25,17 +25,29 @@ def cleaned(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
     return clean.clean(walk(spark, sf, plan), step=plan.step)
 
 
+def features_of(bars_: DataFrame, plan: Plan = EVERY) -> DataFrame:
+    return features.all_features(bars_, vol=plan.vol_windows, z=plan.z_windows, band=plan.band)
+
+
 def featured(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
-    return features.all_features(cleaned(spark, sf, plan), vol=plan.vol_windows, z=plan.z_windows, band=plan.band)
+    return features_of(cleaned(spark, sf, plan), plan)
+
+
+def signals_of(featured_: DataFrame, plan: Plan = EVERY) -> DataFrame:
+    return signals.all_signals(featured_, plan.rules, plan.method, scale=plan.scale)
 
 
 def signalled(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
-    return signals.all_signals(featured(spark, sf, plan), plan.rules, plan.method, scale=plan.scale)
+    return signals_of(featured(spark, sf, plan), plan)
 
 
-def gated(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+def gates_of(signalled_: DataFrame, plan: Plan = EVERY) -> DataFrame:
     """Gated signals, with the rank that the regimes take from the same pass."""
-    return gates.all_gates(signalled(spark, sf, plan), also=(regimes.volatility_rank(),), gates=plan.gates)
+    return gates.all_gates(signalled_, also=(regimes.volatility_rank(),), gates=plan.gates)
+
+
+def gated(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
+    return gates_of(signalled(spark, sf, plan), plan)
 
 
 def preset_gated(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,8 +72,11 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def performance(spark: SparkSession, sf: str, plan: Plan = EVERY) -> DataFrame:
-    """All metrics; infinite ratios as null, so that tables of them compare."""
-    c = curve(spark, sf, plan=plan)
+    return performance_of(curve(spark, sf, plan=plan))
+
+
+def performance_of(c: DataFrame) -> DataFrame:
+    """All metrics of a curve; infinite ratios as null, so that tables of them compare."""
     m = metrics.compute(c, backtest.trades(c))
     finite = lambda x: F.when(F.abs(x) != float("inf"), F.col(x))
     return m.withColumns({"calmar": finite("calmar"), "profit_factor": finite("profit_factor")})

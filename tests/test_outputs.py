@@ -47,10 +47,10 @@ def test_sinks_round_trip(spark, tmp_path):
         sinks.write(df, "x", "orc2")
     taken = set()
     assert [len(sinks.sheet_name("x" * 40, taken)) for _ in range(2)] == [31, 31] and len(taken) == 2
-    wide = df.withColumns({"regime": F.lit("crisis"), "share": F.lit(0.5)})
-    doc = sinks.regime_report(wide, wide).filter("symbol = 'a'").first()
-    assert doc.sharpe_by_regime == {"crisis": {"s": 1.235}} and doc.regime_frequency == {"crisis": 0.5}
-    assert sinks.write_run({"flat": lambda: df, "nested": lambda: sinks.regime_report(wide, wide)}, f"{tmp_path}/run") == ["flat", "nested"]
+    wide = df.withColumns({"regime": F.lit("crisis"), "pct": F.lit(0.5)})
+    docs = {r.symbol: json.loads(r.document) for r in sinks.regime_report(wide).collect()}
+    assert docs == {"a": {"crisis": {"s": 1.235}, "pct_crisis": {"s": 0.5}}, "b": {"crisis": {"s": None}, "pct_crisis": {"s": 0.5}}}
+    assert sinks.write_run({"flat": lambda: df, "documents": lambda: sinks.regime_report(wide)}, f"{tmp_path}/run") == ["flat", "documents"]
 
 
 def test_charts_are_read_with_adjusted_prices(spark, tmp_path):
