@@ -23,8 +23,8 @@ def ema(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
     return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
 
 
-def rsi_machine(close: np.ndarray, low: np.ndarray, high: np.ndarray, level: np.ndarray, oversold: float, overbought: float, exit_: float, least: int, most: int) -> np.ndarray:
-    """Positions of the oscillator rule; low and high are its smoothed extremes."""
+def rsi_rules(low: np.ndarray, high: np.ndarray, level: np.ndarray, oversold: float, overbought: float, exit_: float) -> tuple:
+    """(entry, leaves) of the oscillator rule; low and high are its smoothed extremes."""
 
     def entry(t: int) -> int:
         return 1 if low[t] < oversold else -1 if high[t] > overbought else 0
@@ -32,16 +32,25 @@ def rsi_machine(close: np.ndarray, low: np.ndarray, high: np.ndarray, level: np.
     def leaves(t: int, side: int) -> bool:
         return level[t] > exit_ if side > 0 else level[t] < exit_
 
-    return hold(level, entry, leaves, least, most, reenter=False)
+    return entry, leaves
+
+
+def rsi_machine(close: np.ndarray, low: np.ndarray, high: np.ndarray, level: np.ndarray, oversold: float, overbought: float, exit_: float, least: int, most: int) -> np.ndarray:
+    """Positions of the oscillator rule."""
+    return hold(level, *rsi_rules(low, high, level, oversold, overbought, exit_), least, most, reenter=False)
 
 
 def hold(known: np.ndarray, entry, leaves, least: int, most: int, reenter: bool) -> np.ndarray:
     """A position machine: row 0 and rows with missing input give 0 and change
     nothing; a position ends after ``most`` rows, or by rule after ``least``;
     entries are tried when flat, on a row of forced exit only if ``reenter``."""
+    return hold_from(known, entry, leaves, least, most, reenter)[0]
+
+
+def hold_from(known: np.ndarray, entry, leaves, least: int, most: int, reenter: bool, side: int = 0, held: int = 0, first: int = 1) -> tuple[np.ndarray, int, int]:
+    """``hold`` that goes on from a position and its age, and (positions, position, age)."""
     out = np.zeros(len(known), np.int32)
-    side = held = 0
-    for t in range(1, len(known)):
+    for t in range(first, len(known)):
         if math.isnan(known[t]):
             continue
         if side:
@@ -53,7 +62,7 @@ def hold(known: np.ndarray, entry, leaves, least: int, most: int, reenter: bool)
             side = entry(t)
             held = 1 if side else 0
         out[t] = side
-    return out
+    return out, side, held
 
 
 def zscore_machine(z: np.ndarray, enter: float, exit_: float, least: int, most: int) -> np.ndarray:
