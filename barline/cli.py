@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--interval", choices=bars.INTERVALS)
     p.add_argument("--tz", help="time zone of the calendar")
     p.add_argument("--no-factor", action="store_true", help="leave the factor reports out")
+    p.add_argument("--factors", nargs=2, metavar=("THREE", "MOMENTUM"), help="library files of daily factors, before those of the tables")
     p.add_argument("--ml", action="store_true", help="add the walk-forward reports")
     p.add_argument("--out", help="folder for the results; without it the metrics are shown")
     p.add_argument("--format", choices=sinks.FORMATS, default="csv")
@@ -107,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         plan = plan_of(made)
         folds = learning.Folds(n_folds=made["ml"].get("n_folds", 5)) if made["ml"]["enabled"] else None
-        run = Run(spark, args.tables, plan, f"{args.out}/_stages" if args.out and args.format != "excel" else None, folds)
+        run = Run(spark, args.tables, plan, f"{args.out}/_stages" if args.out and args.format != "excel" else None, folds, library=args.factors and tuple(args.factors))
         if args.out and args.format == "excel":
             flat = {name: make() for name, make in outputs(run, made).items() if name not in ("processed", "data_report", "feature_report", "regime_report", "factor_report")}
             sinks.write_sheets(flat, args.out)

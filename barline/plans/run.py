@@ -15,10 +15,12 @@ from .settings import Plan
 class Run:
     """The stages of one run. With a folder for them (a shared one, on a cluster) the
     stages that several outputs read are written once and read back; without one they stay
-    lazy. ``folds`` switches the learned signal on, which is then traded as the others are."""
+    lazy. ``folds`` switches the learned signal on, which is then traded as the others are.
+    ``library`` names the files of three factors and of momentum, which go before the
+    factors that the tables give."""
 
-    def __init__(self, spark: SparkSession, tables: str, plan: Plan = frames.EVERY, stages: str | None = None, folds: learning.Folds | None = None, estimator=None):
-        self.spark, self.tables, self.plan, self.stages, self.folds, self.estimator = spark, tables, plan, stages, folds, estimator
+    def __init__(self, spark: SparkSession, tables: str, plan: Plan = frames.EVERY, stages: str | None = None, folds: learning.Folds | None = None, estimator=None, library: tuple[str, str] | None = None):
+        self.spark, self.tables, self.plan, self.stages, self.folds, self.estimator, self.library = spark, tables, plan, stages, folds, estimator, library
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         if self.stages is None:
@@ -89,9 +91,18 @@ class Run:
     def performance(self) -> DataFrame:
         return self._kept("performance", frames.performance_of(self.curve))
 
+    @cached_property
+    def market(self) -> DataFrame:
+        proxies = frames.market(self.spark, self.tables)
+        if self.library is None:
+            return proxies
+        read = lambda: bars.join_factors(*[bars.read_library(self.spark, path) for path in self.library])
+        kept = read() if self.stages is None else bars.cached_factors(self.spark, f"{self.stages}/factors", read)
+        return bars.load_factors(kept, proxies, self.plan.start or "0001-01-01", self.plan.end or "9999-12-31", self.plan.rf_annual)
+
     @cached_property
     def excess(self) -> DataFrame:
-        return factors.excess_returns(self.curve, frames.market(self.spark, self.tables), self.plan.rf_annual)
+        return factors.excess_returns(self.curve, self.market, self.plan.rf_annual)
 
     @cached_property
     def regressions(self) -> DataFrame:
@@ -99,4 +110,4 @@ class Run:
 
     @cached_property
     def market_performance(self) -> DataFrame:
-        return self._kept("market_performance", factors.performance_by_regime(self.curve, factors.market_regimes(frames.market(self.spark, self.tables))))
+        return self._kept("market_performance", factors.performance_by_regime(self.curve, factors.market_regimes(self.market)))

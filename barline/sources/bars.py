@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +107,45 @@ def join_factors(ff3: DataFrame, mom: DataFrame) -> DataFrame:
     return both.select("d", *[(F.col(c) / 100).alias(c) for c in both.columns if c != "d"])
 
 
+#: What library files write for a missing value (fixed values), in percent.
+MISSING = (-99.99, -999.0)
+LIBRARY_NAMES = {"mkt-rf": "mkt", "smb": "smb", "hml": "hml", "rf": "rf", "mom": "mom", "umd": "mom"}  # fixed names
+
+
+def read_library(spark: SparkSession, path: str) -> DataFrame:
+    """(d, factors in percent) of a library's text file: prose, a header that begins with a
+    comma, daily rows by yyyymmdd, then perhaps a block of years and more prose. Rows are
+    told by the width of their date, so that the file may be split anywhere; the header is
+    the one line that is looked at apart. Missing values are null; a day twice is kept once."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"))
+    headers = {tuple(x.strip().lower() for x in r["value"].split(",")[1:] if x.strip()) for r in lines.filter(F.startswith("value", F.lit(","))).distinct().take(10)}
+    if len(headers) != 1:
+        raise ValueError(f"{path} has {len(headers)} headers of factors")
+    names = [LIBRARY_NAMES.get(x, x) for x in headers.pop()]
+    parts = lines.filter(F.col("value").rlike(r"^\d{8}\s*,")).select(F.split("value", ",").alias("p"))
+    value = lambda i: F.trim(F.get("p", F.lit(i))).try_cast("double")
+    known = lambda x: F.when(~x.isin(*MISSING), x)
+    day = F.to_date(F.trim(F.get("p", F.lit(0))), "yyyyMMdd")
+    return parts.select(day.alias("d"), *[known(value(i + 1)).alias(n) for i, n in enumerate(names)]).dropDuplicates(["d"])
+
+
+def cached_factors(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The cache where it is there and usable; else what is made, which becomes the cache if
+    it is usable itself, so that an empty download is never kept."""
+    try:
+        there = spark.read.parquet(path)
+        if usable_factors(there):
+            return there
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    made = make()
+    if not usable_factors(made):
+        return made
+    made.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def load_factors(library: DataFrame | None, proxies: DataFrame, start: str, end: str, rf_annual: float = 0.05) -> DataFrame:
     """Daily factors in [start, end): the library's where it is there and has rows,
     else the proxies'; a missing risk-free rate is the annual default."""
