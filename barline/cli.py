@@ -11,7 +11,7 @@ from . import config
 from .operators import factors, features, learning, regimes, reports, signals
 from .plans import frames
 from .plans.run import Run
-from .plans.settings import plan_of
+from .plans.settings import learned_of, plan_of
 from .sources import bars, search, sinks
 
 
@@ -47,7 +47,7 @@ def settings(args: argparse.Namespace) -> dict:
     if args.period or args.start or args.end or made.get("start") or made.get("end"):
         made["start"], made["end"] = config.resolve_dates(args.period, args.start, args.end, made.get("start") or "1970-01-01", made.get("end"))
     made = config.merged(made, {"factor": {"enabled": not args.no_factor and made.get("factor", {}).get("enabled", True)}})
-    return config.merged(made, {"ml": {"enabled": args.ml or made.get("ml", {}).get("enabled", False)}})
+    return config.merged(made, {"ml_signal": {"enabled": args.ml or made.get("ml_signal", {}).get("enabled", False)}})
 
 
 def outputs(run: Run, made: dict) -> dict:
@@ -69,10 +69,10 @@ def outputs(run: Run, made: dict) -> dict:
     if made["factor"]["enabled"]:
         out["factor_report"] = lambda: sinks.factor_report(run.regressions, factors.attribution_table(run.regressions))
         out["rolling_alpha"] = lambda: factors.rolling_capm(run.excess.filter("signal = 'signal_ensemble'"))
-    if made["ml"]["enabled"]:
+    if made["ml_signal"]["enabled"]:
         out |= {
-            "ml_folds": lambda: learning.fold_report(run.walked[0], ("symbol",)), "ml_importance": lambda: learning.importance_report(run.walked[1]),
-            "ml_thresholds": lambda: learning.threshold_sweep(run.walked[0], by=("symbol",))}
+            "ml_folds": lambda: learning.fold_report(run.predictions, ("symbol",)), "ml_importance": lambda: learning.importance_report(learning.importances(run.models)),
+            "ml_thresholds": lambda: learning.threshold_sweep(run.predictions, by=("symbol",))}
     return out
 
 
@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
     if not args.tables:
         parser().error("--tables is needed")
     if args.dry_run:
-        print(f"{args.tables}: {made['start']} to {made['end']}, symbols {made['symbols'] or 'all'}, factors {made['factor']['enabled']}, ml {made['ml']['enabled']}")
+        print(f"{args.tables}: {made['start']} to {made['end']}, symbols {made['symbols'] or 'all'}, factors {made['factor']['enabled']}, ml {made['ml_signal']['enabled']}")
         return 0
     spark = SparkSession.builder.appName("barline").getOrCreate()
     if args.search:
@@ -107,8 +107,7 @@ def main(argv: list[str] | None = None) -> int:
         search.sector_counts(frames.directory(spark, args.tables)).orderBy("sector").show(100, truncate=False)
     else:
         plan = plan_of(made)
-        folds = learning.Folds(n_folds=made["ml"].get("n_folds", 5)) if made["ml"]["enabled"] else None
-        run = Run(spark, args.tables, plan, f"{args.out}/_stages" if args.out and args.format != "excel" else None, folds, library=args.factors and tuple(args.factors))
+        run = Run(spark, args.tables, plan, f"{args.out}/_stages" if args.out and args.format != "excel" else None, learned_of(made), library=args.factors and tuple(args.factors))
         if args.out and args.format == "excel":
             flat = {name: make() for name, make in outputs(run, made).items() if name not in ("processed", "data_report", "feature_report", "regime_report", "factor_report")}
             sinks.write_sheets(flat, args.out)

@@ -1,19 +1,34 @@
-"""Walk-forward tree models on features, with folds that never look ahead."""
+"""Walk-forward tree models on features, with folds that never look ahead.
+
+Every (symbol, fold) has a model of its own. All models of a frame are one job: a fold of a
+symbol is a group of as many rows as ``Folds`` lets it have (562 to learn from at most by
+its defaults), so groups stay small however many bars or symbols there are, and the job
+count does not depend on symbols, folds, trees or levels.
+"""
 
 from __future__ import annotations
 
+import sys
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.util import inheritable_thread_target
 
 from ..functions.windows import ordered
+from .passes import floats
+from .trees import MODELS, Trees, fitted
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCKED = {"open", "high", "low", "close", "volume", "returns", "returns_norm", "returns_fwd_1", "returns_fwd_5", "tr", "target", "fold_id", "rn"}
 #: Training rows of a task at least, where a fold has as many.
@@ -52,25 +67,35 @@ class Folds:
         return out
 
 
+def _bounds(n: Column, k: Column, folds: Folds) -> tuple[dict[str, Column], Column]:
+    """(bounds of fold k of n bars, whether there is such a fold)."""
+    at = F.lit(folds.min_train) + k * folds.test
+    lo = F.lit(0) if folds.expanding else F.greatest(F.lit(0), at - folds.train_window)
+    hi = F.greatest(lo, at - folds.embargo)
+    return {"train_lo": lo, "train_hi": hi, "test_lo": at, "test_hi": at + folds.test}, (at + folds.test <= n) & (hi - lo >= folds.min_train // 2)
+
+
+def _numbers(folds: Folds) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(folds.n_folds - 1)))
+
+
 def fold_table(df: DataFrame, folds: Folds = Folds()) -> DataFrame:
     """(symbol, fold_id, train_lo, train_hi, test_lo, test_hi) per symbol, by
     expressions: symbols with too few bars have no folds."""
-    sizes = df.groupBy("symbol").agg(F.count("*").alias("n"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(folds.n_folds - 1))).alias("fold_id")
-    each = sizes.filter(F.col("n") >= folds.min_train + folds.test).select("symbol", "n", k)
-    at = F.lit(folds.min_train) + F.col("fold_id") * folds.test
-    lo = F.lit(0) if folds.expanding else F.greatest(F.lit(0), at - folds.train_window)
-    hi = F.greatest(lo, at - folds.embargo)
-    made = each.filter((F.col("fold_id") + 1) * folds.test + folds.min_train <= F.col("n")).select("symbol", "fold_id", lo.alias("train_lo"), hi.alias("train_hi"), at.alias("test_lo"), F.least(at + folds.test, F.col("n").cast("int")).alias("test_hi"))
-    return made.filter(F.col("train_hi") - F.col("train_lo") >= folds.min_train // 2)
+    each = df.groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", "n", _numbers(folds).alias("fold_id"))
+    bounds, there = _bounds(F.col("n"), F.col("fold_id"), folds)
+    return each.filter(there).select("symbol", "fold_id", *[c.cast("int").alias(name) for name, c in bounds.items()])
 
 
 def with_folds(df: DataFrame, folds: Folds = Folds()) -> DataFrame:
-    """Bars of every fold (a bar may be in several), with ``part`` train or test."""
-    numbered = df.withColumn("rn", F.row_number().over(ordered()) - 1)
-    t = fold_table(df, folds).withColumnRenamed("symbol", "_s")
-    inside = (F.col("symbol") == F.col("_s")) & (((F.col("rn") >= F.col("train_lo")) & (F.col("rn") < F.col("train_hi"))) | ((F.col("rn") >= F.col("test_lo")) & (F.col("rn") < F.col("test_hi"))))
-    return numbered.join(t, inside).withColumn("part", F.when(F.col("rn") < F.col("train_hi"), "train").otherwise("test")).drop("_s", "train_lo", "train_hi", "test_lo", "test_hi")
+    """Bars of every fold (a bar may be in several), with ``part`` train or test. The
+    symbol's rows are numbered and counted in one exchange; a bar then knows its folds."""
+    numbered = df.withColumns({"rn": F.row_number().over(ordered()) - 1, "_n": F.count("*").over(Window.partitionBy("symbol"))})
+    each = numbered.select("*", _numbers(folds).alias("fold_id"))
+    b, there = _bounds(F.col("_n"), F.col("fold_id"), folds)
+    rn = F.col("rn")
+    learns, tests = (rn >= b["train_lo"]) & (rn < b["train_hi"]), (rn >= b["test_lo"]) & (rn < b["test_hi"])
+    return each.filter(there & (learns | tests)).withColumn("part", F.when(learns, "train").otherwise("test")).drop("_n")
 
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -86,9 +111,57 @@ def model(kind: str, seed: int = 42):
     raise ValueError(f"unknown model {kind!r}")
 
 
-def walk_forward(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(), estimator=None, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(predictions, importances): a fresh model per fold for all symbols of the
-    frame; test rows are imputed with the medians of the fold's training rows. The
+#: A model: what it tells of its test bars and what it is made of.
+MODEL = "symbol string, fold_id int, n_train int, told array<struct<d: date, target: double, prediction: double>>, importances array<struct<feature: string, importance: double>>"
+
+
+def models(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(), kind: str | Trees = "xgboost", least: int = 30) -> DataFrame:
+    """A row per (symbol, fold): what its model tells of the test bars, and the model's
+    importances. A fold with fewer than ``least`` rows that have a target has no row. Nulls
+    are filled with the medians of the training rows, or 0 where a column has none."""
+    columns = feature_columns(df)
+    if not columns:
+        raise ValueError("no numeric column to learn from")
+    if isinstance(kind, str) and kind not in MODELS:
+        raise ValueError(f"unknown model {kind!r}; there are {', '.join(MODELS)}")
+    trees = kind if isinstance(kind, Trees) else MODELS[kind]
+    staged = with_folds(df, folds).select("symbol", "d", "fold_id", "part", F.col(target).cast("double").alias("target"), *[F.col(c).cast("double").alias(f"x_{c}") for c in columns])
+
+    def fit(bars: pa.Table) -> pa.Table:
+        bars = bars.sort_by("d")
+        x, y = np.stack([floats(bars, f"x_{c}") for c in columns], 1), floats(bars, "target")
+        tests = np.array(bars.column("part").to_pylist()) == "test"
+        learns = ~tests & np.isfinite(y)
+        if learns.sum() < least:
+            return pa.Table.from_pylist([], schema)
+        fills = [np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else 0.0 for v in x[learns].T]
+        x = np.where(np.isnan(x), fills, x)
+        told, weights = fitted(x[learns], y[learns], x[tests], trees)
+        days = bars.column("d").filter(pa.array(tests)).to_pylist()
+        return pa.Table.from_pylist([{
+            "symbol": bars.column("symbol")[0].as_py(), "fold_id": bars.column("fold_id")[0].as_py(), "n_train": int(learns.sum()),
+            "told": [{"d": d, "target": None if np.isnan(t) else float(t), "prediction": float(p)} for d, t, p in zip(days, y[tests], told, strict=True)],
+            "importances": [{"feature": c, "importance": float(v)} for c, v in zip(columns, weights, strict=True)]}], schema)
+
+    schema = to_arrow_schema(T.StructType.fromDDL(MODEL))
+    # few bytes a model, but much work: partitions are not to be joined by their size
+    spread = staged.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "fold_id")
+    return spread.groupBy("symbol", "fold_id").applyInArrow(fit, MODEL)
+
+
+def predictions(made: DataFrame) -> DataFrame:
+    """(symbol, d, fold_id, target, prediction) of all test bars."""
+    return made.select("symbol", "fold_id", F.inline("told")).select("symbol", "d", "fold_id", "target", "prediction")
+
+
+def importances(made: DataFrame) -> DataFrame:
+    """(symbol, fold_id, feature, importance)."""
+    return made.select("symbol", "fold_id", F.inline("importances"))
+
+
+def pooled_walk_forward(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(), estimator=None, least: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(predictions, importances): one MLlib model per fold for all symbols of the
+    frame, where symbols have too few bars for models of their own; test rows are imputed with the medians of the fold's training rows. The
     folds are fitted side by side: boosting is many short jobs, each of which leaves
     most of a cluster idle."""
     spark, columns = df.sparkSession, feature_columns(df)
@@ -131,9 +204,11 @@ def fold_report(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.corr("prediction", "target").alias("ic"), F.avg(right).alias("direction_acc"))
 
 
-def importance_report(importances: DataFrame, n: int = 30) -> DataFrame:
-    by = importances.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"), F.count_if(F.col("importance") > 0).alias("n_nonzero"))
-    return by.orderBy(F.desc("mean"), "feature").limit(n)
+def importance_report(importances: DataFrame, n: int = 30, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The ``n`` features of each group that weigh most over its folds."""
+    each = importances.groupBy(*by, "feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"), F.count_if(F.col("importance") > 0).alias("n_nonzero"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mean"), "feature"))
+    return each.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
 def thresholded(x: Column, band: float = 0.005) -> Column:

@@ -284,11 +284,12 @@ add("ml_02_folds", lambda s, f: learning.fold_table(at.cleaned(s, f)), "symbol:s
     "select symbol, k as fold_id, 0 as train_lo, 252 + k * 63 - 5 as train_hi, 252 + k * 63 as test_lo, 252 + (k + 1) * 63 as test_hi from (select symbol, count(*) as n from clean group by 1), (select unnest(range(5)) as k) where n >= 252 + (k + 1) * 63")
 _JOINED = "select c.symbol, c.d, k.k as fold_id, case when c.rn < 247 + k.k * 63 then 'train' else 'test' end as part from (select *, row_number() over (partition by symbol order by d) - 1 as rn, count(*) over (partition by symbol) as n from clean) c join (select unnest(range(5)) as k) k on c.n >= 252 + (k.k + 1) * 63 and (c.rn < 247 + k.k * 63 or (c.rn >= 252 + k.k * 63 and c.rn < 315 + k.k * 63))"
 add("ml_02_fold_rows", lambda s, f: learning.with_folds(at.cleaned(s, f)).withColumn("part", F.col("part")), f"{BAR} fold_id:i part:s", S["clean"], _JOINED)
-_walked = lambda s, f: learning.walk_forward(at.featured(s, f))
-add("ml_05_walk_forward", lambda s, f: _walked(s, f)[0], f"{BAR} fold_id:i target:f prediction:f")
-add("ml_07_fold_report_model", lambda s, f: learning.fold_report(_walked(s, f)[0]), "fold_id:i n:l mse:f mae:f ic:f direction_acc:f")
-add("ml_07_importance_report", lambda s, f: learning.importance_report(_walked(s, f)[1]), "feature:s mean:f std:f n_nonzero:l")
-add("ml_08_threshold_sweep_model", lambda s, f: learning.threshold_sweep(_walked(s, f)[0]), "threshold:f active_pct:f direction_acc:f mean_abs_active_pred:f")
+_models = lambda s, f: learning.models(at.featured(s, f))
+_told = lambda s, f: learning.predictions(_models(s, f))
+add("ml_05_walk_forward", _told, f"{BAR} fold_id:i target:f prediction:f")
+add("ml_07_fold_report_model", lambda s, f: learning.fold_report(_told(s, f), ("symbol",)), "symbol:s fold_id:i n:l mse:f mae:f ic:f direction_acc:f")
+add("ml_07_importance_report", lambda s, f: learning.importance_report(learning.importances(_models(s, f))), "symbol:s feature:s mean:f std:f n_nonzero:l")
+add("ml_08_threshold_sweep_model", lambda s, f: learning.threshold_sweep(_told(s, f), by=("symbol",)), "symbol:s threshold:f active_pct:f direction_acc:f mean_abs_active_pred:f")
 # the same reports over a stand-in for predictions, which SQL can follow
 add("ml_07_fold_report", lambda s, f: learning.fold_report(_guess(s, f)), "fold_id:i n:l mse:f mae:f ic:f direction_acc:f", S["clean"],
     "select 0 as fold_id, count(*) as n, avg(pow(p - t, 2)) as mse, avg(abs(p - t)) as mae, corr(p, t) as ic, avg((sign(p) = sign(t))::int) as direction_acc from (select returns as p, returns_fwd_5 as t from clean where returns is not null and returns_fwd_5 is not null)")

@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import backtest, clean, factors, learning, quarantine, regimes
 from ..sources import bars
 from . import frames
-from .settings import Plan
+from .settings import Learned, Plan
 
 
 class Run:
     """The stages of one run. With a folder for them (a shared one, on a cluster) the
     stages that several outputs read are written once and read back; without one they stay
-    lazy. ``folds`` switches the learned signal on, which is then traded as the others are.
+    lazy. ``learned`` switches the learned signal on, which is then traded as the others are.
     ``library`` names the files of three factors and of momentum, which go before the
     factors that the tables give."""
 
-    def __init__(self, spark: SparkSession, tables: str, plan: Plan = frames.EVERY, stages: str | None = None, folds: learning.Folds | None = None, estimator=None, library: tuple[str, str] | None = None):
-        self.spark, self.tables, self.plan, self.stages, self.folds, self.estimator, self.library = spark, tables, plan, stages, folds, estimator, library
+    def __init__(self, spark: SparkSession, tables: str, plan: Plan = frames.EVERY, stages: str | None = None, learned: Learned | None = None, library: tuple[str, str] | None = None):
+        self.spark, self.tables, self.plan, self.stages, self.learned, self.library = spark, tables, plan, stages, learned, library
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         if self.stages is None:
@@ -69,19 +69,23 @@ class Run:
         return self.rejected.unionByName(quarantine.split(self.detected)[1])
 
     @cached_property
-    def walked(self) -> tuple[DataFrame, DataFrame]:
-        """(predictions, importances) of the walk-forward fits, made once."""
-        predictions, importances = learning.walk_forward(self.featured, folds=self.folds or learning.Folds(), estimator=self.estimator)
-        return self._kept("predictions", predictions), importances
+    def models(self) -> DataFrame:
+        """The walk-forward models of every symbol and fold, fitted once."""
+        told = self.learned or Learned()
+        return self._kept("models", learning.models(self.featured, told.target, told.folds, told.model))
+
+    @property
+    def predictions(self) -> DataFrame:
+        return learning.predictions(self.models)
 
     @cached_property
     def judged(self) -> DataFrame:
         good = quarantine.split(self.detected)[0]
-        return good if self.folds is None else learning.with_signal(good, self.walked[0])
+        return good if self.learned is None else learning.with_signal(good, self.predictions, self.learned.deadband)
 
     @property
     def traded(self) -> list[str]:
-        return frames.TRADED if self.folds is None else [*frames.TRADED, "signal_ml"]
+        return frames.TRADED if self.learned is None else [*frames.TRADED, "signal_ml"]
 
     @cached_property
     def curve(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import costs
-from ..operators import gates
+from ..operators import gates, learning, trees
 from ..operators.backtest import Setup
 from ..operators.signals import Rules
 
@@ -59,6 +59,31 @@ class Plan:
         return {"1d": "interval 1 day", "1wk": "interval 7 days", "1mo": "interval 1 month", "3mo": "interval 3 months"}[self.interval]
 
 
+@dataclass(frozen=True)
+class Learned:
+    """How the learned signal is made."""
+
+    model: str | trees.Trees = "xgboost"
+    target: str = "returns_fwd_5"
+    deadband: float = 0.005
+    folds: learning.Folds = learning.Folds()
+
+
+def learned_of(made: dict[str, Any]) -> Learned | None:
+    """The learned signal of settings, or None where it is off."""
+    told = made.get("ml_signal") or {}
+    if not told.get("enabled", False):
+        return None
+    own = learning.Folds()
+    folds = learning.Folds(
+        n_folds=int(told.get("n_folds", own.n_folds)), min_train=int(told.get("min_train_bars", own.min_train)), test=int(told.get("test_bars", own.test)),
+        expanding=bool(told.get("expanding", own.expanding)), train_window=int(told.get("train_window_bars", own.train_window)), embargo=int(told.get("embargo_bars", own.embargo)))
+    model = str(told.get("model_type", "xgboost"))
+    if model not in trees.MODELS:
+        raise ValueError(f"unknown model {model!r}; there are {', '.join(trees.MODELS)}")
+    return Learned(model, str(told.get("target_col", "returns_fwd_5")), float(told.get("deadband", 0.005)), folds)
+
+
 def plan_of(made: dict[str, Any]) -> Plan:
     """The plan of settings as ``config.load`` gives them: sections that are absent leave
     the defaults."""

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline import cli
-from barline.operators import learning, passes, quarantine, reports
+from barline.operators import learning, passes, quarantine, reports, trees
 from barline.plans.run import Run
-from barline.plans.settings import Plan
+from barline.plans.settings import Learned, Plan
 from barline.sources import sinks
 
 SF = "/root/testdata/sf0.01"
@@ -104,7 +104,7 @@ def test_a_run_writes_reads_and_consolidates(spark, tmp_path, monkeypatch):
     plan = Plan(symbols=("1-URGENT", "2-HIGH", "5-LOW"), start="1994-01-01")
     made = cli.settings(cli.parser().parse_args(["--ml"]))
     assert sinks.consolidate(spark, out, to) == []
-    run = Run(spark, SF, plan, f"{out}/_stages", learning.Folds(n_folds=2), learning.model("xgboost").setMaxIter(2))
+    run = Run(spark, SF, plan, f"{out}/_stages", Learned(trees.Trees(n=2), folds=learning.Folds(n_folds=2)))
     names = sinks.write_run(cli.outputs(run, made), out, "csv", plan.interval, plan.symbols)
     assert {"backtest", "factor_report", "regime_report", "quarantine", "ml_folds", "feature_correlations"} <= set(names)
     assert [tuple(r) for r in sinks.read_run(spark, out, "quarantine").select("symbol", "reason").collect()] == [("2-HIGH", "a price is 0 or less")]

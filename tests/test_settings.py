@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline import cli, config
+from barline.operators import learning
 from barline.plans import frames
-from barline.plans.settings import Plan, plan_of
+from barline.plans.settings import Learned, Plan, learned_of, plan_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +33,16 @@ def test_each_flag_changes_the_plan(tmp_path):
         plan_of(config.merged(config.load(), {"backtest": {"cost_model": "other"}}))
 
 
+def test_the_learned_signal_comes_from_its_section(tmp_path):
+    said = lambda *flags: learned_of(cli.settings(cli.parser().parse_args(list(flags))))
+    assert said() is None and said("--ml") == Learned()
+    file = tmp_path / "run.yaml"
+    file.write_text("ml_signal: {enabled: true, model_type: random_forest, deadband: 0.01, target_col: returns_fwd_1, n_folds: 3, min_train_bars: 100, test_bars: 20, expanding: false, train_window_bars: 90, embargo_bars: 1}\n")
+    assert said("--config", str(file)) == Learned("random_forest", "returns_fwd_1", 0.01, learning.Folds(3, 100, 20, False, 90, 1))
+    with pytest.raises(ValueError):
+        learned_of({"ml_signal": {"enabled": True, "model_type": "other"}})
+
+
 def test_dates_symbols_and_interval_choose_the_bars(spark):
     got = frames.cleaned(spark, SF, planned("--start", "1996-01-01", "--end", "1997-01-01", "--symbols", "5-LOW")).agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count_distinct("symbol").alias("n")).first()
     assert got.n == 1 and "1996-01-01" <= str(got.a) <= str(got.b) < "1997-01-01"
