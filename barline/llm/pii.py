@@ -2,23 +2,25 @@
 
 The base patterns of four kinds always stand. High-recall generators propose
 more: mailboxes written out in words, number groups with other separators,
-telephone numbers without a leading plus. Every proposal is described by small
-integer features of its format and of its context; boosted trees, fitted on the
-wide proposals of the whole corpus (grouped by feature vector, so the fit sees all of
-them but few rows), score it, and a threshold per kind, calibrated on the
-validators' verdicts, selects what is added. Trees become nested CASE
-expressions: scoring runs inside the scan, without a shuffle or a UDF.
-
-Labels come from the validators (octet range, check digit, digit count; for wide
-proposals also the form of an address and of a telephone number), whose outcomes
-are no features: what is added is what the trees choose. Thresholds are calibrated on
-the documents that the fit has not seen; a kind for which none reaches ``PRECISION``
-there adds nothing.
+telephone numbers without a leading plus. A validator looks at each proposal (octet
+range, check digit, digit count, country code, form of an address), and so do boosted
+trees, which see small integer features of its format and of its context but not what
+the validator looks at. They tell how often proposals that look alike pass. A further
+span is added if it passes and its kind's threshold says that its likes do: a number
+that meets a check digit among many that do not has met it by chance. Trees become
+nested CASE expressions: scoring runs inside the scan, without a shuffle or a UDF.
+
+Trees are fitted on the proposals of half of the documents, base and further ones
+(grouped by feature vector, so the fit sees all of them but few rows). A kind's threshold
+is the lowest margin above which the share of the other half's proposals of that kind
+that pass is at least ``PASSING`` by its lower confidence bound; where a kind has too few
+for any, that of all kinds together serves; where these are too few, nothing is added.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
-give repeated rows; of chosen proposals that overlap, the one of the greatest margin,
-then kind, then start stays; a null doc_id is passed on; columns other than doc_id and text are ignored; with an
-empty table, or labels of one class, nothing is fitted and only base spans stand.
+give repeated rows; chosen proposals are taken by margin, then kind, then start, the
+greatest first, each unless it overlaps a base span or one taken before; a null doc_id
+is passed on; columns other than doc_id and text are ignored; with an empty table
+nothing is fitted; where all proposals pass or none does, the margin is 0 for all.
 """
 
 from __future__ import annotations
@@ -58,13 +60,15 @@ PROSE = "|".join("a all also and any are around arrive arrived at available back
 #: Assigned country calling codes.
 COUNTRIES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-4][0-9]|25[0-8]|26[0-9]|29[01789]|3[578][0-9]|42[0-9]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[0-9]|87[0-9]|88[0-9]|96[0-9]|97[0-9]|99[2-68])"
 HINTS = (r"(?i)(mail|contact|write|reach)", r"(?i)(\bip\b|host|server|addr)", r"(?i)(card|visa|pay|credit)", r"(?i)(phone|call|tel|fax|mobile)")
-FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces", "brackets", "lead", "fourth", "ones")
-PRECISION = 0.98
+FEATURES = ("kind", "wide", "length", "digits", "groups", "hint", "glued_before", "glued_after", "spaces", "brackets")
+#: Share of alike proposals that pass, at least, for one of them to be added.
+PASSING = 0.9
+#: Deviations that its lower bound is away from the share itself.
+BOUND = 1.645
 #: One document in so many is kept from the fit; thresholds are set on its proposals.
-HELD_OUT = 4
-#: Held-out proposals above a threshold that it takes to trust it.
-LEAST = 20
+HELD_OUT = 2
 TREES, DEPTH = 8, 3
+SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
 def digits_of(match: Column) -> Column:
@@ -131,8 +135,7 @@ def _features(s: Column, wide: int) -> Column:
         s["kind"].alias("kind"), F.lit(wide).alias("wide"), F.least(F.length(s["match"]), F.lit(40)).alias("length"),
         F.least(F.length(digits_of(s["match"])), F.lit(24)).alias("digits"), F.least(F.regexp_count(s["match"], F.lit("[0-9]+")), F.lit(8)).alias("groups"),
         as_int(hint).alias("hint"), as_int(s["before"].rlike(r"[\p{L}0-9]$")).alias("glued_before"), as_int(s["after"].rlike(r"^[\p{L}0-9]")).alias("glued_after"),
-        F.least(F.regexp_count(s["match"], F.lit(" ")), F.lit(4)).alias("spaces"), F.least(F.regexp_count(s["match"], F.lit(r"[\[(]")), F.lit(3)).alias("brackets"), F.least(F.regexp_count(digits_of(s["match"]), F.lit("11")), F.lit(3)).alias("ones"),
-        *[F.coalesce(F.try_to_number(F.nullif(F.substring(digits_of(s["match"]), at, 1), F.lit("")), F.lit("9")).cast("int"), F.lit(-1)).alias(name) for name, at in (("lead", 1), ("fourth", 4))])
+        F.least(F.regexp_count(s["match"], F.lit(" ")), F.lit(4)).alias("spaces"), F.least(F.regexp_count(s["match"], F.lit(r"[\[(]")), F.lit(3)).alias("brackets"))
 
 
 def propose(docs: DataFrame) -> DataFrame:
@@ -169,29 +172,44 @@ def _tree_sql(text: str) -> str:
     return node()
 
 
+def lower_bound(hits: float, n: float) -> float:
+    """Of a share of hits among n, Wilson's."""
+    share, z = hits / n, BOUND * BOUND / n
+    return (share + z / 2 - (z * (share * (1 - share) + z / 4)) ** 0.5) / (1 + z)
+
+
+def threshold(by_margin: list[tuple[float, float, float]]) -> float | None:
+    """The lowest margin of (margin, hits, n) from which on enough pass."""
+    cut, hits, n = None, 0.0, 0.0
+    for margin, more, of in sorted(by_margin, reverse=True):
+        hits, n = hits + more, n + of
+        if lower_bound(hits, n) >= PASSING:
+            cut = margin
+    return cut
+
+
 def fit(proposed: DataFrame) -> tuple[str, dict[int, float]] | None:
     """(margin as SQL over f, threshold by kind). The grouped table has a row per
     feature vector, whose number the feature ranges bound."""
     seen = proposed.select("held_out", F.explode("proposals").alias("p")).groupBy("held_out", "p.f", "p.valid").agg(F.count("*").alias("n"))
     rows = saved(seen.select("held_out", "f.*", F.col("valid").cast("double").alias("label"), F.col("n").cast("double").alias("weight")))
-    learned = rows.filter("not held_out and wide = 1")
-    if len(learned.select("label").distinct().take(2)) < 2:
+    learned = rows.filter("not held_out")
+    labels = len(learned.select("label").distinct().take(2))
+    if labels == 0:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learned)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7).fit(vectors)
-    trees = [f"{w!r} * ({_tree_sql(t.toDebugString)})" for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    margin = " + ".join(trees)
-    # a proposal of a base pattern is decided by its validator, so trees and thresholds are of the wide ones
-    told = rows.filter("held_out and wide = 1").withColumn("f", F.struct(*FEATURES)).select("f.kind", F.expr(margin).alias("m"), "label", "weight")
-    by_margin = told.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("kind", F.desc("m")).collect()
-    cut: dict[int, float] = {}
-    for kind in range(len(KINDS)):
-        hits = n = 0.0
-        for r in (r for r in by_margin if r["kind"] == kind):
-            hits, n = hits + r["hits"], n + r["n"]
-            if hits >= PRECISION * n and n >= LEAST:
-                cut[kind] = r["m"]
-    return margin, cut
+    margin = "0.0D"
+    if labels == 2:
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learned)
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7).fit(vectors)
+        margin = " + ".join(f"{w!r} * ({_tree_sql(t.toDebugString)})" for t, w in zip(model.trees, model.treeWeights, strict=True))
+    told = rows.filter("held_out").withColumn("f", F.struct(*FEATURES)).select("f.kind", F.expr(margin).cast("double").alias("m"), "label", "weight")
+    # a row per kind and sum of leaves, which the trees bound
+    by_margin = [tuple(r) for r in told.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).collect()]
+    together = threshold([r[1:] for r in by_margin])
+    cuts = {kind: threshold([r[1:] for r in by_margin if r[0] == kind]) for kind in range(len(KINDS))}
+    few = {kind: lower_bound(n, n) < PASSING for kind in cuts for n in [sum(r[3] for r in by_margin if r[0] == kind) or 1.0]}
+    cuts = {kind: together if cut is None and few[kind] else cut for kind, cut in cuts.items()}
+    return margin, {kind: cut for kind, cut in cuts.items() if cut is not None}
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -199,22 +217,29 @@ def find(docs: DataFrame) -> DataFrame:
     kind, then start. ``spans`` has the base spans and what the trees add."""
     proposed = saved(propose(docs))
     fitted = fit(proposed)
-    base = F.coalesce("base", F.array().cast("array<struct<kind:int,start:int,end:int>>"))
     if fitted is None:
+        base = F.coalesce("base", F.array().cast(SPANS))
         return proposed.select("doc_id", F.sort_array(base).alias("base"), F.sort_array(base).alias("spans"))
-    margin, cut = fitted
-    scored = f"transform(proposals, p -> struct(p.kind, p.start, p.end, ({margin.replace('f.', 'p.f.')}) AS margin, p.f.wide AS wide))"
+    return chosen(proposed, *fitted)
+
+
+def chosen(proposed: DataFrame, margin: str, cut: dict[int, float]) -> DataFrame:
+    """(doc_id, base, spans): base spans and the proposals that pass, reach their kind's
+    threshold and overlap no span of a greater margin that was taken."""
+    base = F.coalesce("base", F.array().cast(SPANS))
+    scored = f"transform(proposals, p -> struct(({margin.replace('f.', 'p.f.')}) AS margin, p.kind, p.start, p.end, p.valid AND p.f.wide = 1 AS open))"
     wanted = " OR ".join(f"(p.kind = {k} AND p.margin >= CAST({m!r} AS DOUBLE))" for k, m in cut.items()) or "false"
-    chosen = F.expr(f"filter({scored}, p -> p.wide = 1 AND ({wanted}))")
+    ranked = F.sort_array(F.expr(f"filter({scored}, p -> p.open AND ({wanted}))"), asc=False)
+
+    def clashes(p: Column, others: Column) -> Column:
+        return F.exists(others, lambda o: (o["start"] < p["end"]) & (p["start"] < o["end"]))
 
-    def free(p: Column, others: Column, strict: bool) -> Column:
-        clash = F.exists(others, lambda o: (o["start"] < p["end"]) & (p["start"] < o["end"]) & ((F.struct(o["margin"], o["kind"], o["start"]) > F.struct(p["margin"], p["kind"], p["start"])) if strict else F.lit(True)))
-        return ~clash
+    def take(taken: Column, p: Column) -> Column:
+        span = F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"))
+        return F.when(clashes(p, taken), taken).otherwise(F.concat(taken, F.array(span)))
 
-    out = proposed.select("doc_id", base.alias("base"), F.coalesce(chosen, F.expr(f"filter({scored}, p -> false)")).alias("more"))
-    kept = F.filter("more", lambda p: free(p, F.col("base"), False) & free(p, F.col("more"), True))
-    added = F.transform(kept, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
-    return out.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", F.coalesce(added, F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
+    spans = F.coalesce(F.aggregate(ranked, base, take), base)
+    return proposed.select("doc_id", F.sort_array(base).alias("base"), F.sort_array(spans).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
