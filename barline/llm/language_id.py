@@ -38,6 +38,8 @@ FOLDS = 5
 #: A margin is clipped to this, so that long texts decode like short ones.
 MOST = 12.0
 AMBIGUOUS = 0.2
+#: Languages that a model may have; an error beyond.
+MOST_LANGS = 1000
 CHUNK = 1 << 20  # code points that are looked up at once
 
 
@@ -46,11 +48,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def grams(text: str, seen: int = 0) -> np.ndarray:
-    """Buckets of the 1-, 2- and 3-grams of a text, lower-cased; other than
+    """Buckets of the 1-, 2- and 3-grams of a lower-cased text; other than
     letters, all characters count as one. Those that end in the first ``seen``
     characters are left out."""
-    t = text.lower()
-    x = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     letter = (x >= 97) & (x <= 122) | (x >= 0xAA)
     x = np.where(letter, x, np.uint64(32))
     m = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +72,7 @@ def count(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
                 have = seen.setdefault(lang, np.zeros(DIMS, np.int64))
-                have += np.bincount(grams(text), minlength=DIMS)
+                have += np.bincount(grams(text.lower()), minlength=DIMS)
         for lang, have in seen.items():
             at = np.flatnonzero(have)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": have[at]})
@@ -118,7 +119,7 @@ class Model:
 
     def margins(self, text: str) -> np.ndarray:
         total = np.zeros(self.table.shape[1])
-        n = 0
+        n, text = 0, text.lower()  # before it is cut, as this may lengthen it
         for a in range(0, len(text), CHUNK):
             g = grams(text[max(0, a - 2) : a + CHUNK], min(a, 2))
             total += np.bincount(g, minlength=DIMS) @ self.table if len(g) > 2 * DIMS else self.table[g].sum(0, dtype=np.float64)
@@ -140,7 +141,9 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """docs (text, lang). What comes to the driver is one row per language and
-    bucket: at most ``DIMS`` rows for each language."""
+    bucket: at most ``DIMS`` rows for each of at most ``MOST_LANGS`` languages."""
+    if len(docs.select("lang").distinct().take(MOST_LANGS + 2)) > MOST_LANGS + 1:  # null among them
+        raise ValueError(f"more than {MOST_LANGS} languages")
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     return Model([tuple(r) for r in count(usable).collect()])
 

@@ -77,6 +77,27 @@ def test_language_held_out_accuracy_and_edges(spark, odd, none):
     assert language_id.codewords(9).shape[0] == 9
 
 
+def test_language_chunks_see_every_gram_once(monkeypatch):
+    text = "İSTANBUL İİİ ΟΔΟΣ straße " * 9
+    whole = np.bincount(language_id.grams(text.lower()), minlength=language_id.DIMS)
+    seen = []
+    model = language_id.Model([("a", 1, 2), ("b", 2, 3), ("c", 3, 1)])
+    told = model.margins(text)
+    real = language_id.grams
+    monkeypatch.setattr(language_id, "grams", lambda *given: seen.append(real(*given)) or seen[-1])
+    monkeypatch.setattr(language_id, "CHUNK", 7)
+    assert np.allclose(model.margins(text), told) and len(seen) > 20
+    assert np.array_equal(np.bincount(np.concatenate(seen), minlength=language_id.DIMS), whole)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    rows = docs_of(spark, [(i, "x", g, "s") for i, g in enumerate(["a", "b", None])])
+    assert language_id.fit(rows).langs == ["a", "b"]
+    with pytest.raises(ValueError):
+        language_id.fit(rows.unionByName(docs_of(spark, [(9, "x", "c", "s")])))
+
+
 def test_pii_base_spans(spark, odd, none):
     text = "mail a.b@c.de, x@y@z.com ip 10.0.0.1 300.1.1.1 card 4539 5787 6362 1486 and +49 (30) 123456-78 q_x@y.z"
     found = {r.doc_id: r for r in pii.find(docs_of(spark, [(1, text, "en", "a")]).unionByName(odd.filter("doc_id > 1"))).collect()}
