@@ -1,8 +1,8 @@
 """Walk-forward tree models on features, with folds that never look ahead.
 
 Every (symbol, fold) has a model of its own. All models of a frame are one job: a fold of a
-symbol is a group of as many rows as ``Folds`` lets it have (562 to learn from at most by
-its defaults), so groups stay small however many bars or symbols there are, and the job
+symbol is a group of as many rows as ``Folds`` lets it have (499 to learn from and 63 to
+test at most by its defaults), so groups stay small however many bars or symbols there are, and the job
 count does not depend on symbols, folds, trees or levels.
 """
 
@@ -112,12 +112,12 @@ def model(kind: str, seed: int = 42):
 
 
 #: A model: what it tells of its test bars and what it is made of.
-MODEL = "symbol string, fold_id int, n_train int, told array<struct<d: date, target: double, prediction: double>>, importances array<struct<feature: string, importance: double>>"
+MODEL = "symbol string, fold_id int, n_train int, told array<struct<d: date, target: double, prediction: double>>, importances array<struct<feature: string, importance: double>>, error string"
 
 
-def models(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(), kind: str | Trees = "xgboost", least: int = 30) -> DataFrame:
+def models(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(), kind: str | Trees = "xgboost", least: int = 30, watched: bool = False) -> DataFrame:
     """A row per (symbol, fold): what its model tells of the test bars, and the model's
-    importances. A fold with fewer than ``least`` rows that have a target has no row. Nulls
+    importances. A model that fails ends the job, or, where ``watched``, tells its ``error`` alone. A fold with fewer than ``least`` rows that have a target has no row. Nulls
     are filled with the medians of the training rows, or 0 where a column has none."""
     columns = feature_columns(df)
     if not columns:
@@ -128,20 +128,28 @@ def models(df: DataFrame, target: str = "returns_fwd_5", folds: Folds = Folds(),
     staged = with_folds(df, folds).select("symbol", "d", "fold_id", "part", F.col(target).cast("double").alias("target"), *[F.col(c).cast("double").alias(f"x_{c}") for c in columns])
 
     def fit(bars: pa.Table) -> pa.Table:
-        bars = bars.sort_by("d")
+        key = {"symbol": bars.column("symbol")[0].as_py(), "fold_id": bars.column("fold_id")[0].as_py()}
+        try:
+            return pa.Table.from_pylist([key | model for model in one(bars.sort_by("d"))], schema)
+        except Exception as e:
+            if not watched:
+                raise
+            return pa.Table.from_pylist([key | {"error": f"{type(e).__name__}: {e}"}], schema)
+
+    def one(bars: pa.Table) -> list[dict]:
         x, y = np.stack([floats(bars, f"x_{c}") for c in columns], 1), floats(bars, "target")
         tests = np.array(bars.column("part").to_pylist()) == "test"
         learns = ~tests & np.isfinite(y)
         if learns.sum() < least:
-            return pa.Table.from_pylist([], schema)
+            return []
         fills = [np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else 0.0 for v in x[learns].T]
         x = np.where(np.isnan(x), fills, x)
         told, weights = fitted(x[learns], y[learns], x[tests], trees)
         days = bars.column("d").filter(pa.array(tests)).to_pylist()
-        return pa.Table.from_pylist([{
-            "symbol": bars.column("symbol")[0].as_py(), "fold_id": bars.column("fold_id")[0].as_py(), "n_train": int(learns.sum()),
+        return [{
+            "n_train": int(learns.sum()),
             "told": [{"d": d, "target": None if np.isnan(t) else float(t), "prediction": float(p)} for d, t, p in zip(days, y[tests], told, strict=True)],
-            "importances": [{"feature": c, "importance": float(v)} for c, v in zip(columns, weights, strict=True)]}], schema)
+            "importances": [{"feature": c, "importance": float(v)} for c, v in zip(columns, weights, strict=True)]}]
 
     schema = to_arrow_schema(T.StructType.fromDDL(MODEL))
     # few bytes a model, but much work: partitions are not to be joined by their size

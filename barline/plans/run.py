@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import backtest, clean, factors, learning, quarantine, regimes
 from ..sources import bars
@@ -65,14 +66,19 @@ class Run:
 
     @cached_property
     def quarantined(self) -> DataFrame:
-        """(symbol, reason) of the symbols that the outputs lack."""
-        return self.rejected.unionByName(quarantine.split(self.detected)[1])
+        """(symbol, reason) of the symbols that the outputs lack, and of those whose learned
+        signal failed: these are in the outputs, with that signal at 0."""
+        out = self.rejected.unionByName(quarantine.split(self.detected)[1])
+        if self.learned is None:
+            return out
+        failed = self.models.filter("error is not null").groupBy("symbol").agg(F.min_by("error", "fold_id").alias("reason"))
+        return out.unionByName(failed.select("symbol", F.concat(F.lit("learned signal: "), "reason").alias("reason")))
 
     @cached_property
     def models(self) -> DataFrame:
         """The walk-forward models of every symbol and fold, fitted once."""
         told = self.learned or Learned()
-        return self._kept("models", learning.models(self.featured, told.target, told.folds, told.model))
+        return self._kept("models", learning.models(self.featured, told.target, told.folds, told.model, watched=True))
 
     @property
     def predictions(self) -> DataFrame:

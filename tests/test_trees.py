@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from barline.operators import learning, trees
@@ -69,6 +70,14 @@ def test_every_symbol_and_fold_equals_the_plain_loop(spark):
     assert sorted((r.symbol, r.feature) for r in top) == [(s, c) for s in "ABC" for c in "ab"]
 
 
+def test_a_watched_model_that_fails_tells_why(spark):
+    folds, broken = learning.Folds(n_folds=1, min_train=70, test=30), trees.Trees(n=1, depth=-1)
+    made = learning.models(bars(spark), folds=folds, kind=broken, watched=True).collect()
+    assert {r.symbol for r in made} == set("ABC") and all(r.error and r.told is None for r in made)
+    with pytest.raises(PythonException):
+        learning.models(bars(spark), folds=folds, kind=broken).collect()
+
+
 @pytest.mark.parametrize("kind", ["xgboost", "random_forest"])
 def test_models_learn_what_there_is_and_repeat_themselves(kind):
     draw = np.random.default_rng(1)
