@@ -300,6 +300,22 @@ def test_mix_meets_targets(spark, odd, none):
     assert source_mix.mix(source_mix.sizes_of(none)).count() == 0 and source_mix.mix(source_mix.sizes_of(odd)).count() == 11
 
 
+def test_packing_of_a_whole_table_has_the_ids_of_the_named_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.op10_best_fit_packing(spark, sf).collect()}
+    want = {}
+    for i, text in texts.items():
+        ids = np.array([*exact.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        for k, (start, length) in enumerate(packing.cut(len(ids))):
+            want[i, k] = (start, length, zlib.crc32(ids[start : start + length].tobytes()))
+    assert len(texts) == 200 and got == want
+
+
 def test_packing_ids_and_bounds(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
