@@ -96,3 +96,12 @@ def moments(df: DataFrame, wanted: dict[str, Moment], keys: tuple[str, ...] = KE
 
     out = out.withColumns({name: told(m) for name, m in wanted.items()})
     return out.drop("_block", *[f"_s_{k}" for k in range(len(columns))], *[f"_l_{n}" for n in lengths])
+
+
+def correlation(x: str, y: str, flat: float = float("nan")) -> Column:
+    """The correlation of two columns as an aggregate, ``flat`` where one of them has no
+    spread (``corr`` ends the job there: it divides by the deviations)."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    joint = F.covar_pop(a, b)
+    return F.when(joint.isNotNull(), F.coalesce(F.try_divide(joint, spread), F.lit(flat)))

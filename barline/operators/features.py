@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.moments import Moment, moments
+from ..functions.moments import Moment, correlation, moments
 from ..functions.windows import past, per, require
 from . import scan
 from .kernels import ema
@@ -137,5 +137,5 @@ def report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) of all pairs of columns, over the rows where both are known."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for i, a in enumerate(columns) for b in columns[i:]]
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("corr")) for i, a in enumerate(columns) for b in columns[i:]]
     return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.util import inheritable_thread_target
 
+from ..functions.moments import correlation
 from ..functions.windows import ordered
 from .passes import floats
 from .trees import MODELS, Trees, fitted
@@ -203,13 +204,14 @@ def pooled_walk_forward(df: DataFrame, target: str = "returns_fwd_5", folds: Fol
     return predictions, spark.createDataFrame(importances, "fold_id int, feature string, importance double")
 
 
-def fold_report(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """A row per fold, or per fold of each group of ``by``."""
+def fold_report(predictions: DataFrame, by: tuple[str, ...] = (), flat: float = 0.0) -> DataFrame:
+    """A row per fold, or per fold of each group of ``by``. ``flat`` is the ic of a fold whose
+    predictions or targets are all equal, as of a model without a split."""
     known = predictions.filter("target is not null")
     right = (F.signum("prediction") == F.signum("target")).cast("double")
     return known.groupBy(*by, "fold_id").agg(
         F.count("*").alias("n"), F.avg(F.pow(F.col("prediction") - F.col("target"), 2.0)).alias("mse"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"),
-        F.corr("prediction", "target").alias("ic"), F.avg(right).alias("direction_acc"))
+        correlation("prediction", "target", flat).alias("ic"), F.avg(right).alias("direction_acc"))
 
 
 def importance_report(importances: DataFrame, n: int = 30, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

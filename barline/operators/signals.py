@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.moments import correlation
 from ..functions.windows import changed, clip, past, require, rolling, sign
 from . import order_statistics
 from .kernels import band_machine, macd_machine, rsi_machine, zscore_machine
@@ -141,7 +142,7 @@ def correlations(df: DataFrame) -> DataFrame:
     all of them are known."""
     names = [c for c in df.columns if c.startswith("signal_")]
     whole = df.dropna(subset=names).select(*[F.col(c).cast("double").alias(c) for c in names])
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for i, a in enumerate(names) for b in names[i:]]
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("corr")) for i, a in enumerate(names) for b in names[i:]]
     return whole.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 

@@ -83,3 +83,12 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     got = spark.table("bars_out").agg(F.count("*").alias("n"), F.sum("volume").alias("v")).first()
     want = bars.bars_events(spark, "/root/testdata/sf0.001").agg(F.count("*").alias("n"), F.sum("volume").alias("v")).first()
     assert (got.n, got.v) == (want.n, want.v)
+
+
+def test_reports_of_columns_without_spread(spark):
+    told = spark.createDataFrame([(0, 0.5, float(x)) for x in range(4)] + [(1, float(x), 2.0 * x + 1) for x in range(4)] + [(2, 1.0, 3.0)], "fold_id int, prediction double, target double")
+    assert {r.fold_id: round(r.ic, 12) for r in learning.fold_report(told).collect()} == {0: 0.0, 1: 1.0, 2: 0.0}
+    df = spark.createDataFrame([(1.0, 2.0, 7.0), (2.0, None, 7.0), (3.0, 1.0, 7.0)], "a double, b double, c double")
+    got = {(r.a, r.b): r.corr for r in features.correlations(df, ["a", "b", "c"]).collect()}
+    assert round(got["a", "b"], 12) == -1 and round(got["a", "a"], 12) == 1
+    assert all(got[pair] != got[pair] for pair in [("a", "c"), ("b", "c"), ("c", "c")])
