@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from ..functions.moments import Moment, moments
 from ..functions.windows import ordered, past, up_to_now
 
 PRICES = ("open", "high", "low", "close", "volume")
+DAY = "interval 1 day"
+#: What the z-score of returns is made of.
+NORM = {"_mean": Moment("returns", 252, 30), "_std": Moment("returns", 252, 30, "std")}
 
 
 def standardise(df: DataFrame) -> DataFrame:
@@ -27,8 +31,20 @@ def drop_repeats(df: DataFrame, arrival: str, keys: tuple[str, ...] = ("symbol",
     return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
-def align(df: DataFrame, step: str = "interval 1 day") -> DataFrame:
+def _daily(df: DataFrame) -> DataFrame:
+    """A row for every day: each row is followed by the days until the next one, without
+    a grid to join. Null symbols equal none, so their days have no values."""
+    day, until = F.col("d"), F.date_sub(F.lead("d").over(ordered()), 1)
+    days = df.withColumn("_days", F.sequence(day, F.coalesce(F.greatest(day, until), day)))
+    others = [c for c in df.columns if c not in ("symbol", "d")]
+    out = days.select("symbol", F.posexplode("_days").alias("_nth", "d"), *others)
+    return out.select("symbol", "d", *[F.when((F.col("_nth") == 0) & F.col("symbol").isNotNull(), F.col(c)).alias(c) for c in others])
+
+
+def align(df: DataFrame, step: str = DAY) -> DataFrame:
     """A row for every step from a symbol's first to its last time."""
+    if step == DAY and isinstance(df.schema["d"].dataType, DateType):
+        return _daily(df)
     spans = df.groupBy("symbol").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     grid = spans.select("symbol", F.explode(F.sequence("lo", "hi", F.expr(step))).alias("d"))
     return grid.join(df, ["symbol", "d"], "left")
@@ -72,9 +88,9 @@ def fill(df: DataFrame, method: str = "ffill", limit: int | None = None, columns
     return numbered.withColumns(out).drop("_rn")
 
 
-def returns(df: DataFrame, price: str = "close", method: str = "log", periods: int = 1) -> DataFrame:
-    """returns, their 252-row z-score, and returns 1 and 5 rows ahead. With
-    ``simple`` the forward ones are p(t) / p(t+k) - 1."""
+def moved(df: DataFrame, price: str = "close", method: str = "log", periods: int = 1) -> DataFrame:
+    """returns, and returns 1 and 5 rows ahead. With ``simple`` the forward ones are
+    p(t) / p(t+k) - 1."""
     if method not in ("log", "simple"):
         raise ValueError(f"unknown return method {method!r}")
     p = F.col(price)
@@ -86,18 +102,33 @@ def returns(df: DataFrame, price: str = "close", method: str = "log", periods: i
     else:
         now = safe(p, past(p, periods)) - 1
         fwd = {f"returns_fwd_{k}": safe(p, q) - 1 for k, q in ahead.items()}
-    out = moments(df.withColumns({"returns": now} | fwd), {"_mean": Moment("returns", 252, 30), "_std": Moment("returns", 252, 30, "std")})
+    return df.withColumns({"returns": now} | fwd)
+
+
+def normed(df: DataFrame) -> DataFrame:
+    """The z-score of returns from the moments of ``NORM``, which go."""
     norm = (F.col("returns") - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))
-    return out.withColumn("returns_norm", norm).drop("_mean", "_std")
+    return df.withColumn("returns_norm", norm).drop(*NORM)
 
 
-def clean(df: DataFrame, step: str | None = "interval 1 day", align_fill: str | None = "ffill", max_gap: int = 5, fill_method: str = "ffill", method: str = "log") -> DataFrame:
+def returns(df: DataFrame, price: str = "close", method: str = "log", periods: int = 1) -> DataFrame:
+    """``moved``, with the 252-row z-score of returns."""
+    return normed(moments(moved(df, price, method, periods), NORM))
+
+
+def filled(df: DataFrame, step: str | None = DAY, align_fill: str | None = "ffill", max_gap: int = 5, fill_method: str = "ffill") -> DataFrame:
     out = standardise(df)
     if step:
         out = align(out, step)
         if align_fill:
             out = fill(out, align_fill)
-    return returns(fill(out, fill_method, max_gap), method=method)
+            if align_fill == fill_method:
+                return out  # filled without a limit: a second time the same way changes nothing
+    return fill(out, fill_method, max_gap)
+
+
+def clean(df: DataFrame, step: str | None = DAY, align_fill: str | None = "ffill", max_gap: int = 5, fill_method: str = "ffill", method: str = "log") -> DataFrame:
+    return returns(filled(df, step, align_fill, max_gap, fill_method), method=method)
 
 
 def quality(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.moments import Moment, correlation, moments
 from ..functions.windows import past, per, require
-from . import scan
+from . import clean, rolling, scan
 from .kernels import ema
 from .passes import Step, by_group, floats
 
@@ -97,10 +97,7 @@ def true_range(df: DataFrame) -> DataFrame:
     return df.withColumn("tr", F.greatest(h - low, F.abs(h - before), F.abs(low - before)))
 
 
-def averages(df: DataFrame, rsi: int = 14, atr: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """RSI, ATR and MACD: all recursive means of a symbol in one pass. ``scan.averages``
-    makes the same columns of series that are too long for a task."""
-    require(df, "close", "tr")
+def _recursive(rsi: int = 14, atr: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> Step:
     names = [f"rsi_{rsi}", f"atr_{atr}", f"ema_{fast}", f"ema_{slow}", "macd_line", "macd_signal", "macd_histogram"]
 
     def run(bars: pa.Table) -> dict[str, np.ndarray]:
@@ -114,18 +111,35 @@ def averages(df: DataFrame, rsi: int = 14, atr: int = 14, fast: int = 12, slow:
         smooth = ema(line, 2 / (signal + 1), signal)
         return dict(zip(names, [index, ema(floats(bars, "tr"), 1 / atr, atr), quick, late, line, smooth, line - smooth], strict=True))
 
-    return by_group(df, [Step(dict.fromkeys(names, "double"), run)])
+    return Step(dict.fromkeys(names, "double"), run)
 
 
-def all_features(df: DataFrame, block_days: int | None = None, vol: tuple[int, ...] = (5, 21, 63), z: tuple[int, ...] = (20, 60), band: tuple[int, float] = (20, 2.0)) -> DataFrame:
-    """All families, by their windows. The recursive means come first (by blocks of so many
-    days, if given), so that the windows after them share one exchange; all moments share
-    their sums."""
-    out = averages(true_range(df)) if block_days is None else scan.averages(df, block_days)
-    out = moments(_turnover(out), _volatility(out, vol, "returns") | _volume(out, 20) | _bollinger(out, band[0], "close") | _zscores(out, z, "close"))
+def averages(df: DataFrame, rsi: int = 14, atr: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """RSI, ATR and MACD: all recursive means of a symbol in one pass. ``scan.averages``
+    makes the same columns of series that are too long for a task."""
+    require(df, "close", "tr")
+    return by_group(df, [_recursive(rsi, atr, fast, slow, signal)])
+
+
+def all_features(df: DataFrame, block_days: int | None = None, vol: tuple[int, ...] = (5, 21, 63), z: tuple[int, ...] = (20, 60), band: tuple[int, float] = (20, 2.0), also: dict[str, Moment] | None = None) -> DataFrame:
+    """All families, by their windows: recursive means, moments and those asked for ``also``
+    in one pass over a symbol; or, by blocks of so many days, the means by blocks and
+    the moments as window expressions. All moments share their sums."""
+    wanted = _volatility(df, vol, "returns") | _volume(df, 20) | _bollinger(df, band[0], "close") | _zscores(df, z, "close")
+    if block_days is None:
+        out = by_group(_turnover(true_range(df)), [_recursive(), rolling.step(wanted), *([rolling.step(also)] if also else [])])
+    else:
+        out = moments(_turnover(scan.averages(df, block_days)), wanted)
+        out = moments(out, also) if also else out
     return _scores(_bands(_ratios(_annual(out, vol), 20), band[1], "close"), z, "close")
 
 
+def of_bars(bars: DataFrame) -> DataFrame:
+    """All families of bars that are not cleaned yet: the windows of cleaning and those of
+    the features in one pass over a symbol, which many symbols are through soonest."""
+    return clean.normed(all_features(clean.moved(clean.filled(bars)), also=clean.NORM))
+
+
 def report(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, missing_pct, mean, std, min, q25, median, q75, max) over all rows."""
     def quartile(c: str, p: float):  # noqa: ANN202

@@ -123,7 +123,7 @@ FEATS = [
     *(f"vol_{n}d{year}" for n in (5, 21, 63) for year in ("", "_annual")), "rsi_14", "atr_14", "vol_ratio_20", "vwap_20d", "vwap_dev", "bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_pct",
     "ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram", "z_price_20d", "z_price_60d"]
 add("fea_00_all", at.featured, BAR + " " + " ".join(f"{c}:f" for c in NAMES), S["feat"], "select * from feat")
-add("fea_00_supplier", lambda s, f: features.all_features(clean.clean(bars.bars_supplier(s, f))), BAR + " " + " ".join(f"{c}:f" for c in NAMES), o.over("lineitem", "feat"), "select * from feat")
+add("fea_00_supplier", lambda s, f: features.of_bars(bars.bars_supplier(s, f)), BAR + " " + " ".join(f"{c}:f" for c in NAMES), o.over("lineitem", "feat"), "select * from feat")
 add("fea_00_blocks", lambda s, f: features.all_features(at.cleaned(s, f), block_days=50), BAR + " " + " ".join(f"{c}:f" for c in NAMES), S["feat"], "select * from feat")
 add("fea_08_report", lambda s, f: features.report(at.featured(s, f), FEATS), "feature:s missing_pct:f mean:f std:f min:f q25:f median:f q75:f max:f", S["feat"],
     " union all ".join(f"select '{c}' as feature, 100.0 * count(*) filter (where {c} is null) / count(*) as missing_pct, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as min, quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.5) as median, quantile_cont({c}, 0.75) as q75, max({c}) as max from feat" for c in FEATS))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.functions.moments import Moment, moments
-from barline.operators import features, order_statistics, scan
+from barline.operators import clean, features, order_statistics, passes, rolling, scan
 from barline.operators.order_statistics import SortedBlocks, Statistic
 
 START = dt.date(2020, 1, 1)
@@ -98,3 +98,36 @@ def test_blocked_averages_equal_the_kernel_over_fifty_blocks(spark, gappy):
     assert scan.blocked(df, 16).select("symbol", scan.BLOCK).distinct().filter("symbol = 'x'").count() >= 50
     for n in names:
         np.testing.assert_allclose(column(many, n), column(one, n), rtol=1e-9, atol=1e-9)
+
+
+def test_moments_of_a_pass_equal_their_windows(spark, gappy):
+    flat_after_a_move = np.where(np.arange(400) % 90 == 0, 5e4, 100 + 1e-4 * (np.arange(400) % 7))
+    df = series(spark, gappy, flat_after_a_move, np.full(400, np.nan))
+    df = df.unionByName(series(spark, gappy[::-1][:15], gappy[:15], gappy[:15], symbol="y"))
+    wanted = {f"{kind}{k}_{n}": Moment(f"c{k}", n, least, kind) for k in (0, 2) for n, least in ((2, 1), (20, 10), (63, 31)) for kind in ("mean", "std", "sum")}
+    got, want = passes.by_group(df, [rolling.step(wanted)]), moments(df, wanted)
+    for name in wanted:
+        np.testing.assert_allclose(column(got, name), column(want, name), rtol=1e-9, err_msg=name)
+    std = column(passes.by_group(df.filter("symbol = 'x'"), [rolling.step({"s": Moment("c1", 20, 20, "std")})]), "s")
+    exact = pd.Series([np.std(flat_after_a_move[max(0, t - 19) : t + 1], ddof=1) if t >= 19 else np.nan for t in range(400)])
+    np.testing.assert_allclose(std, exact, rtol=1e-9)
+
+
+def test_days_between_bars_equal_a_joined_grid(spark):
+    bars = [("a", 0, 1.0), ("a", 3, 2.0), ("a", 3, 4.0), ("a", 4, None), ("b", 9, 5.0), (None, 1, 6.0), (None, 3, 7.0), ("b", None, 8.0)]
+    df = spark.createDataFrame([(s, None if d is None else START + dt.timedelta(days=d), x) for s, d, x in bars], "symbol string, d date, close double")
+    spans = df.groupBy("symbol").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    want = spans.select("symbol", F.explode(F.sequence("lo", "hi")).alias("d")).join(df, ["symbol", "d"], "left")
+    assert sorted(map(str, clean.align(df).collect())) == sorted(map(str, want.collect()))
+
+
+def test_bars_of_many_symbols_become_features_in_one_pass(spark):
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 3 + F.col("id") % 2).cast("int"))
+    price = F.round(100 + F.rand(5), 4)
+    bars = spark.range(120).select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("symbol"), day.alias("d"), price.alias("open"), (price + 1).alias("high"), (price - 1).alias("low"), price.alias("close"), F.lit(10.0).alias("volume")).localCheckpoint()
+    one, apart = features.of_bars(bars), features.all_features(clean.clean(bars))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 1 and plan.count("windowspecdefinition") < 20
+    assert set(one.columns) == set(apart.columns) and one.count() == apart.count() == 2 * 359
+    for c in [c for c in one.columns if c not in ("symbol", "d")]:
+        np.testing.assert_allclose(column(one, c), column(apart, c), rtol=1e-8, atol=1e-10, err_msg=c)
