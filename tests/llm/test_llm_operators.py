@@ -316,6 +316,18 @@ def test_packing_of_a_whole_table_has_the_ids_of_the_named_tokenizer(spark):
     assert len(texts) == 200 and got == want
 
 
+def test_packing_tokenises_a_text_in_one_call(monkeypatch):
+    ids, asked = packing.Ids("byte_bpe_50k.tiktoken"), []
+
+    class Counted:
+        def __getattr__(self, name, codec=ids.codec):
+            asked.append(name)
+            return getattr(codec, name)
+
+    monkeypatch.setattr(ids, "codec", Counted())
+    assert len(ids(" ".join(f"word{i}" for i in range(50)))) >= 400 and len(asked) == 1
+
+
 def test_packing_ids_and_bounds(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
