@@ -135,6 +135,34 @@ def test_lines_written_several_times_against_brute_force(spark):
     assert not wrong and recall >= 0.97 and n > 250
 
 
+def test_lines_of_few_and_of_many_spaces_against_brute_force(spark):
+    """Lines without spaces, with some in front only, with one in 6 to 40 characters, edited or
+    written twice: what stands for a line changes with its spaces, and similar lines meet."""
+    draw, lines = random.Random(21), []
+    for g in range(160):
+        n, gap = draw.choice([30, 60, 110, 150, 180, 300, 600, 1500]), draw.choice([0, 6, 10, 12, 16, 20, 24, 30, 40])
+        base = "".join(" " if gap and draw.random() < 1 / gap else chr(draw.choice([97, 0x4E00]) + draw.randrange(26)) for _ in range(n))
+        if g % 8 == 0:
+            base = " ".join(words(g, 8)) + " " + base.replace(" ", "")
+        lines.append(base)
+        for _ in range(2):
+            at = draw.randrange(n)
+            edited = base[:at] + draw.choice(["", " ", "xy", "x y z"]) + base[at + draw.randrange(3) :]
+            lines.append(draw.choice([edited, edited, f"{edited} {edited}", edited + base[: n // 9]]))
+    recall, n, wrong = recall_of_lines(spark, table(spark, [(i, x, "en", "a", 1) for i, x in enumerate(lines)]))
+    print(f"recall of links of lines of few and many spaces {recall:.4f} of {n}")
+    assert not wrong and recall >= 0.97 and n > 200
+
+
+def test_bitmaps_stay_below_the_joins_of_bands(spark):
+    """A semi-join moved below the bitmap: all keys went through a second shuffle."""
+    lines = spark.createDataFrame([(i, " ".join(words(i // 2, 40)) + " end" * (i % 2)) for i in range(60)], "id long, line string")
+    rows = line_dedup.bucket_rows(line_dedup.signatures(lines))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.index("Join Inner, (key") < plan.index("getbit")
+    assert {r.id for r in rows.select("id").collect()} == set(range(60))
+
+
 def test_lines_of_a_long_document(spark):
     """20,000 lines in one document, most of them repeated."""
     text = "\n".join(f"line number {i % 500} of the long document {i % 500}" for i in range(20_000))
