@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.moments import Moment, correlation, moments
 from ..functions.windows import past, per, require
-from . import clean, rolling, scan
+from . import clean, days, rolling, scan
 from .kernels import ema
-from .passes import Step, by_group, floats
+from .passes import Rows, Step, by_group, floats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -121,13 +121,15 @@ def averages(df: DataFrame, rsi: int = 14, atr: int = 14, fast: int = 12, slow:
     return by_group(df, [_recursive(rsi, atr, fast, slow, signal)])
 
 
-def all_features(df: DataFrame, block_days: int | None = None, vol: tuple[int, ...] = (5, 21, 63), z: tuple[int, ...] = (20, 60), band: tuple[int, float] = (20, 2.0), also: dict[str, Moment] | None = None) -> DataFrame:
+def all_features(df: DataFrame, block_days: int | None = None, vol: tuple[int, ...] = (5, 21, 63), z: tuple[int, ...] = (20, 60), band: tuple[int, float] = (20, 2.0), also: dict[str, Moment] | None = None, rows: Rows | None = None) -> DataFrame:
     """All families, by their windows: recursive means, moments and those asked for ``also``
-    in one pass over a symbol; or, by blocks of so many days, the means by blocks and
-    the moments as window expressions. All moments share their sums."""
-    wanted = _volatility(df, vol, "returns") | _volume(df, 20) | _bollinger(df, band[0], "close") | _zscores(df, z, "close")
+    in one pass over a symbol, of the ``rows`` that its bars become where these are given;
+    or, by blocks of so many days, the means by blocks and the moments as window
+    expressions. All moments share their sums."""
+    seen = rows or df
+    wanted = _volatility(seen, vol, "returns") | _volume(seen, 20) | _bollinger(seen, band[0], "close") | _zscores(seen, z, "close")
     if block_days is None:
-        out = by_group(_turnover(true_range(df)), [_recursive(), rolling.step(wanted), *([rolling.step(also)] if also else [])])
+        out = by_group(df if rows else _turnover(true_range(df)), [_recursive(), rolling.step(wanted), *([rolling.step(also)] if also else [])], rows=rows)
     else:
         out = moments(_turnover(scan.averages(df, block_days)), wanted)
         out = moments(out, also) if also else out
@@ -135,9 +137,13 @@ def all_features(df: DataFrame, block_days: int | None = None, vol: tuple[int, .
 
 
 def of_bars(bars: DataFrame) -> DataFrame:
-    """All families of bars that are not cleaned yet: the windows of cleaning and those of
-    the features in one pass over a symbol, which many symbols are through soonest."""
-    return clean.normed(all_features(clean.moved(clean.filled(bars)), also=clean.NORM))
+    """All families of bars that are not cleaned yet: the days between them, the windows of
+    cleaning and those of the features in one pass over a symbol, which many symbols are
+    through soonest."""
+    bars = clean.standardise(bars)
+    if not days.fits(bars):
+        return clean.normed(all_features(clean.moved(clean.filled(bars)), also=clean.NORM))
+    return clean.normed(all_features(bars, also=clean.NORM, rows=days.daily(bars)))
 
 
 def report(df: DataFrame, columns: list[str]) -> DataFrame:

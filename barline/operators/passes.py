@@ -34,26 +34,41 @@ class Step:
     run: Callable[[pa.Table], dict[str, np.ndarray]]
 
 
+@dataclass(frozen=True)
+class Rows:
+    """The rows that a symbol's sorted bars become before the steps: their schema, and
+    a function of the table."""
+
+    schema: T.StructType
+    run: Callable[[pa.Table], pa.Table]
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.names
+
+
 def floats(bars: pa.Table, column: str) -> np.ndarray:
     """A column as doubles, NaN where it is null."""
     return bars.column(column).cast(pa.float64()).to_numpy()
 
 
-def by_group(df: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("symbol",), time: str = "d", drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with the columns of all steps, which replace those of the same name, without
-    the ones to drop."""
+def by_group(df: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("symbol",), time: str = "d", drop: tuple[str, ...] = (), rows: Rows | None = None) -> DataFrame:
+    """df, or the ``rows`` that its groups become, with the columns of all steps, which
+    replace those of the same name, without the ones to drop."""
     made = {name: kind for step in steps for name, kind in step.made.items()}
-    kept = [f for f in df.schema.fields if f.name not in made and f.name not in drop]
+    kept = [f for f in (rows or df).schema.fields if f.name not in made and f.name not in drop]
     schema = T.StructType([*kept, *[T.StructField(n, KINDS[k][0]) for n, k in made.items()]])
     names, kinds = [f.name for f in kept], {n: KINDS[k][1] for n, k in made.items()}
 
-    watched = ERROR in names
+    watched, become = ERROR in names, rows.run if rows else None
 
     def run(bars: pa.Table) -> pa.Table:
         bars = bars.sort_by(time)
+        if become is not None:
+            bars = become(bars)
         out = bars.select(names)
         values, failure = {}, None
-        if not watched or out.column(ERROR).null_count == len(out):
+        if len(out) and (not watched or out.column(ERROR).null_count == len(out)):
             try:
                 values = {n: v for step in steps for n, v in step.run(bars).items()}
             except Exception as e:
